@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, quality, substring_dedup, token_counts
+from quillframe.llm import byte_bpe, minhash_dedup, quality, substring_dedup, token_counts
 from quillframe.sources.tables import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,6 +36,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.in_hold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {q.__name__: q for q in (op3_substring_dedup, op4_token_counts, op5_byte_bpe, op9_quality)}
+QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op9_quality)}
 
 ORACLES: dict[str, str] = {}
