@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, minhash_dedup, quality, substring_dedup, token_counts
+from quillframe.llm import byte_bpe, minhash_dedup, quality, substring_dedup, token_counts, toxicity
 from quillframe.sources.tables import table
 
 
@@ -30,12 +30,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", quality.in_hold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", quality.in_hold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op9_quality)}
+QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op9_quality)}
 
 ORACLES: dict[str, str] = {}
