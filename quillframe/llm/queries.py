@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, minhash_dedup, quality, substring_dedup, token_counts, toxicity
+from quillframe.llm import byte_bpe, embedding_dedup, minhash_dedup, quality, substring_dedup, token_counts, toxicity
 from quillframe.sources.tables import table
 
 
@@ -42,6 +42,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.in_hold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op9_quality)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op9_quality, op10_embedding_dedup)}
 
 ORACLES: dict[str, str] = {}
