@@ -1,10 +1,64 @@
-"""Corpus preparation as named stages over ``documents``."""
+"""Corpus preparation over ``documents``: quality, near-duplicates, benchmark leaks, secrets, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; a stage's result is written as Parquet
+and read again. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.llm import byte_bpe, decontaminate, minhash_dedup, quality, secret_scan
+from quillframe.llm.storage import written
+from quillframe.sources.tables import table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt from ``labels``, accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near-duplicates."""
+    copies = minhash_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by a mark."""
+    redacted = secret_scan.redact(secret_scan.find_secrets(docs))
+    return redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document and whether they decode to its text."""
+    coded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    whole = F.coalesce(F.col("text"), F.lit("")).cast("binary") == F.col("decoded")
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", whole.alias("round_trip"))
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near_duplicates", keep_one_of_each_group),
+    ("benchmark_leaks", drop_benchmark_leaks),
+    ("secrets", redact_secrets),
+    ("tokens", encode_tokens),
+]
+
+#: Compression sizes, Poisson signatures and merges have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, embedding_dedup, minhash_dedup, quality, substring_dedup, token_counts, toxicity
+from quillframe.llm import byte_bpe, decontaminate, embedding_dedup, minhash_dedup, preference_format, quality, secret_scan, substring_dedup, token_counts, toxicity
 from quillframe.sources.tables import table
 
 
@@ -14,6 +14,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -36,6 +42,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", quality.in_hold_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k as the chosen one and 2k + 1 as the rejected one."""
+    conversations = table(spark, sf_dir, "conversations")
+    pairs = conversations.select(F.expr("conv_id div 2").alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+    return preference_format.format_pairs(conversations, pairs)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
+    counts = [F.expr(f"CAST(size(filter(secrets, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -46,6 +66,43 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op9_quality, op10_embedding_dedup)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op2_decontaminate, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_preference_format, op8_secret_scan, op9_quality, op10_embedding_dedup)}
+
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": r"""
+WITH lowered AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+placed AS (SELECT item_id, least(len(w), 10) AS n, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM placed),
+widths AS (SELECT DISTINCT n FROM windows),
+starts AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM lowered, widths WHERE len(w) >= n),
+hits AS (SELECT r, i, s.n AS n, item_id FROM (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram FROM starts) s JOIN windows USING (n, gram)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op7_preference_format": """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+paired AS (
+  SELECT a.conv_id // 2 AS pair_id, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.n AS na, b.n AS nb
+  FROM (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1) a JOIN (SELECT conv_id, count(*) AS n FROM turns GROUP BY 1) b ON b.conv_id = a.conv_id + 1 AND a.conv_id % 2 = 0),
+prefixed AS (
+  SELECT q.*, coalesce((SELECT min(x.p) - 1 FROM turns x LEFT JOIN turns y ON y.conv_id = q.rejected_id AND y.p = x.p AND y.role = x.role AND y.text = x.text WHERE x.conv_id = q.chosen_id AND y.p IS NULL), na) AS n
+  FROM paired q),
+drawn AS (
+  SELECT conv_id, p, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown, length(role) + 5 AS skip, length(text) AS size FROM turns),
+sided AS (
+  SELECT pair_id, side, string_agg(shown, '' ORDER BY p) AS body, string_agg(CASE WHEN role = 'assistant' THEN (before + skip)::VARCHAR || ':' || (before + skip + size)::VARCHAR END, ',' ORDER BY p) AS mask
+  FROM (SELECT pair_id, side, p, role, shown, skip, size, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM (SELECT pair_id, 'c' AS side, d.* FROM prefixed JOIN drawn d ON d.conv_id = chosen_id AND d.p > n UNION ALL SELECT pair_id, 'r', d.* FROM prefixed JOIN drawn d ON d.conv_id = rejected_id AND d.p > n)) GROUP BY 1, 2),
+prompts AS (SELECT pair_id, string_agg(shown, '' ORDER BY p) AS prompt FROM prefixed JOIN drawn d ON d.conv_id = chosen_id AND d.p <= n GROUP BY 1)
+SELECT q.pair_id, q.chosen_id, q.rejected_id, q.n::BIGINT AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(c.body, '') AS chosen, coalesce(r.body, '') AS rejected, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM prefixed q LEFT JOIN prompts USING (pair_id) LEFT JOIN sided c ON c.pair_id = q.pair_id AND c.side = 'c' LEFT JOIN sided r ON r.pair_id = q.pair_id AND r.side = 'r'
+""",
+}
