@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quillframe.plans import documents, events, narratives, notices, resolution, scoring, vectors
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (scoring, resolution, vectors, documents, notices, narratives, events):
+    QUERIES |= _module.book.queries
+    ORACLES |= _module.book.oracles
