@@ -1,0 +1,89 @@
+"""Office files from report tables: workbook, document and page bytes, for reports of a size a person reads.
+
+The tables that feed these are small by nature (one dossier); everything before them stays distributed.
+"""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+from pyspark.sql import DataFrame
+
+from quillframe.functions.parsers import blocks_of
+
+_TYPES = '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>{0}</Types>'
+_RELS = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{0}</Relationships>'
+_REL = '<Relationship Id="rId{0}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{1}" Target="{2}"/>'
+_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+def _zip(parts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def workbook(rows: DataFrame, sheet: str = "report") -> bytes:
+    """An xlsx of the rows with a header line; nulls are blank cells."""
+    lines = [rows.columns, *rows.toLocalIterator()]
+    cell = lambda v: "" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+    body = "".join("<row>" + "".join(cell(v) or "<c/>" for v in line) + "</row>" for line in lines)
+    return _zip({
+        "[Content_Types].xml": _TYPES.format('<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>'),
+        "_rels/.rels": _RELS.format(_REL.format(1, "officeDocument", "xl/workbook.xml")),
+        "xl/workbook.xml": f'<?xml version="1.0"?><workbook xmlns="{_MAIN}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": _RELS.format(_REL.format(1, "worksheet", "worksheets/sheet1.xml")),
+        "xl/worksheets/sheet1.xml": f'<?xml version="1.0"?><worksheet xmlns="{_MAIN}"><sheetData>{body}</sheetData></worksheet>',
+    })
+
+
+def document(markdown: str) -> bytes:
+    """A docx with the markdown's headings, paragraphs, items and tables."""
+    text = lambda t, style="": f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t xml:space=\"preserve\">{escape(t)}</w:t></w:r></w:p>"
+    parts, table = [], []
+
+    def close():
+        if table:
+            parts.append("<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{text(c)}</w:tc>" for c in r) + "</w:tr>" for r in table) + "</w:tbl>")
+            table.clear()
+
+    for b in blocks_of(markdown):
+        if b["kind"] == "row":
+            table.append(b["cells"])
+            continue
+        close()
+        parts.append(text(("• " if b["kind"] == "item" else "") + b["cells"][0], f"Heading{b['level']}" if b["kind"] == "heading" else ""))
+    close()
+    body = "".join(parts)
+    return _zip({
+        "[Content_Types].xml": _TYPES.format('<Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/>'),
+        "_rels/.rels": _RELS.format(_REL.format(1, "officeDocument", "word/document.xml")),
+        "word/document.xml": f'<?xml version="1.0"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>',
+    })
+
+
+def pages(markdown: str, lines: int = 60, width: int = 90) -> bytes:
+    """A plain PDF of the markdown's blocks, wrapped and paged."""
+    rows: list[str] = []
+    for b in blocks_of(markdown):
+        whole = " | ".join(b["cells"]) if b["kind"] == "row" else ("- " if b["kind"] == "item" else "") + b["cells"][0]
+        rows += [whole[i : i + width] for i in range(0, len(whole), width)] or [""]
+        rows += [""] if b["kind"] in ("heading", "paragraph") else []
+    sheets = [rows[i : i + lines] for i in range(0, len(rows), lines)] or [[]]
+    shown = lambda t: t.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(sheets), b" ".join(b"%d 0 R" % (4 + 2 * i) for i in range(len(sheets)))), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"]
+    for i, sheet in enumerate(sheets):
+        stream = b"BT /F1 10 Tf 50 800 Td 12 TL " + b"".join(b"(%s) Tj T* " % shown(r) for r in sheet) + b"ET"
+        objects += [b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * i), b"<< /Length %d >>\nstream\n%s\nendstream" % (len(stream), stream)]
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for n, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    start = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places)
+    out += b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start)
+    return bytes(out)

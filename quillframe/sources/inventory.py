@@ -34,7 +34,7 @@ def classify_extension(ext: Column) -> Column:
 def inventory(spark: SparkSession, root: str, *, plan_names: str | None = None) -> DataFrame:
     """(relative_path, filename, extension, size_bytes, sha256, kind, analyzable, reason, at_risk, parent_archive).
 
-    A file below <name>__extrait belongs to the archive <name>.zip beside that folder, if it exists; the shallowest one.
+    Spark's reader leaves out names that start with a dot or an underscore, so system metadata has no row there. A file below <name>__extrait belongs to the archive <name>.zip beside that folder, if it exists; the shallowest one.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace("path", r"^file:/+", "/")
