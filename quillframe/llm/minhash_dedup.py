@@ -10,9 +10,10 @@ similarity. Spans above a run's weight are never opened, and a process ends once
 Documents with equal bags form a class with the least id as its representative. Representatives that agree in a band of
 the signature share a bucket. A bucket proposes each member with one leader, drawn by hash; proposals are verified by
 the overlap of the two bags, and verified links are joined into components. Buckets whose members are then not all in
-one component are compared again, within blocks: pairs of different components whose signatures agree in at least
-``least_agreement`` of the places are proposed, verified and joined. So every link that bands and signatures show
-counts in the components, yet a large group never emits all its pairs.
+one component are compared again, within blocks: members whose signature agrees with one of another component in at
+least ``least_agreement`` of the places are suspects, and the suspects of a block are verified against each other in
+its task, which yields only links that join components. So every link that bands and signatures show counts in the
+components, yet a large group never emits its pairs.
 
 Null and empty texts hold no run and are nobody's duplicate. Rows without an id get null results. Rows of one id count
 as one document in the components. Other columns do not matter; an empty table gives an empty table.
@@ -29,12 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillframe.llm.arrow import hash_spans, mix, raw, slices, words
 from quillframe.llm.components import components
-from quillframe.llm.storage import written
+from quillframe.llm.storage import lookup, written
 from quillframe.llm.substring_dedup import _span_hash
 
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
-BLOCK = 256
+BLOCK = 512
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,42 +174,93 @@ def _verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame
     return joined.mapInArrow(run, schema)
 
 
-def _unresolved_pairs(members: DataFrame, least_agreement: float) -> DataFrame:
-    """Pairs of different components within a bucket's blocks whose signatures agree enough."""
+def _cells(batches, columns: tuple[str, ...]):
+    """(cell, rows) of consecutive rows with the same key, x and y, across batches."""
+    cell, rows = None, []
+    for batch in batches:
+        for k, x, y, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", *columns)), strict=True):
+            if (k, x, y) != cell:
+                if rows:
+                    yield cell, rows
+                cell, rows = (k, x, y), []
+            rows.append(row)
+    if rows:
+        yield cell, rows
+
+
+def _batched(rows, target: pa.Schema, size: int = 5000):
+    """Record batches of row tuples."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+
+
+def _suspects(members: DataFrame, least_agreement: float) -> DataFrame:
+    """Rows (key, x, y, block, rep, comp) of unresolved buckets' blocks that some row of another component resembles."""
     split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select(F.col("key").alias("bucket"), F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")).repartition(F.xxhash64("bucket", F.lit(1)))
     rows = members.join(split, F.col("key") == F.col("bucket")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "comp", "signature")
-    schema = T.StructType([T.StructField("a", members.schema["rep"].dataType), T.StructField("b", members.schema["rep"].dataType)])
+    schema = T.StructType([f for f in cells.schema if f.name != "signature"])
     target = to_arrow_schema(schema)
 
-    def compare(rows: list[tuple]) -> list[tuple]:
-        found = []
+    def compare(rows: list) -> np.ndarray:
         sign = np.array([np.frombuffer(r[3], "<u2") for r in rows])
-        comp, rep, block = [r[2] for r in rows], [r[1] for r in rows], [r[0] for r in rows]
-        inner = len(set(block)) == 1
-        codes = np.unique(comp, return_inverse=True)[1]
-        blocks = np.array(block)
-        for i in range(len(rows) - 1):
-            other = np.flatnonzero((codes[i + 1 :] != codes[i]) & (inner | (blocks[i + 1 :] != blocks[i]))) + i + 1
+        blocks, codes = np.array([r[0] for r in rows]), np.unique([r[2] for r in rows], return_inverse=True)[1]
+        seen = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(codes != np.bincount(codes).argmax()).tolist():  # each pair has a row outside the largest component
+            other = np.flatnonzero((codes != codes[i]) & ((blocks != blocks[i]) | (blocks.min() == blocks.max())))
             close = other[(sign[other] == sign[i]).sum(axis=1) >= least_agreement * PLACES]
-            found += [(min(rep[i], rep[j]), max(rep[i], rep[j])) for j in close.tolist()]
-        return found
+            if len(close):
+                seen[i] = True
+                seen[close] = True
+        return np.flatnonzero(seen)
 
     def run(batches):
-        cell, rows = None, []
-        for batch in batches:
-            out = []
-            for k, x, y, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "x", "y", "block", "rep", "comp", "signature")), strict=True):
-                if (k, x, y) != cell:
-                    out += compare(rows) if rows else []
-                    cell, rows = (k, x, y), []
-                rows.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
-        if rows and (out := compare(rows)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), target, strict=True)], schema=target)
+        yield from _batched(((*cell, *rows[i][:3]) for cell, rows in _cells(batches, ("block", "rep", "comp", "signature")) for i in compare(rows).tolist()), target)
+
+    return _dealt(cells).mapInArrow(run, schema)
+
+
+def _joining_links(suspects: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) between components of each cell's suspects: for each cell a forest of them."""
+    right = bags.select(F.col("_id").alias("ib"), "runs", "weights")
+    schema = T.StructType([T.StructField("a", suspects.schema["rep"].dataType), T.StructField("b", suspects.schema["rep"].dataType)])
+    target = to_arrow_schema(schema)
+
+    def links(rows: list):
+        runs, weights = [np.frombuffer(r[3], "<u8") for r in rows], [np.frombuffer(r[4], "<u4").astype(np.int64) for r in rows]
+        sizes, total = np.array([len(r) for r in runs]), np.array([w.sum() for w in weights])
+        code = np.unique(np.concatenate(runs), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        owner, load = np.repeat(np.arange(len(rows)), sizes)[order], np.concatenate(weights)[order]
+        first = np.searchsorted(code[order], np.arange(code.max() + 1))
+        last = np.append(first[1:], len(code))
+        ends = np.cumsum(sizes)
+        group = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        largest = np.bincount(group).argmax()
+        for i in np.flatnonzero(group != largest).tolist():
+            own = code[ends[i] - sizes[i] : ends[i]]
+            n = last[own] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], np.minimum(load[at], np.repeat(weights[i], n)), len(rows))
+            for j in np.flatnonzero(both >= similarity * (total + total[i] - both)).tolist():
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    yield min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
+
+    def run(batches):
+        yield from _batched((link for _, rows in _cells(batches, ("block", "rep", "comp", "runs", "weights")) for link in links(rows)), target)
 
-    return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, schema).where("a <> b").distinct()
+    return _dealt(suspects.join(right, F.col("rep") == F.col("ib")).drop("ib")).mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, least_agreement: float = 0.62, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,15 +273,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     banded = classes.select("rep", F.explode("bands").alias("key"))
     leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("draw"), "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), F.col("first.rep").alias("leader")).repartition(F.xxhash64("bucket", F.lit(1)))
     members = written(banded.join(leaders, F.col("key") == F.col("bucket")).select("key", "rep", "leader"), "buckets")
-    involved = members.select(F.col("rep").alias("_rep")).distinct()
-    bags = written(_bags(texts.join(involved, F.col("_id") == F.col("_rep")).select("_id", "_text"), shingle), "bags")
+    involved = written(members.select(F.col("rep").alias("_rep")).distinct(), "involved")
+    bags = written(_bags(texts.join(lookup(involved), F.col("_id") == F.col("_rep")).select("_id", "_text"), shingle), "bags")
     proposed = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = written(_verified(proposed, bags, similarity), "links")
     first = components(links, "a", "b")
     placed = members.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     signs = classes.select(F.col("rep").alias("_rep"), "signature")
-    again = _unresolved_pairs(written(placed.join(signs, F.col("rep") == F.col("_rep")).select("key", "rep", "comp", "signature"), "members"), least_agreement)
-    more = written(_verified(again, bags, similarity), "links")
+    unresolved = written(placed.join(signs, F.col("rep") == F.col("_rep")).select("key", "rep", "comp", "signature"), "members")
+    more = written(_joining_links(written(_suspects(unresolved, least_agreement), "suspects"), bags, similarity), "links")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     named = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("bag1", "bag2", "rep", F.coalesce("component", "rep").alias("component")), "named")
     named = named.select(F.col("bag1").alias("n1"), F.col("bag2").alias("n2"), "rep", "component")

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a few plain columns up to which a counted table is broadcast; a larger one is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def shared_folder(spark) -> str:
@@ -23,3 +27,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """df (a written table of ids with a few plain columns) as the small side of a join: broadcast if its counted rows
+    are few, else left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
