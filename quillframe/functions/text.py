@@ -133,7 +133,7 @@ def strip_labels(text: Column) -> Column:
 
 def table_cell(text: Column) -> Column:
     """Pipes escaped, line breaks as spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\\\|"), r"\r?\n", " ")
+    return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\r?\n", " ")
 
 
 def clamp(x: Column) -> Column:

@@ -68,3 +68,34 @@ def narrative_topics(markdown: Column) -> Column:
         return F.struct(strip_space(F.get(lines, F.lit(0))).alias("title"), body.alias("body"), F.transform(F.filter(inner, lambda x: F.regexp_like(x, F.lit(DIVERGENCE))), strip_space).alias("divergences"), F.regexp_count(body, F.lit(ABSENCE)).alias("absences"))
 
     return F.transform(parts, topic)
+
+
+def status_counts(risks: DataFrame, status: str = "status") -> DataFrame:
+    return risks.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def topic_totals(topics: DataFrame, group: str) -> DataFrame:
+    """Divergences and absences over a report's topics."""
+    return topics.groupBy(group).agg(F.sum(F.size("divergences")).alias("n_divergences"), F.sum("absences").alias("n_absences"))
+
+
+def contributing_models(rows: DataFrame, group: str, model: str = "model") -> DataFrame:
+    """Sorted distinct model names of each group, comma-joined."""
+    return rows.groupBy(group).agg(F.array_join(F.array_sort(F.collect_set(model)), ", ").alias("models"))
+
+
+def hazard_lines(report: Column, labels: dict[str, str]) -> Column:
+    """Label and value lines of a hazard map, in the labels' order; unknown values are left out."""
+    return F.array_join(F.array_compact(F.array(*(F.when(F.coalesce(F.element_at(report, k), F.lit("")) != "", F.concat(F.lit(f"- {label} : "), F.element_at(report, k))) for k, label in labels.items()))), "\n")
+
+
+def reorganisation(docs: DataFrame, dossier: str, order: str) -> DataFrame:
+    """source -> target of every document in the sorted copy. docs: category, lot, name (the wished one)."""
+    lot = F.when(F.coalesce("lot", F.lit("")) != "", F.concat(F.lit("/LOT "), F.translate("lot", "/\\", "--"))).otherwise("")
+    placed = docs.withColumn("folder", F.concat(dossier, F.lit("/"), "category", lot))
+    return distinct_targets(placed, "folder", "name", order).withColumn("target_path", F.concat_ws("/", "folder", "target"))
+
+
+def with_missing(schema: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Every schema entry in its order, with its row or nulls. schema: key, ord."""
+    return schema.join(rows, key, "left").orderBy(F.asc_nulls_last("ord"), key)
