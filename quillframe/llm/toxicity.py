@@ -18,6 +18,9 @@ replaced), an empty table gives an empty table. Rows without an id or label are
 
 from __future__ import annotations
 
+import pickle
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,11 +32,12 @@ from pyspark.sql.types import _parse_datatype_string
 
 from quillframe.llm.arrow import add_columns, hash_spans, mix, raw, words
 from quillframe.llm.quality import in_hold_out, logistic
-from quillframe.llm.storage import written
+from quillframe.llm.storage import lookup, written
 
 ORDER, SHARED, BITS, WINDOW, DISCOUNT = 6, 2, 19, 8, 0.9
 CELLS = 1 << BITS
 PIECE = 1 << 12
+WORDS_A_TASK = 1_000_000
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -55,22 +59,22 @@ def spell(found: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarr
 
 
 def _grams(counts: DataFrame) -> DataFrame:
-    """Per batch: (order, gram, its bucket, its context's bucket, lower gram's and context's buckets, weight in either class)."""
-    schema = _parse_datatype_string("k int, gram long, cell int, context int, lower int, base int, ordinary double, toxic double")
+    """(order, gram's bucket, its context's bucket, weight in either class) over all words; for the lowest order also
+    ``below``, the buckets of the shared model's gram and context as one number."""
+    schema = _parse_datatype_string("k int, cell int, context int, below long, ordinary double, toxic double")
     target = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                part = batch.slice(at, 20_000)
-                word, context, grams = spell(part.column("word").to_pylist())
-                weight = [part.column(c).to_numpy()[word] for c in ("ordinary", "toxic")]
-                for k in range(SHARED, ORDER):
-                    found, first, back = np.unique(grams[k], return_index=True, return_inverse=True)
-                    columns = [np.full(len(found), k), found.view(np.int64), _bucket(found), _bucket(context[k][first]), _bucket(grams[k - 1][first]), _bucket(context[k - 1][first]), *(np.bincount(back, w, len(found)) for w in weight)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, target, strict=True)], schema=target)
+            word, context, grams = spell(batch.column("word").to_pylist())
+            weight = [batch.column(c).to_numpy()[word] for c in ("ordinary", "toxic")]
+            for k in range(SHARED, ORDER):
+                key, first, back = np.unique((_bucket(grams[k]) << BITS) | _bucket(context[k]), return_index=True, return_inverse=True)
+                below = (_bucket(grams[k - 1][first]) << BITS) | _bucket(context[k - 1][first]) if k == SHARED else np.zeros(len(key), np.int64)
+                columns = [np.full(len(key), k), key >> BITS, key & (CELLS - 1), below, *(np.bincount(back, w, len(key)) for w in weight)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return counts.mapInArrow(run, schema).groupBy("k", "gram").agg(F.first("cell").alias("cell"), F.first("context").alias("context"), F.first("lower").alias("lower"), F.first("base").alias("base"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return counts.mapInArrow(run, schema).groupBy("k", "cell", "context", "below").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def _tables(grams: DataFrame) -> dict[str, np.ndarray]:
@@ -107,6 +111,13 @@ class Model:
         self.kind = np.bincount(base, minlength=CELLS).astype(np.float32)
         self.letters = max(1, len(lower))
 
+    def __getstate__(self) -> bytes:
+        """Most buckets are empty, so a broadcast carries the tables compressed."""
+        return zlib.compress(pickle.dumps(self.__dict__, protocol=5), 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.__dict__.update(pickle.loads(zlib.decompress(state)))
+
     def evidence(self, found: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
         word, context, grams = spell(found)
@@ -144,18 +155,20 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text: str = "text") -> Model | None:
     """The model from labelled rows outside the hold-out; None if a label is missing."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~in_hold_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("_label"))
-    known = known.withColumn("_hash", F.xxhash64(id_col))
+    known = written(known.withColumn("_hash", F.xxhash64(id_col)), "known")
     aside = F.pmod("_hash", F.lit(8)) == 0
     texts = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    tokens = texts.join(known.where(~aside), id_col).select("_label", F.explode(F.split(F.lower("_text"), r"[\x20\x09-\x0d]+")).alias("word")).where("word <> ''")
+    tokens = texts.join(lookup(known.where(~aside)), id_col).select("_label", F.explode(F.split(F.lower("_text"), r"[\x20\x09-\x0d]+")).alias("word")).where("word <> ''")
     counts = tokens.groupBy("word").agg(F.sum((F.col("_label") == 0).cast("double")).alias("ordinary"), F.sum((F.col("_label") == 1).cast("double")).alias("toxic"))
-    grams = written(_grams(counts), "grams")
-    pairs = grams.where(F.col("k") == SHARED).groupBy("lower", "base").count().toPandas().to_numpy(np.int64)
+    counts = written(counts, "words")
+    grams = written(_grams(counts.coalesce(max(1, counts.count() // WORDS_A_TASK))), "grams")  # a task's grams repeat in every other's
+    pairs = grams.where(F.col("k") == SHARED).groupBy("below").count().select((F.col("below") / CELLS).cast("int").alias("lower"), (F.col("below") % CELLS).cast("int").alias("base"), "count").toPandas().to_numpy(np.int64)
     model = Model(_tables(grams), pairs)
     picked = [known.where(aside & (F.col("_label") == v)).orderBy("_hash", id_col).limit(per_class) for v in (0, 1)]
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).select("_label", "_hash", "_text")  # at most 2 * per_class rows
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = add_columns(sample, "_text", "evidence double, length double", lambda: lambda t: [pa.array(x) for x in shared.value.features(t).T[:2]]).select("_label", "_hash", "evidence", "length").toPandas().sort_values(["_hash", "_label"])
+    shared.destroy()
     if rows._label.nunique() < 2:
         return None
     x = np.column_stack([rows.evidence, rows.length, np.ones(len(rows))])
