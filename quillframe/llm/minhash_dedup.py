@@ -278,13 +278,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     proposed = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = written(_verified(proposed, bags, similarity), "links")
     first = components(links, "a", "b")
-    placed = members.join(first, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.join(lookup(first), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     signs = classes.select(F.col("rep").alias("_rep"), "signature")
     unresolved = written(placed.join(signs, F.col("rep") == F.col("_rep")).select("key", "rep", "comp", "signature"), "members")
     more = written(_joining_links(written(_suspects(unresolved, least_agreement), "suspects"), bags, similarity), "links")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-    named = written(classes.join(final, F.col("rep") == F.col("node"), "left").select("bag1", "bag2", "rep", F.coalesce("component", "rep").alias("component")), "named")
-    named = named.select(F.col("bag1").alias("n1"), F.col("bag2").alias("n2"), "rep", "component")
+    named = written(classes.join(lookup(final), F.col("rep") == F.col("node"), "left").select("bag1", "bag2", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    named = lookup(named.select(F.col("bag1").alias("n1"), F.col("bag2").alias("n2"), "rep", "component"))
     own = F.col("n_shingles") == 0
     return signed.join(named, (F.col("bag1") == F.col("n1")) & (F.col("bag2") == F.col("n2")) & ~own, "left").select(
         F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id")).alias("class_id"), F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id")
