@@ -8,8 +8,11 @@ text's evidence is the highest length-normalised difference of any run of ``WIND
 counts in a long text; a logistic calibration with the text's length turns it into a chance.
 
 Word counts cover all labelled rows outside the hold-out but for a share kept for the calibration, which is fitted on
-at most ``per_class`` rows of each label. Grams are counted in 2^BITS buckets for each order, so the broadcast model has
-a fixed size whatever the corpus.
+at most ``per_class`` rows of each label. Grams are counted exactly, as the characters they are, in a written table that
+grows with the labelled text. To score, the texts are encoded in blocks of about ``BLOCK_BYTES``; a block asks for each
+of its different longest grams once, in lists dealt by the last three characters of the context. All shorter grams and
+contexts of a list share these, so one task finds every count of a list and sends its evidences back to the block. No
+count passes through the driver or a broadcast.
 
 Nulls count as empty texts; an empty text has no evidence and gets the calibrated score of that. Without rows of both
 labels the score is 0. Repeated rows are scored each, other columns pass through (``score`` and ``predicted`` are
@@ -20,136 +23,273 @@ from __future__ import annotations
 
 import pickle
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from quillframe.llm.arrow import add_columns, hash_spans, mix, raw, words
+from quillframe.llm.arrow import hash_spans, raw, slices, words
 from quillframe.llm.quality import in_hold_out, logistic
 from quillframe.llm.storage import lookup, written
 
-ORDER, SHARED, BITS, WINDOW, DISCOUNT = 6, 2, 19, 8, 0.9
-CELLS = 1 << BITS
-PIECE = 1 << 12
+ORDER, SHARED, WINDOW, DISCOUNT = 6, 2, 8, 0.9
+LISTS = 1021
+BLOCK_BYTES = 16_000_000
+ROWS_AT_ONCE = 200_000
 WORDS_A_TASK = 1_000_000
+ONE, TWO = (1 << 21) - 1, (1 << 42) - 1  # one and two characters of 21 bits
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def spell(found: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Word number of every character (with an end mark); hashes of its contexts and grams of each order."""
+def spell(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word number of every character (with an end mark) and its longest gram: three characters in either number."""
     pad = "\x02" * (ORDER - 1)
-    points = np.frombuffer("".join(f"{pad}{w}\x03" for w in found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points = np.frombuffer("".join(f"{pad}{w}\x03" for w in found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     sizes = np.fromiter(map(len, found), np.int64, len(found)) + ORDER
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(place >= ORDER - 1)
-    context = [np.zeros(len(at), np.uint64)]
-    for k in range(1, ORDER):
-        context.append(mix(context[-1] * np.uint64(0x100000001B3) + points[at - k] + np.uint64(k << 32)))
-    grams = [mix(c * np.uint64(0xC2B2AE3D27D4EB4F) + points[at] + np.uint64(7)) for c in context]
-    return np.repeat(np.arange(len(found)), sizes)[at], context, grams
+    hi, lo = (points[at - i - 2] << 42 | points[at - i - 1] << 21 | points[at - i] for i in (3, 0))
+    return np.repeat(np.arange(len(found)), sizes)[at], hi, lo
+
+
+def _cut(hi, k: int):
+    """The first number of a gram cut to its last k + 1 characters; the second number stays, as k >= SHARED."""
+    return hi & ((1 << 21 * (k - SHARED)) - 1)
+
+
+def _list(hi, lo):
+    """The list of a gram, by the three characters before its last; of numpy arrays or Spark columns alike."""
+    if isinstance(hi, np.ndarray):
+        before, last = lo >> 42, (lo >> 21) & ONE
+        return ((hi & ONE) * 7919 + before * 104729 + last * 1299709) % LISTS
+    before, last = F.shiftright(lo, 42), F.shiftright(lo, 21).bitwiseAND(ONE)
+    return ((hi.bitwiseAND(ONE) * 7919 + before * 104729 + last * 1299709) % LISTS).cast("int")
+
+
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, equal for equal keys and in their order, and the first row of each number."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
 
 
 def _grams(counts: DataFrame) -> DataFrame:
-    """(order, gram's bucket, its context's bucket, weight in either class) over all words; for the lowest order also
-    ``below``, the buckets of the shared model's gram and context as one number."""
-    schema = _parse_datatype_string("k int, cell int, context int, below long, ordinary double, toxic double")
+    """(k, hi, lo, weight in either class) of all grams of k + 1 characters over all words."""
+    schema = _parse_datatype_string("k int, hi long, lo long, ordinary double, toxic double")
     target = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            word, context, grams = spell(batch.column("word").to_pylist())
+            word, hi, lo = spell(batch.column("word").to_pylist())
             weight = [batch.column(c).to_numpy()[word] for c in ("ordinary", "toxic")]
             for k in range(SHARED, ORDER):
-                key, first, back = np.unique((_bucket(grams[k]) << BITS) | _bucket(context[k]), return_index=True, return_inverse=True)
-                below = (_bucket(grams[k - 1][first]) << BITS) | _bucket(context[k - 1][first]) if k == SHARED else np.zeros(len(key), np.int64)
-                columns = [np.full(len(key), k), key >> BITS, key & (CELLS - 1), below, *(np.bincount(back, w, len(key)) for w in weight)]
+                number, first = _numbered(_cut(hi, k), lo)
+                columns = [np.full(len(first), k), _cut(hi, k)[first], lo[first], *(np.bincount(number, w, len(first)) for w in weight)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return counts.mapInArrow(run, schema).groupBy("k", "cell", "context", "below").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    return counts.mapInArrow(run, schema).groupBy("k", "hi", "lo").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
 
+@dataclass(frozen=True)
+class Model:
+    """The written table of exact gram counts in both classes, and the calibration."""
 
-def _tables(grams: DataFrame) -> dict[str, np.ndarray]:
-    """Bucketed counts: grams[k, class], contexts[k, class] (occurrences) and kinds[k, class] (different grams)."""
-    rows = grams.select("k", "cell", F.lit(0).alias("kind"), "ordinary", "toxic", F.lit(0).alias("o"), F.lit(0).alias("t"))
-    contexts = grams.select("k", F.col("context").alias("cell"), F.lit(1).alias("kind"), "ordinary", "toxic", (F.col("ordinary") > 0).cast("int").alias("o"), (F.col("toxic") > 0).cast("int").alias("t"))
-    cells = rows.unionByName(contexts).groupBy("k", "kind", "cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("o").alias("o"), F.sum("t").alias("t"))
-    packed = _parse_datatype_string("k int, kind int, block int, cells binary")
+    grams: DataFrame
+    weights: tuple[float, ...] = ()
 
-    def pack(key, frame):
-        out = np.zeros((4, PIECE), "<f4")
-        out[:, frame["cell"].to_numpy() % PIECE] = frame[["ordinary", "toxic", "o", "t"]].to_numpy().T
-        return pd.DataFrame({"k": [key[0]], "kind": [key[1]], "block": [key[2]], "cells": [out.tobytes()]})
 
-    blocks = cells.withColumn("block", (F.col("cell") / PIECE).cast("int")).groupBy("k", "kind", "block").applyInPandas(pack, packed)
-    n = ORDER - SHARED
-    found = {"grams": np.zeros((n, 2, CELLS), np.float32), "contexts": np.zeros((n, 2, CELLS), np.float32), "kinds": np.zeros((n, 2, CELLS), np.float32)}
-    for k, kind, block, data in blocks.toPandas().itertuples(index=False):
-        part, to = np.frombuffer(data, "<f4").reshape(4, PIECE), slice(block * PIECE, (block + 1) * PIECE)
-        found["contexts" if kind else "grams"][k - SHARED, :, to] = part[:2]
-        if kind:
-            found["kinds"][k - SHARED, :, to] = part[2:]
-    return found
+ROW = "block long, list int, data binary"
+WHOLE, FOURS = -2, -1  # "lists" of a block's own row and of its different grams of four characters
 
 
-class Model:
-    """Both classes' counts and the shared model below them."""
-
-    def __init__(self, tables: dict[str, np.ndarray], pairs: np.ndarray, weights: np.ndarray | None = None):
-        self.tables, self.weights = tables, weights
-        lower, base, many = pairs.T if len(pairs) else np.zeros((3, 0), np.int64)
-        self.follow = np.bincount(lower, many, CELLS).astype(np.float32)  # different contexts in which a gram of two follows
-        self.total = np.bincount(base, many, CELLS).astype(np.float32)
-        self.kind = np.bincount(base, minlength=CELLS).astype(np.float32)
-        self.letters = max(1, len(lower))
-
-    def __getstate__(self) -> bytes:
-        """Most buckets are empty, so a broadcast carries the tables compressed."""
-        return zlib.compress(pickle.dumps(self.__dict__, protocol=5), 1)
-
-    def __setstate__(self, state: bytes) -> None:
-        self.__dict__.update(pickle.loads(zlib.decompress(state)))
-
-    def evidence(self, found: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) of each word."""
-        word, context, grams = spell(found)
-        g, c = _bucket(grams[SHARED - 1]), _bucket(context[SHARED - 1])
-        total = np.maximum(self.total[c], 1)
-        shared = (np.maximum(self.follow[g] - DISCOUNT, 0) + DISCOUNT * np.maximum(self.kind[c], 1) / self.letters) / total
-        p = [shared, shared]
-        for k in range(SHARED, ORDER):
-            g, c = _bucket(grams[k]), _bucket(context[k])
-            for y in (0, 1):
-                n = self.tables["contexts"][k - SHARED, y][c]
-                own = np.maximum(self.tables["grams"][k - SHARED, y][g] - DISCOUNT, 0) + DISCOUNT * np.maximum(self.tables["kinds"][k - SHARED, y][c], 1) * p[y]
-                p[y] = np.where(n > 0, own / np.maximum(n, 1), p[y])
-        return np.bincount(word, np.log(p[1]) - np.log(p[0]), len(found))
-
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Highest mean evidence of a window of words, length, constant."""
-        data, offsets = raw(pc.utf8_lower(texts.cast(pa.large_string())))
-        starts, stops, doc = words(data, offsets)
-        count = np.bincount(doc, minlength=len(texts))
-        best = np.where(count > 0, -np.inf, 0.0)
-        if len(starts):
-            _, first, back = np.unique(hash_spans(data, starts, stops), return_index=True, return_inverse=True)
-            text = data.tobytes()
-            each = self.evidence([text[a:b].decode() for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])[back]
-            total = np.append(0, np.cumsum(each))
-            ahead = np.cumsum(count)
-            begin = np.arange(len(each))
-            end = np.minimum(begin + WINDOW, ahead[doc])
-            use = (end - begin == WINDOW) | (begin == ahead[doc] - count[doc])  # a shorter text is one window
-            np.maximum.at(best, doc[use], ((total[end] - total[begin]) / (end - begin))[use])
-        return np.column_stack([best, np.log1p(count), np.ones(len(best))])
+def _packed(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(pickle.dumps([a.tobytes() for a in arrays], protocol=5), 1)
+
+
+def _unpacked(data: bytes, *types) -> list[np.ndarray]:
+    return [np.frombuffer(x, t) for x, t in zip(pickle.loads(zlib.decompress(data)), types, strict=True)]
+
+
+def _asked(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word and number of every longest gram of the words; list and characters of each different one, by list."""
+    word, hi, lo = spell(found)
+    number, first = _numbered(_list(hi, lo), hi, lo)
+    return word, number, _list(hi, lo)[first], hi[first], lo[first]
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """Rows of each block of (_content, _text): itself, its grams of four characters, and its grams list by list."""
+    schema = _parse_datatype_string(ROW)
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        task, made = TaskContext.get().partitionId(), 0
+        index, contents, counts, tokens, held = {}, [], [], [], 0
+
+        def ended():
+            nonlocal index, contents, counts, tokens, held, made
+            found = list(index)
+            block = [_packed(np.frombuffer(b"".join(contents), np.uint8), np.concatenate(counts).astype(np.int32), np.concatenate(tokens).astype(np.int32), np.frombuffer("\n".join(found).encode(), np.uint8))]
+            _, _, name, hi, lo = _asked(found)
+            _, first = _numbered(_cut(hi, 3), lo)
+            cuts = np.flatnonzero(np.diff(name, prepend=-1))
+            parts = [_packed(h, x) for h, x in zip(np.split(hi, cuts[1:]), np.split(lo, cuts[1:]), strict=True)] if len(cuts) else []
+            rows = [[WHOLE, FOURS, *name[cuts].tolist()], [*block, _packed(_cut(hi, 3)[first], lo[first]), *parts]]
+            number = (task << 32) | made
+            index, contents, counts, tokens, held, made = {}, [], [], [], 0, made + 1
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(rows[0]), pa.int64()), pa.array(rows[0], pa.int32()), pa.array(rows[1], target.field("data").type)], schema=target)
+
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                data, offsets = raw(pc.utf8_lower(part.column("_text").cast(pa.large_string())))
+                starts, stops, doc = words(data, offsets)
+                _, first, back = np.unique(hash_spans(data, starts, stops), return_index=True, return_inverse=True)
+                text = data.tobytes()
+                own = [index.setdefault(text[a:b].decode(), len(index)) for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+                contents += part.column("_content").to_pylist()
+                counts.append(np.bincount(doc, minlength=part.num_rows))
+                tokens.append(np.array(own, np.int64)[back])
+                held += len(data)
+                if held >= BLOCK_BYTES:
+                    yield ended()
+        if contents:
+            yield ended()
+
+    return texts.mapInArrow(run, schema)
+
+
+def _fours(blocks: DataFrame, grams: DataFrame) -> DataFrame:
+    """(hi, lo, ordinary, toxic): either class's chance of the last three characters of each gram of four asked for."""
+    schema = _parse_datatype_string("hi long, lo long")
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _unpacked(data, np.int64, np.int64)], schema=target)
+
+    asked = written(blocks.where(F.col("list") == FOURS).select("data").mapInArrow(run, schema).distinct(), "fours")
+    three = grams.where(F.col("k") == SHARED).select("lo", "ordinary", "toxic")
+    above = three.groupBy(F.shiftright("lo", 21).alias("c")).agg(*(f(x).alias(f"{x[0]}{n}") for x in ("ordinary", "toxic") for n, f in (("n", F.sum), ("k", lambda x: F.sum((F.col(x) > 0).cast("double"))))))
+    pairs = three.groupBy(F.col("lo").bitwiseAND(TWO).alias("pair")).agg(F.count("*").alias("follow"))  # different contexts in which a gram of two follows
+    bases = pairs.groupBy(F.shiftright("pair", 21).alias("base")).agg(F.sum("follow").alias("total"), F.count("*").alias("kinds"))
+    letters = max(1, pairs.count())
+    need = asked.select("lo").distinct()
+    joined = need.join(three.withColumnRenamed("lo", "g"), F.col("lo") == F.col("g"), "left").join(above, F.shiftright("lo", 21) == F.col("c"), "left")
+    joined = joined.join(pairs, F.col("lo").bitwiseAND(TWO) == F.col("pair"), "left").join(bases, F.shiftright("lo", 21).bitwiseAND(ONE) == F.col("base"), "left")
+    shared = (F.greatest(F.coalesce("follow", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.coalesce("kinds", F.lit(1)) / letters) / F.coalesce("total", F.lit(1))
+    chance = lambda x, n, k: F.when(F.col(n) > 0, (F.greatest(F.coalesce(x, F.lit(0.0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.greatest(k, F.lit(1.0)) * F.col("p")) / F.greatest(n, F.lit(1.0))).otherwise(F.col("p"))
+    chances = joined.withColumn("p", shared).select(F.col("lo").alias("_lo"), chance("ordinary", "on", "ok").alias("ordinary"), chance("toxic", "tn", "tk").alias("toxic"))
+    return asked.join(chances, F.col("lo") == F.col("_lo")).select("hi", "lo", "ordinary", "toxic")
+
+
+def _evidence(rows: dict[str, np.ndarray], hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """log P(last character | toxic) - log P(last character | ordinary) of each gram, from its lists' counts."""
+    def among(at, *pairs):
+        known, asked = zip(*pairs, strict=True)
+        number, _ = _numbered(*(np.concatenate([x[at], y]) for x, y in zip(known, asked, strict=True)))
+        return number[: len(at)], number[len(at) :], len(number)
+
+    at = np.flatnonzero(rows["k"] == SHARED)
+    known, asked, n = among(at, (rows["hi"], _cut(hi, 3)), (rows["lo"], lo))
+    p = [np.bincount(known, rows[c][at], n)[asked] for c in ("ordinary", "toxic")]
+    for k in range(SHARED + 1, ORDER):
+        at = np.flatnonzero(rows["k"] == k)
+        known, asked, n = among(at, (rows["hi"], _cut(hi, k)), (rows["lo"], lo))
+        above, base, _ = among(at, (rows["hi"], _cut(hi, k)), (rows["lo"] >> 21, lo >> 21))
+        for y, c in enumerate(("ordinary", "toxic")):
+            weight = rows[c][at]
+            total, kinds = np.bincount(above, weight, n)[base], np.bincount(above, weight > 0, n)[base]
+            own = np.maximum(np.bincount(known, weight, n)[asked] - DISCOUNT, 0) + DISCOUNT * np.maximum(kinds, 1) * p[y]
+            p[y] = np.where(total > 0, own / np.maximum(total, 1), p[y])
+    return np.log(p[1]) - np.log(p[0])
+
+
+def _groups(batches, key: str, most: int):
+    """Tables of whole groups of ``key`` (by which the rows are sorted), of about ``most`` rows; a group is never cut."""
+    parts, size = [], 0
+    for batch in batches:
+        if size >= most:
+            values = batch.column(key).to_numpy()
+            last = parts[-1].column(key)[-1].as_py()
+            same = int(np.searchsorted(values, last, "right"))
+            if same < len(values):
+                yield pa.Table.from_batches([*parts, batch.slice(0, same)])
+                parts, size, batch = [], 0, batch.slice(same)
+        if batch.num_rows:
+            parts.append(batch)
+            size += batch.num_rows
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _answers(blocks: DataFrame, grams: DataFrame, fours: DataFrame) -> DataFrame:
+    """Rows of (block, list) with the evidence of each gram of the block's list, in its order."""
+    schema = _parse_datatype_string(ROW)
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for t in _groups(batches, "list", ROWS_AT_ONCE):
+            asks = pc.is_valid(t.column("data"))
+            known, asked = t.filter(pc.invert(asks)), t.filter(asks)
+            lists = [_unpacked(x, np.int64, np.int64) for x in asked.column("data").to_pylist()]
+            if not lists:
+                continue
+            number, first = _numbered(*(hi_lo := [np.concatenate(x) for x in zip(*lists, strict=True)]))
+            each = _evidence({c: known.column(c).to_numpy() for c in ("k", "hi", "lo", "ordinary", "toxic")}, *(x[first] for x in hi_lo)).astype(np.float32)[number]
+            ends = np.cumsum([len(x[0]) for x in lists])
+            data = [zlib.compress(x.tobytes(), 1) for x in np.split(each, ends[:-1])]
+            for at in range(0, len(data), 1000):
+                yield pa.RecordBatch.from_arrays([asked.column("block").combine_chunks()[at : at + 1000], asked.column("list").combine_chunks()[at : at + 1000], pa.array(data[at : at + 1000], target.field("data").type)], schema=target)
+
+    counts = grams.where(F.col("k") > SHARED).unionByName(fours.withColumn("k", F.lit(SHARED))).withColumn("list", _list(F.col("hi"), F.col("lo")))
+    lists = blocks.where("list >= 0").unionByName(counts, allowMissingColumns=True)
+    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(run, schema)
+
+
+def features(texts: DataFrame, model: Model) -> DataFrame:
+    """(_content, evidence, length) of each different text: highest mean evidence of a window of words, log of words."""
+    blocks = written(_blocks(texts), "blocks")
+    answers = _answers(blocks, model.grams, _fours(blocks, model.grams))
+    schema = _parse_datatype_string("_content binary, evidence double, length double")
+    target = to_arrow_schema(schema)
+
+    def run(batches):
+        for t in _groups(batches, "block", 1):
+            number, data = t.column("block").to_numpy(), t.column("data")
+            cuts = np.flatnonzero(np.diff(number, prepend=-1))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(number)], strict=True):
+                contents, count, token, text = _unpacked(data[a].as_py(), np.uint8, np.int32, np.int32, np.uint8)
+                found = text.tobytes().decode().split("\n") if len(text) else []
+                word, gram, *_ = _asked(found)
+                own = [np.frombuffer(zlib.decompress(x), np.float32) for x in data[a + 1 : b].to_pylist()]
+                each = np.bincount(word, np.concatenate([*own, np.zeros(0, np.float32)])[gram], len(found))[token]
+                best = np.where(count > 0, -np.inf, 0.0)
+                if len(each):
+                    doc, ahead = np.repeat(np.arange(len(count)), count), np.cumsum(count)
+                    total, begin = np.append(0, np.cumsum(each)), np.arange(len(each))
+                    end = np.minimum(begin + WINDOW, ahead[doc])
+                    use = (end - begin == WINDOW) | (begin == ahead[doc] - count[doc])  # a shorter text is one window
+                    np.maximum.at(best, doc[use], ((total[end] - total[begin]) / (end - begin))[use])
+                raw_contents = contents.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([raw_contents[i : i + 16] for i in range(0, len(raw_contents), 16)], target.field("_content").type), pa.array(best), pa.array(np.log1p(count))], schema=target)
+
+    dealt = blocks.where(F.col("list") == WHOLE).unionByName(answers).repartition("block").sortWithinPartitions("block", "list").mapInArrow(run, schema)
+    return written(dealt.groupBy("_content").agg(F.max("evidence").alias("evidence"), F.max("length").alias("length")), "features")
+
+
+def _content(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text: str = "text") -> Model | None:
@@ -162,31 +302,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class:
     counts = tokens.groupBy("word").agg(F.sum((F.col("_label") == 0).cast("double")).alias("ordinary"), F.sum((F.col("_label") == 1).cast("double")).alias("toxic"))
     counts = written(counts, "words")
     grams = written(_grams(counts.coalesce(max(1, counts.count() // WORDS_A_TASK))), "grams")  # a task's grams repeat in every other's
-    pairs = grams.where(F.col("k") == SHARED).groupBy("below").count().select((F.col("below") / CELLS).cast("int").alias("lower"), (F.col("below") % CELLS).cast("int").alias("base"), "count").toPandas().to_numpy(np.int64)
-    model = Model(_tables(grams), pairs)
     picked = [known.where(aside & (F.col("_label") == v)).orderBy("_hash", id_col).limit(per_class) for v in (0, 1)]
-    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).select("_label", "_hash", "_text")  # at most 2 * per_class rows
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = add_columns(sample, "_text", "evidence double, length double", lambda: lambda t: [pa.array(x) for x in shared.value.features(t).T[:2]]).select("_label", "_hash", "evidence", "length").toPandas().sort_values(["_hash", "_label"])
-    shared.destroy()
+    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).select("_label", "_hash", "_text", _content("_text").alias("_content"))  # at most 2 * per_class rows
+    sample = written(sample, "sample")
+    found = features(sample.select("_content", "_text"), Model(grams))
+    rows = sample.select("_label", "_hash", "_content").join(found, "_content").select("_label", "_hash", "evidence", "length").toPandas().sort_values(["_hash", "_label"])
     if rows._label.nunique() < 2:
         return None
     x = np.column_stack([rows.evidence, rows.length, np.ones(len(rows))])
-    model.weights = logistic(x, rows._label.to_numpy(float))
-    return model
+    return Model(grams, tuple(logistic(x, rows._label.to_numpy(float)).tolist()))
 
 
 def score(docs: DataFrame, model: Model | None, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with ``score`` (0 to 1, higher: likelier toxic) and ``predicted``."""
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(int(threshold <= 0))})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        def compute(texts: pa.Array) -> list[pa.Array]:
-            s = 1 / (1 + np.exp(-np.clip(shared.value.features(texts) @ shared.value.weights, -30, 30)))
-            return [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-
-        return compute
-
-    return add_columns(docs, text, "score double, predicted int", make)
+    found = features(docs.select(_content(text).alias("_content"), F.coalesce(F.col(text), F.lit("")).alias("_text")), model)
+    a, b, c = model.weights
+    chance = 1 / (1 + F.exp(-F.greatest(F.least(F.col("evidence") * a + F.col("length") * b + c, F.lit(30.0)), F.lit(-30.0))))
+    scored = found.select("_content", chance.alias("score"), (chance >= threshold).cast("int").alias("predicted"))
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    return docs.select(*kept, _content(text).alias("_content")).join(scored, "_content", "left").select(*kept, "score", "predicted")
