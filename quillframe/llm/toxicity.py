@@ -7,8 +7,8 @@ expression which neither class knows says nothing. A word's evidence is the diff
 text's evidence is the highest length-normalised difference of any run of ``WINDOW`` words, so a short toxic passage
 counts in a long text; a logistic calibration with the text's length turns it into a chance.
 
-Word counts cover all labelled rows outside the hold-out but for a share kept for the calibration, which is fitted on
-at most ``per_class`` rows of each label. Grams are counted exactly, as the characters they are, in a written table that
+Word counts cover all labelled rows outside the hold-out but those that the calibration is fitted on: at most
+``per_class`` rows of each label, out of an eighth of the rows by hash. Grams are counted exactly, as the characters they are, in a written table that
 grows with the labelled text. To score, the texts are encoded in blocks of about ``BLOCK_BYTES``; a block asks for each
 of its different longest grams once, in lists dealt by the last three characters of the context. All shorter grams and
 contexts of a list share these, so one task finds every count of a list and sends its evidences back to the block. No
@@ -292,18 +292,24 @@ def _content(text: str) -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
+def counted(known: DataFrame, picked: DataFrame, id_col: str) -> DataFrame:
+    """The labelled rows to count: all that the calibration has not picked."""
+    return known.join(F.broadcast(picked.select(id_col)), id_col, "left_anti")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, id_col: str = "doc_id", text: str = "text") -> Model | None:
     """The model from labelled rows outside the hold-out; None if a label is missing."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~in_hold_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("_label"))
     known = written(known.withColumn("_hash", F.xxhash64(id_col)), "known")
-    aside = F.pmod("_hash", F.lit(8)) == 0
+    aside = F.pmod("_hash", F.lit(8)) == 0  # so that a small table leaves most of its rows for the counts
+    picked = [known.where(aside & (F.col("_label") == v)).orderBy("_hash", id_col).limit(per_class) for v in (0, 1)]
+    picked = written(picked[0].unionByName(picked[1]), "picked")  # at most 2 * per_class rows
     texts = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    tokens = texts.join(lookup(known.where(~aside)), id_col).select("_label", F.explode(F.split(F.lower("_text"), r"[\x20\x09-\x0d]+")).alias("word")).where("word <> ''")
+    tokens = texts.join(lookup(counted(known, picked, id_col)), id_col).select("_label", F.explode(F.split(F.lower("_text"), r"[\x20\x09-\x0d]+")).alias("word")).where("word <> ''")
     counts = tokens.groupBy("word").agg(F.sum((F.col("_label") == 0).cast("double")).alias("ordinary"), F.sum((F.col("_label") == 1).cast("double")).alias("toxic"))
     counts = written(counts, "words")
     grams = written(_grams(counts.coalesce(max(1, counts.count() // WORDS_A_TASK))), "grams")  # a task's grams repeat in every other's
-    picked = [known.where(aside & (F.col("_label") == v)).orderBy("_hash", id_col).limit(per_class) for v in (0, 1)]
-    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).select("_label", "_hash", "_text", _content("_text").alias("_content"))  # at most 2 * per_class rows
+    sample = texts.join(F.broadcast(picked), id_col).select("_label", "_hash", "_text", _content("_text").alias("_content"))
     sample = written(sample, "sample")
     found = features(sample.select("_content", "_text"), Model(grams))
     rows = sample.select("_label", "_hash", "_content").join(found, "_content").select("_label", "_hash", "evidence", "length").toPandas().sort_values(["_hash", "_label"])
