@@ -8,8 +8,8 @@ text's evidence is the highest length-normalised difference of any run of ``WIND
 counts in a long text; a logistic calibration with the text's length turns it into a chance.
 
 Word counts cover all labelled rows outside the hold-out but those that the calibration is fitted on: at most
-``per_class`` rows of each label, out of an eighth of the rows by hash. Grams are counted exactly, as the characters they are, in a written table that
-grows with the labelled text. To score, the texts are encoded in blocks of about ``BLOCK_BYTES``; a block asks for each
+``per_class`` rows of each label, out of an eighth of the rows by hash. Grams are counted exactly, as the characters
+they are, in a written table that grows with the labelled text. To score, the texts are encoded in blocks of about ``BLOCK_BYTES``; a block asks for each
 of its different longest grams once, in lists dealt by the last three characters of the context. All shorter grams and
 contexts of a list share these, so one task finds every count of a list and sends its evidences back to the block. No
 count passes through the driver or a broadcast.
@@ -22,12 +22,12 @@ replaced), an empty table gives an empty table. Rows without an id or label are
 from __future__ import annotations
 
 import pickle
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,11 +113,11 @@ WHOLE, FOURS = -2, -1  # "lists" of a block's own row and of its different grams
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(pickle.dumps([a.tobytes() for a in arrays], protocol=5), 1)
+    return zstandard.compress(pickle.dumps([a.tobytes() for a in arrays], protocol=5), 3)
 
 
 def _unpacked(data: bytes, *types) -> list[np.ndarray]:
-    return [np.frombuffer(x, t) for x, t in zip(pickle.loads(zlib.decompress(data)), types, strict=True)]
+    return [np.frombuffer(x, t) for x, t in zip(pickle.loads(zstandard.decompress(data)), types, strict=True)]
 
 
 def _asked(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,8 +138,11 @@ def _blocks(texts: DataFrame) -> DataFrame:
 
         def ended():
             nonlocal index, contents, counts, tokens, held, made
-            found = list(index)
-            block = [_packed(np.frombuffer(b"".join(contents), np.uint8), np.concatenate(counts).astype(np.int32), np.concatenate(tokens).astype(np.int32), np.frombuffer("\n".join(found).encode(), np.uint8))]
+            token, found = np.concatenate(tokens), list(index)
+            order = np.argsort(-np.bincount(token, minlength=len(found)), kind="stable")  # frequent words first, their bytes apart: shorter when packed
+            rank, found = np.argsort(order).astype("<u4"), [found[i] for i in order.tolist()]
+            planes = rank[token].view(np.uint8).reshape(-1, 4).T.copy()
+            block = [_packed(np.frombuffer(b"".join(contents), np.uint8), np.concatenate(counts).astype(np.int32), planes, np.frombuffer("\n".join(found).encode(), np.uint8))]
             _, _, name, hi, lo = _asked(found)
             _, first = _numbered(_cut(hi, 3), lo)
             cuts = np.flatnonzero(np.diff(name, prepend=-1))
@@ -248,7 +251,7 @@ def _answers(blocks: DataFrame, grams: DataFrame, fours: DataFrame) -> DataFrame
             number, first = _numbered(*(hi_lo := [np.concatenate(x) for x in zip(*lists, strict=True)]))
             each = _evidence({c: known.column(c).to_numpy() for c in ("k", "hi", "lo", "ordinary", "toxic")}, *(x[first] for x in hi_lo)).astype(np.float32)[number]
             ends = np.cumsum([len(x[0]) for x in lists])
-            data = [zlib.compress(x.tobytes(), 1) for x in np.split(each, ends[:-1])]
+            data = [zstandard.compress(x.tobytes(), 1) for x in np.split(each, ends[:-1])]
             for at in range(0, len(data), 1000):
                 yield pa.RecordBatch.from_arrays([asked.column("block").combine_chunks()[at : at + 1000], asked.column("list").combine_chunks()[at : at + 1000], pa.array(data[at : at + 1000], target.field("data").type)], schema=target)
 
@@ -269,10 +272,11 @@ def features(texts: DataFrame, model: Model) -> DataFrame:
             number, data = t.column("block").to_numpy(), t.column("data")
             cuts = np.flatnonzero(np.diff(number, prepend=-1))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(number)], strict=True):
-                contents, count, token, text = _unpacked(data[a].as_py(), np.uint8, np.int32, np.int32, np.uint8)
+                contents, count, planes, text = _unpacked(data[a].as_py(), np.uint8, np.int32, np.uint8, np.uint8)
+                token = planes.reshape(4, -1).T.copy().view("<u4").ravel()
                 found = text.tobytes().decode().split("\n") if len(text) else []
                 word, gram, *_ = _asked(found)
-                own = [np.frombuffer(zlib.decompress(x), np.float32) for x in data[a + 1 : b].to_pylist()]
+                own = [np.frombuffer(zstandard.decompress(x), np.float32) for x in data[a + 1 : b].to_pylist()]
                 each = np.bincount(word, np.concatenate([*own, np.zeros(0, np.float32)])[gram], len(found))[token]
                 best = np.where(count > 0, -np.inf, 0.0)
                 if len(each):

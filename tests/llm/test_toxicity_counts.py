@@ -92,3 +92,15 @@ def test_evidence_is_that_of_the_exact_counts(spark):
             size = min(toxicity.WINDOW, len(each))
             best = max((sum(each[i : i + size]) / size for i in range(len(each) - size + 1)), default=0.0) if each else 0.0
             assert np.allclose(found[content], (best, np.log1p(len(each))), atol=1e-4)
+
+
+def test_rows_that_the_calibration_leaves_are_counted(spark):
+    rng = random.Random(3)
+    rows = [(i, f"only{i} " + " ".join(rng.choice("abcdef") * 3 for _ in range(9)) + (" grobnik" if i % 2 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, per_class=5)
+    known = labels.where(~toxicity.in_hold_out(toxicity.F.col("doc_id"))).count()
+    ends = model.grams.where(f"k = {toxicity.ORDER - 1}").collect()
+    begun = sum(r.ordinary + r.toxic for r in ends if spelt(r.k, r.hi, r.lo) == PAD + "o")
+    assert begun == known - 10
