@@ -13,9 +13,12 @@ MOST_BROADCAST = 1_000_000
 
 
 def shared_folder(spark) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; unset (as in tests), a new temporary one."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets a new temporary folder,
+    a cluster's session without one is refused, as its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -29,7 +32,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df as a table of the warehouse bucketed by key, one bucket for each shuffle partition, read back: a join on the key
+    leaves it where it lies."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
 def lookup(df: DataFrame) -> DataFrame:
-    """df (a written table of ids with a few plain columns) as the small side of a join: broadcast if its counted rows
-    are few, else left to a shuffle join."""
+    """df (a written table of labelled ids) as the small side of a join: broadcast if its counted rows are few, else left
+    to a shuffle join."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by something else than its key, so that a join on the key deals both sides and may split a hot key."""
+    return df.repartition(F.xxhash64(key, F.lit(1)))
