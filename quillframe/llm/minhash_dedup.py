@@ -10,13 +10,17 @@ similarity. Spans above a run's weight are never opened, and a process ends once
 Documents with equal bags form a class with the least id as its representative. Representatives that agree in a band of
 the signature share a bucket. A bucket proposes each member with one leader, drawn by hash; proposals are verified by
 the overlap of the two bags, and verified links are joined into components. Buckets whose members are then not all in
-one component are compared again, within blocks: members whose signature agrees with one of another component in at
-least ``least_agreement`` of the places are suspects, and the suspects of a block are verified against each other in
-its task, which yields only links that join components. So every link that bands and signatures show counts in the
-components, yet a large group never emits its pairs.
+one component are compared again: the members outside the bucket's largest component against all members, block by
+block. Two members of different components whose signatures agree in at least ``least_agreement`` of the places are
+suspects, and the suspects of a pair of blocks are verified against each other in its task, which yields only links that
+join components. So every link that bands and signatures show counts in the components, yet a large group never emits
+its pairs, and a stray member of a bucket costs one more pass over the bucket.
+
+Memory: a block holds about ``block`` members and about ``BLOCK_SHINGLES`` shingles, whichever is fewer members.
 
 Null and empty texts hold no run and are nobody's duplicate. Rows without an id get null results. Rows of one id count
-as one document in the components. Other columns do not matter; an empty table gives an empty table.
+as one document in the components; each gets the verdict of its own text. Repeated rows get the same result each. Other
+columns do not matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,12 +34,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillframe.llm.arrow import hash_spans, mix, raw, slices, words
 from quillframe.llm.components import components
-from quillframe.llm.storage import lookup, written
+from quillframe.llm.storage import dealt_anew, written
 from quillframe.llm.substring_dedup import _span_hash
 
 BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
-BLOCK = 512
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +111,7 @@ def signatures(doc: np.ndarray, run: np.ndarray, weight: np.ndarray, n_docs: int
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    schema = T.StructType([docs.schema["_id"], T.StructField("n_shingles", T.LongType()), T.StructField("bag1", T.LongType()), T.StructField("bag2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+    schema = T.StructType([docs.schema["_id"], docs.schema["text_hash"], T.StructField("n_shingles", T.LongType()), T.StructField("bag1", T.LongType()), T.StructField("bag2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
     target = to_arrow_schema(schema)
 
     def run(batches):
@@ -129,7 +133,7 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 small = (mix(times) >> np.uint64(48)).astype("<u2")
                 signature = pa.array([row.tobytes() for row in small], pa.binary())
                 count = pa.array(np.bincount(doc, weights=weight, minlength=n).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), count, *bags, bands.cast(target.field("bands").type), signature], schema=target)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("text_hash"), count, *bags, bands.cast(target.field("bands").type), signature], schema=target)
 
     return docs.mapInArrow(run, schema)
 
@@ -204,20 +208,30 @@ def _dealt(cells: DataFrame) -> DataFrame:
     return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
 
 
-def _suspects(members: DataFrame, least_agreement: float) -> DataFrame:
-    """Rows (key, x, y, block, rep, comp) of unresolved buckets' blocks that some row of another component resembles."""
-    split = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select(F.col("key").alias("bucket"), F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks")).repartition(F.xxhash64("bucket", F.lit(1)))
-    rows = members.join(split, F.col("key") == F.col("bucket")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "comp", "signature")
+def _suspects(members: DataFrame, least_agreement: float, block: int) -> DataFrame:
+    """Rows (key, x, y, minor, rep, comp): suspects of unresolved buckets, by pair of blocks. Block x is one of members
+    outside the bucket's largest component (minor), block y one of all members. members: key, rep, comp, n_shingles,
+    signature."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "load", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("load").alias("load"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n, load: F.greatest(F.ceil(n / block), F.ceil(load / BLOCK_SHINGLES))
+    split = split.select(F.col("key").alias("bucket"), F.col("top.comp").alias("largest"), blocks(F.col("n") - F.col("top.n"), F.col("load") - F.col("top.load")).alias("nx"), blocks(F.col("n"), F.col("load")).alias("ny"))
+    rows = members.join(dealt_anew(split, "bucket"), F.col("key") == F.col("bucket")).withColumn("draw", F.xxhash64("rep"))
+    one, two = F.pmod("draw", "nx"), F.pmod("draw", "ny")
+    place = lambda x, y, minor: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(minor).alias("minor"))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1), lambda x: place(x, two, False))
+    minors = F.when(F.col("comp") != F.col("largest"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1), lambda y: place(one, y, True)))
+    cells = rows.select("key", F.inline(F.concat(every, F.coalesce(minors, F.slice(every, 1, 0)))), "rep", "comp", "signature")
     schema = T.StructType([f for f in cells.schema if f.name != "signature"])
     target = to_arrow_schema(schema)
 
     def compare(rows: list) -> np.ndarray:
-        sign = np.array([np.frombuffer(r[3], "<u2") for r in rows])
-        blocks, codes = np.array([r[0] for r in rows]), np.unique([r[2] for r in rows], return_inverse=True)[1]
+        sign, codes = np.array([np.frombuffer(r[3], "<u2") for r in rows]), np.unique([r[2] for r in rows], return_inverse=True)[1]
+        minor = np.array([r[0] for r in rows])
+        theirs = np.flatnonzero(~minor)
         seen = np.zeros(len(rows), bool)
-        for i in np.flatnonzero(codes != np.bincount(codes).argmax()).tolist():  # each pair has a row outside the largest component
-            other = np.flatnonzero((codes != codes[i]) & ((blocks != blocks[i]) | (blocks.min() == blocks.max())))
+        for i in np.flatnonzero(minor).tolist():
+            other = theirs[codes[theirs] != codes[i]]
             close = other[(sign[other] == sign[i]).sum(axis=1) >= least_agreement * PLACES]
             if len(close):
                 seen[i] = True
@@ -225,7 +239,7 @@ def _suspects(members: DataFrame, least_agreement: float) -> DataFrame:
         return np.flatnonzero(seen)
 
     def run(batches):
-        yield from _batched(((*cell, *rows[i][:3]) for cell, rows in _cells(batches, ("block", "rep", "comp", "signature")) for i in compare(rows).tolist()), target)
+        yield from _batched(((*cell, *rows[i][:3]) for cell, rows in _cells(batches, ("minor", "rep", "comp", "signature")) for i in compare(rows).tolist()), target)
 
     return _dealt(cells).mapInArrow(run, schema)
 
@@ -246,8 +260,7 @@ def _joining_links(suspects: DataFrame, bags: DataFrame, similarity: float) -> D
         last = np.append(first[1:], len(code))
         ends = np.cumsum(sizes)
         group = np.unique([r[2] for r in rows], return_inverse=True)[1]
-        largest = np.bincount(group).argmax()
-        for i in np.flatnonzero(group != largest).tolist():
+        for i in np.flatnonzero([r[0] for r in rows]).tolist():
             own = code[ends[i] - sizes[i] : ends[i]]
             n = last[own] - first[own]
             at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -258,34 +271,34 @@ def _joining_links(suspects: DataFrame, bags: DataFrame, similarity: float) -> D
                     yield min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])
 
     def run(batches):
-        yield from _batched((link for _, rows in _cells(batches, ("block", "rep", "comp", "runs", "weights")) for link in links(rows)), target)
+        yield from _batched((link for _, rows in _cells(batches, ("minor", "rep", "comp", "runs", "weights")) for link in links(rows)), target)
 
     return _dealt(suspects.join(right, F.col("rep") == F.col("ib")).drop("ib")).mapInArrow(run, schema).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, least_agreement: float = 0.62, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``class_id`` (least id with an equal bag), ``component_id`` (least id
-    reachable by links) and ``kept`` (whether it is that id)."""
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, least_agreement: float = 0.62, block: int = BLOCK, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: id, ``text_hash`` (xxhash64 of the text), ``n_shingles``, ``class_id`` (least id with an
+    equal bag), ``component_id`` (least id reachable by links) and ``kept`` (whether the row's id is that id)."""
+    texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     signed = written(_signed(texts, shingle), "signatures")
     present = signed.where("_id IS NOT NULL AND n_shingles > 0")
-    classes = written(present.groupBy("bag1", "bag2").agg(F.min("_id").alias("rep"), F.min_by(F.struct("bands", "signature"), "_id").alias("s")).select("bag1", "bag2", "rep", "s.bands", "s.signature"), "classes")
+    classes = written(present.groupBy("bag1", "bag2").agg(F.min("_id").alias("rep"), F.min_by(F.struct("bands", "signature", "n_shingles"), "_id").alias("s")).select("bag1", "bag2", "rep", "s.bands", "s.signature", "s.n_shingles"), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("draw"), "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), F.col("first.rep").alias("leader")).repartition(F.xxhash64("bucket", F.lit(1)))
-    members = written(banded.join(leaders, F.col("key") == F.col("bucket")).select("key", "rep", "leader"), "buckets")
+    leaders = banded.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key").alias("draw"), "rep")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("bucket"), F.col("first.rep").alias("leader"))
+    members = written(banded.join(dealt_anew(leaders, "bucket"), F.col("key") == F.col("bucket")).select("key", "rep", "leader"), "buckets")
     involved = written(members.select(F.col("rep").alias("_rep")).distinct(), "involved")
-    bags = written(_bags(texts.join(lookup(involved), F.col("_id") == F.col("_rep")).select("_id", "_text"), shingle), "bags")
+    bags = written(_bags(texts.join(involved, F.col("_id") == F.col("_rep")).dropDuplicates(["_id", "text_hash"]).select("_id", "_text"), shingle), "bags")
     proposed = members.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     links = written(_verified(proposed, bags, similarity), "links")
-    first = components(links, "a", "b")
-    placed = members.join(lookup(first), F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    signs = classes.select(F.col("rep").alias("_rep"), "signature")
-    unresolved = written(placed.join(signs, F.col("rep") == F.col("_rep")).select("key", "rep", "comp", "signature"), "members")
-    more = written(_joining_links(written(_suspects(unresolved, least_agreement), "suspects"), bags, similarity), "links")
+    first = written(components(links, "a", "b"), "components")
+    signs = classes.join(first, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("_rep"), F.coalesce("component", "rep").alias("comp"), "n_shingles", "signature")
+    unresolved = written(members.join(signs, F.col("rep") == F.col("_rep")).select("key", "rep", "comp", "n_shingles", "signature"), "members")
+    more = written(_joining_links(written(_suspects(unresolved, least_agreement, block), "suspects"), bags, similarity), "links")
     final = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-    named = written(classes.join(lookup(final), F.col("rep") == F.col("node"), "left").select("bag1", "bag2", "rep", F.coalesce("component", "rep").alias("component")), "named")
-    named = lookup(named.select(F.col("bag1").alias("n1"), F.col("bag2").alias("n2"), "rep", "component"))
-    own = F.col("n_shingles") == 0
-    return signed.join(named, (F.col("bag1") == F.col("n1")) & (F.col("bag2") == F.col("n2")) & ~own, "left").select(
-        F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id")).alias("class_id"), F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id")
+    named = classes.select("bag1", "bag2", "rep").join(final, F.col("rep") == F.col("node"), "left").select(F.col("bag1").alias("n1"), F.col("bag2").alias("n2"), "rep", F.coalesce("component", "rep").alias("component"))
+    rows = signed.select("_id", "text_hash", "n_shingles", "bag1", "bag2")
+    met = (F.col("bag1") == F.col("n1")) & (F.col("bag2") == F.col("n2")) & (F.col("n_shingles") > 0)
+    has_id = F.col("_id").isNotNull()
+    return rows.join(dealt_anew(named, "n1"), met, "left").select(
+        F.col("_id").alias(id_col), "text_hash", "n_shingles", F.when(has_id, F.coalesce("rep", "_id")).alias("class_id"), F.when(has_id, F.coalesce("component", "_id")).alias("component_id")
     ).withColumn("kept", F.col(id_col) == F.col("component_id"))
