@@ -8,8 +8,11 @@ word are looked up, and the look-up compares the words themselves.
 Bounds: the window table is broadcast and the vocabulary becomes a literal set only up to ``most_broadcast`` windows
 and words, counted first; a larger benchmark is joined by a shuffle with every window of the documents.
 
+Hits are folded by id and text, so a row that is read again after a lost executor falls into the same group.
+
 Null and empty texts have no words, so they are clean and hit nothing. Items without an id hit words but count as no
-item. Repeated rows are judged each; an empty table gives an empty table; an empty benchmark finds nothing.
+item. Repeated rows are judged each; other columns pass through whatever their names; an empty table gives an empty
+table; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, most_b
     widths = sorted(r[0] for r in windows.select("width").distinct().collect())  # at most ``window`` numbers
     vocabulary = windows.select(F.explode(F.split("_gram", " ")).alias("word")).distinct()
     small = n_windows <= most_broadcast and vocabulary.count() <= most_broadcast
-    worded = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("_row"), words_of(F.col(text)).alias("w"))
+    worded = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("w"))
     if small and n_windows:
         listed = ", ".join(f"'{r[0]}'" for r in vocabulary.orderBy("word").collect())
         worded = worded.withColumn("known", F.expr(f"transform(w, x -> x IN ({listed}))"))
@@ -49,26 +52,27 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, most_b
     else:
         possible = "true"
     starts = [f"transform(filter(CASE WHEN size(w) >= {n} THEN sequence(1, size(w) - {n} + 1) ELSE array() END, i -> {possible.format(n)}), i -> struct(i AS at, {n} AS width, array_join(slice(w, i, {n}), ' ') AS gram))" for n in widths]
-    found = worded.withColumn("candidates", F.expr(f"concat({', '.join(starts)})")) if starts else worded.withColumn("candidates", F.expr("CAST(NULL AS array<struct<at:int,width:int,gram:string>>)"))
-    looked_up = found.select("_id", "text_hash", "_row", F.size("w").cast("long").alias("n_words"), F.explode_outer("candidates").alias("c"))
+    own = "array(struct(0 AS at, 0 AS width, CAST(NULL AS string) AS gram))"  # each row stands for itself once
+    found = worded.select("_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.explode(F.expr(f"concat({', '.join([own, *starts])})")).alias("c"))
     table = windows.drop("width")
-    hit = looked_up.join(F.broadcast(table) if small else table, F.col("c.gram") == F.col("_gram"), "left")
-    rows = hit.groupBy("_row", "_id", "text_hash", "n_words").agg(
+    hit = found.join(F.broadcast(table) if small else table, F.col("c.gram") == F.col("_gram"), "left")
+    rows = hit.groupBy("_id", "text_hash", "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("_gram").isNotNull(), F.struct(F.col("c.at").alias("start"), (F.col("c.at") + F.col("c.width") - 1).alias("stop"))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.count_if(F.col("c.at") == 0).alias("repeats"),
     )
     covered = "size(array_distinct(flatten(transform(hits, h -> sequence(h.start, h.stop)))))"
-    return rows.select(F.col("_id").alias(id_col), "text_hash", "n_words", "hits", F.expr(covered).cast("long").alias("n_hit"), "items")
+    return rows.select(F.explode(F.sequence(F.lit(1).cast("long"), "repeats")), F.col("_id").alias(id_col), "text_hash", "n_words", "hits", F.expr(covered).cast("long").alias("n_hit"), "items").drop("col")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, remove: str = "documents", id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without contaminated documents, or (``remove="spans"``) with texts reduced to the words that no window hit,
     joined by a space. Columns stay the same; a clean document stays as it is."""
     hit = contamination(docs, items, id_col=id_col, text=text, **options).where("n_hit > 0").select(F.col(id_col).alias("_id"), "text_hash", "hits").dropDuplicates(["_id", "text_hash"])
-    same = docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text]) == hit["text_hash"])
     if remove == "documents":
-        return docs.join(hit, same, "left_anti")
-    joined = docs.join(hit, same, "left")
-    kept = F.expr("filter(transform(_words, (x, i) -> CASE WHEN NOT exists(hits, h -> i + 1 BETWEEN h.start AND h.stop) THEN x END), x -> x IS NOT NULL)")
-    reduced = joined.withColumn("_words", words_of(F.col(text))).withColumn(text, F.when(F.col("hits").isNull(), F.col(text)).otherwise(F.array_join(kept, " ")))
-    return reduced.select(*docs.columns)
+        return docs.join(hit, docs[id_col].eqNullSafe(hit["_id"]) & (F.xxhash64(docs[text]) == hit["text_hash"]), "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(hit, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64(f"row.`{text}`") == F.col("text_hash")), "left")
+    kept = F.expr("filter(transform(w, (x, i) -> CASE WHEN NOT exists(hits, h -> i + 1 BETWEEN h.start AND h.stop) THEN x END), x -> x IS NOT NULL)")
+    reduced = joined.withColumn("w", words_of(F.col(f"row.`{text}`"))).withColumn("reduced", F.when(F.col("hits").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(kept, " ")))
+    return reduced.select(*(F.col("reduced").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
