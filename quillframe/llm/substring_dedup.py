@@ -14,8 +14,8 @@ into one long task. Its windows are instead dealt by their own hash of 128 bits,
 window is taken by a partially aggregated minimum, which marks the same words. Words are compared by a 64-bit hash.
 
 Null and empty texts have no words. Rows without an id are kept whole. Rows of equal id do not affect each other;
-repeated rows get the same result each. Other columns pass through (clashing result columns are replaced); an empty
-table gives an empty table.
+repeated rows get the same result each. Other columns pass through whatever their names (``n_words``, ``n_removed`` and
+``kept`` are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -250,8 +250,9 @@ def _drop_ranges(text: bytes, ranges: list[dict]) -> tuple[int, int, bytes]:
 
 def remove_repeats(docs: DataFrame, *, window: int = 50, largest_shard: int = 128, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
-    ranges = repeated_ranges(docs, window=window, largest_shard=largest_shard, id_col=id_col, text=text).withColumnRenamed("_id", "_of").withColumnRenamed("_txt", "_h")
-    joined = docs.join(ranges, (F.col(id_col) == F.col("_of")) & (F.xxhash64(text) == F.col("_h")), "left").drop("_of", "_h")
+    ranges = repeated_ranges(docs, window=window, largest_shard=largest_shard, id_col=id_col, text=text)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(ranges, (F.col(f"row.`{id_col}`") == F.col("_id")) & (F.xxhash64(f"row.`{text}`") == F.col("_txt")), "left").select("row", "ranges")
     new = ["n_words", "n_removed", "kept"]
     passed = [c for c in docs.columns if c not in new]
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
@@ -259,10 +260,13 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, largest_shard: int = 12
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
-                texts, found = part.column(text).cast(pa.large_binary()).to_pylist(), part.column("ranges").to_pylist()
+            rows = batch.column("row")
+            flat = pa.RecordBatch.from_arrays([*rows.flatten(), batch.column("ranges")], names=[*(f.name for f in rows.type), ""])
+            for part in slices(flat, text):
+                texts, found = part.column(text).cast(pa.large_binary()).to_pylist(), part.column(part.num_columns - 1).to_pylist()
                 n, removed, kept = zip(*(_drop_ranges(t or b"", r or []) for t, r in zip(texts, found, strict=True)), strict=True)
-                new = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in passed] + new, schema=target)
+                made = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                columns = [part.column(c) for c in passed] + made
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(columns, target, strict=True)], schema=target)
 
     return joined.mapInArrow(run, schema)
