@@ -7,10 +7,13 @@ transducer: a state holds, for each suffix that may still grow into a token, the
 and how many tokens have been emitted since. A transition carries the change of the count. States and transitions
 are compiled when a text first needs them.
 
-Texts are cut into chunks of fixed length. A space after another character puts the transducer into one known state
-whatever came before, so a chunk's state map is "run the head from the entry state, then constant". The tails of all
-chunks run side by side; the heads follow once the chunk before has its exit state, which composes the maps in a
-prefix scan. Counts of chunks add up to the counts of texts.
+Texts are cut into chunks of fixed length. A chunk's state map tells, for each state in which it may be entered, the state
+in which it is left and the tokens emitted on the way. All chunks run side by side from a likely entry state: a space
+after another character puts the transducer into one known state whatever came before, so a chunk starts at the last such
+space before it, or a fixed way ahead where there is none. States in which a chunk is left but the next one has not been
+entered are then added to the next one's map, again side by side, until every exit is an entry. Neighbouring maps are
+composed pairwise in a parallel prefix scan, with the counts added up along it; a text's count is its last chunk's
+composed map at the start state.
 
 Nulls and empty texts have 0 bytes and 0 tokens. Repeated rows each get their own result, other columns pass through
 (a clashing ``n_bytes``, ``n_tokens`` or ``over_limit`` is replaced), an empty table gives an empty table.
@@ -18,6 +21,8 @@ Nulls and empty texts have 0 bytes and 0 tokens. Repeated rows each get their ow
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +30,7 @@ from pyspark.sql import DataFrame
 from quillframe.llm.arrow import add_columns, raw
 
 SPACE = "▁"
-CHUNK = 256
+CHUNK, AHEAD, EACH_FOR_ITSELF = 256, 32, 4
 
 
 def _fields(data: bytes):
@@ -174,6 +179,10 @@ class Transducer:
         self.keys[at], self.next[at], self.emit[at] = key, to, change
         self.used += 1
 
+    def size(self) -> int:
+        """About how many bytes are held for what is compiled: measured per state, judged pair, piece and table slot."""
+        return 2400 * len(self.states) + 250 * (len(self.pairs) + len(self.whole)) + 13 * len(self.keys)
+
     def letters_of(self, points: np.ndarray) -> np.ndarray:
         """Letter classes of code points; new letters get a class."""
         found = self.classes[points]
@@ -208,6 +217,8 @@ class Transducer:
         """Tokens of each text."""
         marked = [SPACE + t if t else "" for t in texts]
         points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(points):
+            return np.zeros(len(texts), np.int64)
         points = np.where(points == 0x20, np.uint32(0x2581), points)
         sizes = np.fromiter(map(len, marked), np.int64, len(marked))
         letters = self.letters_of(points)
@@ -218,27 +229,54 @@ class Transducer:
         sync[first[sizes > 0]] = True
         n = -(-sizes // chunk)
         doc = np.repeat(np.arange(len(sizes)), n)
-        inner = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        begin = first[doc] + inner * chunk
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        begin = first[doc] + nth * chunk
         end = np.minimum(begin + chunk, first[doc] + sizes[doc])
-        marks = np.append(np.flatnonzero(sync), len(points))
-        synced = np.minimum(marks[np.searchsorted(marks, begin)], end)
-        total = np.zeros(len(doc), np.int64)
-        leave = np.full(len(doc), -1, np.int32)
-        tails = np.flatnonzero(synced < end)
-        leave[tails], total[tails] = self.run(letters, synced[tails], end[tails], np.zeros(len(tails), np.int32))
-        heads = np.flatnonzero(begin < synced)
-        while len(heads):  # a head waits for the exit state before it; chunks without a mark pass theirs on
-            ready = heads[leave[heads - 1] >= 0]
-            exits, counts = self.run(letters, begin[ready], synced[ready], leave[ready - 1])
-            total[ready] += counts
-            open_ = synced[ready] == end[ready]
-            leave[ready[open_]] = exits[open_]
-            heads = np.setdiff1d(heads, ready, assume_unique=True)
-        return np.bincount(doc, weights=total, minlength=len(sizes)).astype(np.int64)
-
-
-MOST_TRANSITIONS = 8_000_000
+        last_sync = np.maximum.accumulate(np.where(sync, np.arange(len(points)), -1))[begin]
+        likely, _ = self.run(letters, np.maximum(last_sync, begin - AHEAD), begin, np.zeros(len(doc), np.int32))
+        exits, counts = self.run(letters, begin, end, likely)
+        entries, exits, counts = likely[:, None], exits[:, None], counts[:, None]
+        inner, used = np.flatnonzero(nth > 0), np.ones(len(doc), np.int64)
+        unsure = last_sync < begin - AHEAD
+        ends = np.append(np.flatnonzero(~unsure), len(doc))  # a stretch of unsure chunks reaches to the next sure one
+        for turn in itertools.count():  # maps grow until each exit is an entry of the next chunk
+            left, known = exits[inner - 1], entries[inner]
+            missing = (left >= 0) & ~(left[:, :, None] == known[:, None, :]).any(axis=2)
+            rows, columns = np.nonzero(missing)
+            if not len(rows):
+                break
+            new = np.unique(np.column_stack([inner[rows], left[rows, columns]]), axis=0)
+            if turn >= EACH_FOR_ITSELF:  # short repeats: the same state will be missing all along the stretch
+                reach = ends[np.searchsorted(ends, new[:, 0], "right")] - new[:, 0]
+                new = np.unique(np.column_stack([np.repeat(new[:, 0], reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach), np.repeat(new[:, 1], reach)]), axis=0)
+                new = new[~(entries[new[:, 0]] == new[:, 1:]).any(axis=1)]
+            out, emitted = self.run(letters, begin[new[:, 0]], end[new[:, 0]], new[:, 1].astype(np.int32))
+            place = used[new[:, 0]] + np.arange(len(new)) - np.searchsorted(new[:, 0], new[:, 0])  # the chunk's next free entries
+            grow = max(0, int(place.max()) + 1 - entries.shape[1])
+            entries, exits, counts = (np.pad(x, ((0, 0), (0, grow)), constant_values=fill) for x, fill in ((entries, -1), (exits, -1), (counts, 0)))
+            for x, values in ((entries, new[:, 1]), (exits, out), (counts, emitted)):
+                x[new[:, 0], place] = values
+            used += np.bincount(new[:, 0], minlength=len(used))
+        return np.bincount(doc, weights=self._composed(entries, exits, counts, nth), minlength=len(sizes)).astype(np.int64)
+
+    @staticmethod
+    def _composed(entries: np.ndarray, exits: np.ndarray, counts: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """At each text's last chunk the count of the whole text, zero elsewhere, by a prefix scan over the maps. nth: the
+        chunk's place in its text. A text's first chunk has one entry, the start state."""
+        after = np.zeros_like(exits, dtype=np.int64)  # which entry of the next chunk each exit is
+        inner = np.flatnonzero(nth > 0)
+        after[inner - 1] = (exits[inner - 1][:, :, None] == entries[inner][:, None, :]).argmax(axis=2)
+        total, width = counts.astype(np.int64), 1
+        while width <= nth.max(initial=0):  # each map covers ``width`` chunks up to its own
+            late = np.flatnonzero(nth >= width)
+            middle = after[late - width]
+            total[late], after[late] = total[late - width] + np.take_along_axis(total[late], middle, axis=1), np.take_along_axis(after[late], middle, axis=1)
+            width *= 2
+        last = np.append(nth[1:] == 0, True) if len(nth) else np.zeros(0, bool)
+        return np.where(last, total[:, 0], 0)
+
+
+MOST_BYTES = 300_000_000  # of a worker process, by the sizes below
 _loaded: dict[str, Transducer] = {}  # for each worker process: model path -> what is compiled so far
 
 
@@ -247,7 +285,7 @@ def count_tokens(docs: DataFrame, model_path: str, *, text: str = "text", limit:
 
     def make():
         def compute(texts: pa.Array) -> list[pa.Array]:
-            if model_path not in _loaded or _loaded[model_path].used > MOST_TRANSITIONS:  # bounded memory: compile anew
+            if model_path not in _loaded or _loaded[model_path].size() > MOST_BYTES:  # bounded memory: compile anew
                 _loaded[model_path] = Transducer(load_pieces(model_path))
             tokens = _loaded[model_path].count(["" if t is None else t for t in texts.to_pylist()])
             return [pa.array(np.diff(raw(texts)[1])), pa.array(tokens), pa.array(tokens > limit)]
