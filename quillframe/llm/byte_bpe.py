@@ -5,9 +5,14 @@ token-position rows, one for each byte. A recursive query joins neighbouring tok
 each word's leftmost pair of least rank until no word has a pair left. An ordered aggregation gathers a word's ids,
 and another one, over the ids' byte strings, decodes them. Texts are then put together from their words' results.
 
-A word of over ``LONG`` bytes goes through the same contraction as a loop, which keeps only the current rows; where no
-token made of the merged one has a lower rank, all places of the least pair are contracted at once, which gives the
-same tokens as one after the other.
+A word of over ``LONG`` bytes is cut into pieces of ``PIECE`` bytes that overlap by half. A sequence of tokens is a word's
+encoding exactly when each neighbouring pair is the encoding of the pair's bytes, as a merge across a boundary would also
+happen in the pair alone. So where two overlapping pieces share a token, the first one's tokens up to it and the second
+one's after it are the encoding of both together. Pieces go through the recursive query like words; neighbours that share
+no token are put together and contracted anew, until all do. Pieces grown over ``LOOPED`` bytes (short repeats, such as a
+run of one letter) go through the same contraction as a loop, which keeps only the current rows; where no token made of
+the merged one has a lower rank, all places of the least pair are contracted at once, which gives the same tokens as one
+after the other.
 
 Nulls and empty texts have no ids and decode to no bytes. Repeated rows each get their result, other columns pass
 through (clashing result columns are replaced), an empty table gives an empty table.
@@ -27,7 +32,8 @@ from pyspark.sql import DataFrame
 
 from quillframe.llm.arrow import add_columns
 
-LONG = 64
+LONG, PIECE, LOOPED = 64, 48, 512
+PIECES_AT_ONCE = 4000
 MOST_WORDS = 500_000  # words kept by a worker process before it starts anew
 
 CONTRACT = """
@@ -83,6 +89,8 @@ class Encoder:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._fill("merges", {"l": left, "r": right, "rank": rank, "safe": ~np.isin(rank, early)})
         self._fill("pieces", {"tok": np.array(list(ranks.values()), np.int32), "piece": [t.hex() for t in ranks]})
+        self.size_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size_of[list(ranks.values())] = list(map(len, ranks))
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.forget()
 
@@ -104,33 +112,98 @@ class Encoder:
         end = pos == np.repeat(sizes, sizes) - 1
         return {"w": w, "pos": pos, "tok": tok, "nxt": np.where(end, -1, np.append(tok[1:], -1)).astype(np.int32), "nxtpos": np.where(end, -1, pos + 1).astype(np.int32)}
 
-    def _keep(self, fresh: list[str], found: pa.Table) -> None:
+    def _keep(self, fresh: list[str], found: list[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]) -> None:
+        """found: (number of tokens of each word, their ids, decoded bytes of each word one after the other, their sizes)."""
         for word in fresh:
             self.known[word] = len(self.known)
+        for sizes, ids, decoded, lengths in found:
+            self.sizes["ids"].append(sizes)
+            self.parts["ids"].append(ids)
+            self.parts["bytes"].append(np.frombuffer(decoded, np.uint8))
+            self.sizes["bytes"].append(lengths)
+
+    def _contracted(self, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """Tokens of each byte string by the recursive query, and what they decode to."""
+        self._fill("fresh", self._rows(encoded))
+        return self._read(self.con.sql(CONTRACT))
+
+    def _looped(self, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """The same by the loop."""
+        rows = self._rows(encoded)
+        self._fill("long_words", {k: rows[k] for k in ("w", "pos", "tok")})
+        self.con.execute("CREATE OR REPLACE TEMP TABLE finished (w INT, pos INT, tok INT)")
+        while self.con.sql("FROM long_words LIMIT 1").fetchall():
+            self.con.execute(CONTRACT_LONG)
+            self.con.execute("INSERT INTO finished SELECT w, pos, tok FROM grown WHERE NOT moved")
+            self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT w, pos, tok FROM grown WHERE moved")
+        return self._read(self.con.sql("SELECT w, list(tok ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS decoded FROM finished JOIN pieces USING (tok) GROUP BY w ORDER BY w"))
+
+    @staticmethod
+    def _read(relation) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        found = relation.to_arrow_table()
         ids, decoded = found["ids"].combine_chunks(), found["decoded"].to_pylist()
-        self.parts["ids"].append(ids.flatten().to_numpy().astype("<u4"))
-        self.sizes["ids"].append(np.diff(ids.offsets.to_numpy()).astype(np.int64))
-        self.parts["bytes"].append(np.frombuffer(bytes.fromhex("".join(decoded)), np.uint8))
-        self.sizes["bytes"].append(np.fromiter(map(len, decoded), np.int64, len(decoded)) // 2)
+        lengths = np.fromiter(map(len, decoded), np.int64, len(decoded)) // 2
+        return np.diff(ids.offsets.to_numpy()).astype(np.int64), ids.flatten().to_numpy().astype("<u4"), bytes.fromhex("".join(decoded)), lengths
+
+    def _ends(self, data: bytes, spans: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Token ids and their end places within data of each span."""
+        out: list = [None] * len(spans)
+        for looped in (False, True):
+            some = [i for i, (a, b) in enumerate(spans) if (b - a > LOOPED) == looped]
+            for at in range(0, len(some), PIECES_AT_ONCE):
+                part = some[at : at + PIECES_AT_ONCE]
+                sizes, ids, *_ = (self._looped if looped else self._contracted)([data[slice(*spans[i])] for i in part])
+                lengths = self.size_of[ids]
+                cuts = np.cumsum(sizes)[:-1]
+                for i, own, each in zip(part, np.split(ids, cuts), np.split(lengths, cuts), strict=True):
+                    out[i] = own, spans[i][0] + np.cumsum(each)
+        return out
+
+    def _stitched(self, word: bytes) -> np.ndarray:
+        """Token ids of a long word from its overlapping pieces."""
+        step = PIECE // 2
+        spans = [(a, min(a + PIECE, len(word))) for a in range(0, max(1, len(word) - step), step)]
+        found = self._ends(word, spans)
+        while True:
+            meets = []  # where each piece hands over to the next: after a token that both have
+            for (own, ends), (ids, after) in zip(found, found[1:], strict=False):
+                at = np.flatnonzero(np.isin(ends, after))
+                place = np.searchsorted(after, ends[at])
+                same = np.flatnonzero(own[at] == ids[place])  # equal ends and equal tokens
+                meets.append((int(at[same[0]]), int(place[same[0]])) if len(same) else None)
+            if None not in meets:
+                break
+            grown, new = [spans[0]], [found[0]]
+            for span, tokens, meet in zip(spans[1:], found[1:], meets, strict=True):
+                if meet is None:
+                    grown[-1], new[-1] = (grown[-1][0], span[1]), None
+                else:
+                    grown.append(span)
+                    new.append(tokens)
+            fresh = [i for i, x in enumerate(new) if x is None]
+            for i, x in zip(fresh, self._ends(word, [grown[i] for i in fresh]), strict=True):
+                new[i] = x
+            spans, found = grown, new
+        parts, begin = [], 0
+        for (own, _), (leave, enter) in zip(found, meets, strict=False):
+            parts.append(own[begin : leave + 1])
+            begin = enter + 1
+        return np.concatenate([*parts, found[-1][0][begin:]]).astype("<u4")
 
     def learn(self, fresh: list[str]) -> None:
         """Encodes and decodes words that are not known yet."""
-        for is_long in (False, True):
-            part = [x for x in fresh if (len(x) > LONG // 4 and len(x.encode()) > LONG) == is_long]
-            if not part:
-                continue
-            rows = self._rows([x.encode() for x in part])
-            if not is_long:
-                self._fill("fresh", rows)
-                self._keep(part, self.con.sql(CONTRACT).to_arrow_table())
-                continue
-            self._fill("long_words", {k: rows[k] for k in ("w", "pos", "tok")})
-            self.con.execute("CREATE OR REPLACE TEMP TABLE finished (w INT, pos INT, tok INT)")
-            while self.con.sql("FROM long_words LIMIT 1").fetchall():
-                self.con.execute(CONTRACT_LONG)
-                self.con.execute("INSERT INTO finished SELECT w, pos, tok FROM grown WHERE NOT moved")
-                self.con.execute("CREATE OR REPLACE TEMP TABLE long_words AS SELECT w, pos, tok FROM grown WHERE moved")
-            self._keep(part, self.con.sql("SELECT w, list(tok ORDER BY pos) AS ids, string_agg(piece, '' ORDER BY pos) AS decoded FROM finished JOIN pieces USING (tok) GROUP BY w ORDER BY w").to_arrow_table())
+        short, long = [], []
+        for x in fresh:
+            (long if len(x) > LONG // 4 and len(x.encode()) > LONG else short).append(x)
+        if short:
+            self._keep(short, [self._contracted([x.encode() for x in short])])
+        if long:
+            coded = [self._stitched(x.encode()) for x in long]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+            ids = np.concatenate(coded)
+            self._fill("given_ids", {"w": np.repeat(np.arange(len(long), dtype=np.int32), sizes), "pos": np.arange(len(ids)), "tok": ids.astype(np.int32)})
+            decoded = [bytes.fromhex(x) for (x,) in self.con.sql("SELECT string_agg(piece, '' ORDER BY pos) FROM given_ids JOIN pieces USING (tok) GROUP BY w ORDER BY w").fetchall()]
+            self._keep(long, [(sizes, ids, b"".join(decoded), np.fromiter(map(len, decoded), np.int64, len(decoded)))])
 
     def joined(self, kind: str, word: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids or bytes of all texts one after the other, and how many each text has."""
