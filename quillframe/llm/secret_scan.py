@@ -5,8 +5,8 @@ trigrams of one of the clause's alternatives. The index lists, for each trigram
 contain it (A-Z lower-cased). Intersecting these postings gives each rule's candidate texts, which the rule then scans;
 a rule without mandatory trigrams scans every text.
 
-Nulls count as empty texts, which hold no secret. Repeated rows are scanned each; other columns do not matter; an empty
-table gives an empty table.
+Nulls count as empty texts, which hold no secret. Repeated rows are scanned each; other columns pass through whatever
+their names (``find_secrets`` replaces a column ``secrets``); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -141,20 +141,28 @@ def _named(spans: Column, place: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("ord"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
 
-def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with ``secrets``: array of (start, ord, kind, stop), sorted; ord is the rule's place in ``rules``."""
+def _scanned_rows(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text: str) -> DataFrame:
+    """(row, found): each row of docs as a struct, and its spans."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for clause in q for alternative in clause for g in alternative})
-    chosen = candidates(trigram_index(docs, grams, id_col=id_col, text=text), queries).withColumnRenamed("text_hash", "_hash")
-    joined = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]) & (F.xxhash64(docs[text]) == chosen["_hash"]), "left")
-    whole = F.coalesce(F.col(text), F.lit(""))
+    chosen = candidates(trigram_index(docs, grams, id_col=id_col, text=text), queries)
+    whole_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own_id, own_text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text}`")
+    joined = whole_rows.join(chosen, own_id.eqNullSafe(F.col("_id")) & (F.xxhash64(own_text) == F.col("text_hash")), "left")
+    whole = F.coalesce(own_text, F.lit(""))
     none = F.expr("CAST(array() AS array<struct<start:int,stop:int>>)")
     parts = []
     for place, rule in enumerate(map(_scanned, rules)):
         gate = F.array_contains(F.col("rules"), rule.kind) if rule.kind in queries else F.regexp_like(whole, F.lit(rule.pattern))
         spans = F.when(gate, _matches(rule, whole)).otherwise(none)
         parts.append(_named(spans, place, rule.kind))
-    return joined.select(*docs.columns, F.array_sort(F.concat(*parts)).alias("secrets"))
+    return joined.select("row", F.array_sort(F.concat(*parts)).alias("found"))
+
+
+def find_secrets(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with ``secrets``: array of (start, ord, kind, stop), sorted; ord is the rule's place in ``rules``."""
+    found = _scanned_rows(docs, rules, id_col, text)
+    return found.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "secrets"), F.col("found").alias("secrets"))
 
 
 def listed(spans: Column) -> Column:
@@ -162,14 +170,16 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
-def redact(found: DataFrame, *, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """Rows of ``find_secrets`` with each covered stretch of the text replaced; texts without secrets stay."""
+def redact(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """docs with each stretch of the text that secrets cover replaced by ``mask``; all columns and all other texts stay."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    own = F.col(f"row.`{text}`")
 
     def add(acc, s):
-        between = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
+        between = F.substring(own, acc["at"] + 1, s["start"] - acc["at"])
         grown = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), grown.alias("out"))
 
-    masked = F.aggregate("secrets", start, add, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, masked).otherwise(F.col(text))).drop("secrets")
+    masked = F.aggregate("found", start, add, lambda acc: F.concat(acc["out"], F.substring(own, acc["at"] + 1, F.length(own))))
+    clean = F.when(F.size("found") > 0, masked).otherwise(own)
+    return _scanned_rows(docs, rules, id_col, text).select(*(clean.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
