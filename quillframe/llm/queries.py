@@ -11,7 +11,7 @@ from quillframe.sources.tables import table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,61 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op2_decontaminate, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_preference_format, op8_secret_scan, op9_quality, op10_embedding_dedup)}
 
+
+
+def _spans_sql(place: int, rule: secret_scan.Rule) -> str:
+    """Spans of a rule in d(r, t): what lies before a match is all between and all matches up to it."""
+    pattern = secret_scan.scanned(rule).pattern.replace("'", "''")
+    return f"""
+SELECT r, {place} AS ord, '{rule.kind}' AS kind, unnest(list_transform(list_filter(range(1, len(m) + 1), lambda k: length(g[k]) >= {rule.least}), lambda k:
+  {{'start': (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT, 'size': length(m[k])}})) AS s
+FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {rule.group}) AS g, string_split_regex(t, '{pattern}') AS b FROM d)"""
+
+
+_KINDS = ", ".join(f"'{k}'" for k in secret_scan.BASE)
+
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i : i + 4], ' '))) END) AS g FROM d),
+bag AS (SELECT doc_id, g, count(*) AS n FROM runs GROUP BY ALL),
+size AS (SELECT doc_id, sum(n)::BIGINT AS total FROM bag GROUP BY 1),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS shared FROM bag x JOIN bag y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b, shared = s.total AND shared = t.total AS equal FROM met JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE shared / (s.total + t.total - shared)::DOUBLE >= 0.8),
+edge AS (SELECT a AS x, b AS y FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS n, doc_id AS m FROM size UNION SELECT y, m FROM reach JOIN edge ON x = n),
+named AS (SELECT n, min(m) AS component FROM reach GROUP BY n)
+SELECT doc_id, coalesce(total, 0)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(a) FROM link WHERE b = doc_id AND equal), doc_id)) AS class_id, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN named ON n = doc_id
+""",
+    "op3_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+listed AS (SELECT r, doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i : i + 49], ' '))) AS h FROM d WHERE len(w) >= 50),
+windows AS (SELECT r, doc_id, unnest(h) AS h, generate_subscripts(h, 1) AS i FROM listed),
+first AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+hit AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (h) WHERE low < doc_id),
+gone AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+worded AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM worded x WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.r = x.r AND h.p = x.p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN gone USING (r) LEFT JOIN left_over USING (r)
+""",
+    "op8_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({' UNION ALL '.join(_spans_sql(i, r) for i, r in enumerate(secret_scan.RULES))}),
+shown AS (SELECT r, ord, kind, s.start AS start, kind || ':' || s.start || ':' || (s.start + s.size) AS span FROM spans),
+folded AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(span, ',' ORDER BY start, ord) FILTER (kind IN ({_KINDS})) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM shown GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN folded USING (r)
+""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT y, m FROM reach JOIN link ON x = n),
+named AS (SELECT n AS vec_id, min(m) AS component FROM reach GROUP BY n),
+counted AS (SELECT x AS vec_id, count(*) AS links FROM link GROUP BY x)
+SELECT vec_id, coalesce(links, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN named USING (vec_id)
+""",
     "op2_decontaminate": r"""
 WITH lowered AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w FROM documents),

@@ -133,7 +133,7 @@ def _matches(rule: Rule, text: Column) -> Column:
 
 
 #: A cheaper equivalent for runs of one class: only runs that are long enough match.
-def _scanned(rule: Rule) -> Rule:
+def scanned(rule: Rule) -> Rule:
     return Rule(rule.kind, rule.pattern.removesuffix("+") + f"{{{rule.least},}}", 0, rule.least) if rule.pattern in ("[0-9a-f]+",) else rule
 
 
@@ -152,7 +152,7 @@ def _scanned_rows(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text: s
     whole = F.coalesce(own_text, F.lit(""))
     none = F.expr("CAST(array() AS array<struct<start:int,stop:int>>)")
     parts = []
-    for place, rule in enumerate(map(_scanned, rules)):
+    for place, rule in enumerate(map(scanned, rules)):
         gate = F.array_contains(F.col("rules"), rule.kind) if rule.kind in queries else F.regexp_like(whole, F.lit(rule.pattern))
         spans = F.when(gate, _matches(rule, whole)).otherwise(none)
         parts.append(_named(spans, place, rule.kind))
