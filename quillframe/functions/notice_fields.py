@@ -63,3 +63,26 @@ def seconds_until(now: Column, hour: int) -> Column:
     today = F.date_trunc("day", now) + F.make_dt_interval(F.lit(0), F.lit(hour))
     following = F.when(today > now, today).otherwise(today + F.make_dt_interval(F.lit(1)))
     return (F.unix_timestamp(following) - F.unix_timestamp(now)).cast("long")
+
+
+def form_inputs(html: Column) -> Column:
+    """The input tags of a page, each as a map of its attributes."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<input\b[^>]*>"), F.lit(0))
+    pair = r'([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*"([^"]*)"'
+
+    def attributes(tag):
+        keys, values = (F.regexp_extract_all(tag, F.lit(pair), F.lit(g)) for g in (1, 2))
+        first = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: F.lit(True))
+        distinct = F.filter(first, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+        return F.map_from_entries(F.transform(distinct, lambda x: F.struct(F.lower(x["k"]), x["v"])))
+
+    return F.transform(tags, attributes)
+
+
+def field_name(inputs: Column, suffix: str) -> Column:
+    """The full name of the first field whose name ends in $suffix, or is it."""
+    return F.get(F.filter(F.transform(inputs, lambda m: F.element_at(m, F.lit("name"))), lambda n: F.substring_index(n, "$", -1) == suffix), F.lit(0))
+
+
+def hidden_value(inputs: Column, name: str) -> Column:
+    return F.get(F.filter(inputs, lambda m: F.element_at(m, F.lit("name")) == name), F.lit(0))["value"]

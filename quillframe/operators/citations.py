@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import LABEL, LABEL_GROUP, found_at, fragments
+from quillframe.functions.text import LABEL, LABEL_GROUP, fold_citation, found_at, fragments
+from quillframe.operators.planning import numbered
 
 
 def label_rows(texts: DataFrame) -> DataFrame:
@@ -17,12 +18,13 @@ def label_rows(texts: DataFrame) -> DataFrame:
 def registry(texts: DataFrame, refs: DataFrame) -> DataFrame:
     """Known labels numbered c1, c2, ... by first appearance of their (document, scope, excerpt).
 
-    refs: scope, label, document_id, filename, excerpt. Unknown labels have no row. The numbering is global: it sorts
-    the report's distinct citations, which are few; the labels themselves stay distributed.
+    refs: scope, label, document_id, filename, excerpt. Unknown labels have no row. The numbering is global and runs by
+    ranges of the order.
     """
     known = label_rows(texts).join(refs, ["scope", "label"]).withColumn("at", F.struct("pos", "group_no", "label_no"))
     first = known.groupBy("document_id", "scope", "excerpt").agg(F.min("at").alias("first"), F.min("filename").alias("filename"))
-    return first.select(F.concat(F.lit("c"), F.row_number().over(Window.orderBy("first", "scope", "document_id"))).alias("key"), "document_id", "scope", "filename", "excerpt")
+    placed = numbered(first, "n", "first", "scope", "document_id", "excerpt")
+    return placed.select(F.concat(F.lit("c"), F.col("n").cast("string")).alias("key"), "document_id", "scope", "filename", "excerpt")
 
 
 def resolved(text: Column, keys: Column) -> Column:
@@ -51,6 +53,41 @@ def locate(citations: DataFrame, pages: DataFrame, *, least: int = 25) -> DataFr
     return best.select("cite_id", "b.fragment_no", "b.page", "b.position", "b.length")
 
 
+def anywhere(passages: DataFrame, pages: DataFrame) -> DataFrame:
+    """(cite_id, page): pages on which a whole folded passage stands. passages: cite_id, fragment; pages: page, folded.
+
+    A passage's longest word that is whole on both sides of it is its key; pages meet it by their distinct words, so only
+    pages with that word are compared. Passages of fewer than three words share one key, the empty word, with all pages.
+    """
+    inner = F.expr("slice(split(fragment, ' '), 2, greatest(size(split(fragment, ' ')) - 2, 0))")
+    longest = F.coalesce(F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)), F.lit(""))
+    keyed = passages.withColumn("word", longest)
+    words = pages.select("page", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("folded", " ")))).alias("word"))
+    wanted = words.join(keyed.select("word").distinct(), "word", "left_semi")
+    pairs = wanted.join(keyed, "word").select("page", "cite_id", "fragment")
+    return pairs.join(pages, "page").where(F.contains("folded", F.col("fragment"))).select("cite_id", "page")
+
+
+def word_hits(words: DataFrame, fragments_of: DataFrame) -> DataFrame:
+    """(page, pos): the words of a page that a fragment covers. words: page, pos, text; fragments_of: page, fragment (folded).
+
+    The page's text is its folded words with one space between; a word that folds to nothing has no place in it.
+    """
+    token = fold_citation(F.col("text"))
+    placed = words.withColumn("token", token).where("token <> ''").groupBy("page").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
+    text = F.array_join(F.transform("w", lambda x: x["token"]), " ")
+    start = F.struct(F.lit(1).alias("at"), F.expr("CAST(array() AS array<struct<pos:bigint,start:int,stop:int>>)").alias("out"))
+
+    def add(acc, x):
+        stop = acc["at"] + F.length(x["token"])
+        return F.struct((stop + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(x["pos"].cast("long").alias("pos"), acc["at"].alias("start"), stop.alias("stop")))).alias("out"))
+
+    spans = placed.select("page", text.alias("folded"), F.aggregate("w", start, add, lambda acc: acc["out"]).alias("spans"))
+    hits = spans.join(fragments_of, "page").withColumn("hit", found_at(F.col("folded"), F.col("fragment"))).where("hit IS NOT NULL")
+    covered = F.filter("spans", lambda s: (s["start"] < F.col("hit.position") + F.col("hit.length")) & (s["stop"] > F.col("hit.position")))
+    return hits.select("page", F.explode(covered).alias("s")).select("page", "s.pos").distinct()
+
+
 def line_boxes(words: DataFrame) -> DataFrame:
     """One box per line of hit words. words: page, x0, top, x1, bottom."""
     return words.groupBy("page", F.bround(F.col("top") / 2).alias("line")).agg(F.min("x0").alias("x0"), F.min("top").alias("top"), F.max("x1").alias("x1"), F.max("bottom").alias("bottom"))

@@ -55,3 +55,23 @@ def by_urgency(notices: DataFrame, now: Column, deadline: str, seen: str, tie: s
     """Upcoming deadlines first, nearest ahead; then unknown ones; then past ones; at most ``most``."""
     bucket = F.when(F.col(deadline).isNull(), 1).when(F.col(deadline) < now, 2).otherwise(0)
     return notices.withColumn("bucket", bucket).orderBy("bucket", F.asc_nulls_first(deadline), F.desc(seen), tie).limit(most)
+
+
+def records(raw: DataFrame, source: str, *, id_key: str, title_key: str, published_key: str) -> DataFrame:
+    """Notices of one source from its JSON records, an unreadable record as a row with an error. raw: record (JSON)."""
+    at = lambda key: F.get_json_object("record", f"$.{key}")
+    row = raw.select(F.lit(source).alias("source"), at(id_key).alias("source_id"), at(title_key).alias("title"), F.try_to_date(F.left(at(published_key), F.lit(10))).alias("published_at"), "record")
+    return row.select("source", "source_id", "title", "published_at", F.when(F.col("source_id").isNull(), F.lit("no readable record")).alias("error"))
+
+
+def all_sources(*sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notices, errors) of all sources, in their order of preference; one source's errors never take another's notices."""
+    together = sources[0]
+    for s in sources[1:]:
+        together = together.unionByName(s, allowMissingColumns=True)
+    return together.where("error IS NULL").drop("error"), together.where("error IS NOT NULL").groupBy("source", "error").agg(F.count("*").alias("n"))
+
+
+def scan(stored: DataFrame, fresh: DataFrame, *, today: Column, days: int = 30, key: list[str], editorial: list[str], protected: list[str]) -> DataFrame:
+    """One pass over what was published in the last ``days``: an upsert by key, so a second pass changes nothing."""
+    return upsert(stored, fresh.where(F.col("published_at") >= F.date_sub(today, days)), key, editorial, protected)

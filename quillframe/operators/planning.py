@@ -5,6 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillframe.functions.text import fold_accents
+from quillframe.sources.shared import new_folder
+
+
+#: Ranges that a large group is cut into.
+RANGES = 64
+
+
+def _in_ranges(rows: DataFrame, order: str) -> DataFrame:
+    """rows with ``_range``: ranges of the numeric column ``order`` that hold about equally many rows of the table."""
+    bounds = rows.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)
+    return rows.withColumn("_range", sum(((F.col(order) > b).cast("int") for b in sorted(set(bounds))), F.lit(0)))
+
+
+def sums_before(rows: DataFrame, group: list[str], order: str, **values: Column) -> DataFrame:
+    """rows with, for each named value, its sum over the group's rows before (0 for the first).
+
+    The sums run in two levels, so a group of a third of all rows is spread over many tasks: within ranges of ``order``,
+    and over the ranges' totals, of which a group has at most ``RANGES``.
+    """
+    ranged = _in_ranges(rows, order).withColumns({f"_v_{n}": v for n, v in values.items()})
+    totals = ranged.groupBy(*group, "_range").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values))
+    inner = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumns({f"_b_{n}": F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)) for n in values})
+    same = F.col("_range") == F.col("_of")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return own.join(offsets, same).select(*rows.columns, *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in values))
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with their place from 1 in the order of the whole table, without a task that sees all of them: the rows are
+    dealt by ranges of the order into a written table, and each range starts after the rows of those before it."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "ranges")
+    rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(offsets), F.col("_range") == F.col("_of")).withColumn(name, place).select(*rows.columns, name)
+
 
 def reference_candidates(fields: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
     """(field, doc, rank): documents whose category the field lists, in the list's order, then by document.
@@ -13,7 +56,32 @@ def reference_candidates(fields: DataFrame, docs: DataFrame, doc: str) -> DataFr
     """
     listed = fields.select("field", F.posexplode("categories").alias("pos", "category"))
     joined = listed.join(docs.where(F.length("text") > 0).select(doc, "category"), "category")
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy("pos", doc))).select("field", doc, "rank")
+    within = sums_before(joined, ["field", "pos"], doc, nth=F.lit(1))
+    sizes = joined.groupBy("field", "pos").agg(F.count("*").alias("n"))
+    ahead = sizes.select(F.col("field").alias("_field"), F.col("pos").alias("_pos"), F.coalesce(F.sum("n").over(Window.partitionBy("field").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    found = within.join(F.broadcast(ahead), (F.col("field") == F.col("_field")) & (F.col("pos") == F.col("_pos")))  # a row for each entry of the catalog
+    return found.select("field", doc, (F.col("nth") + F.col("ahead") + 1).cast("int").alias("rank"))
+
+
+def section_documents(sections: DataFrame, docs: DataFrame, doc: str, filtered: list[str]) -> DataFrame:
+    """(section, doc, pos): documents of a section's pivot categories with the category's place. In the ``filtered``
+    categories a section's keywords (if it has any) must stand in the folded file name or lot. sections: section, pivots,
+    keywords; docs: doc, category, filename, lot."""
+    listed = sections.select("section", "keywords", F.posexplode("pivots").alias("pos", "category"))
+    name = fold_accents(F.lower(F.concat_ws(" ", "filename", F.coalesce("lot", F.lit("")))))
+    named = docs.select(doc, "category", name.alias("_name"))
+    passes = ~F.col("category").isin(*filtered) | (F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(F.col("_name"), fold_accents(F.lower(k))))
+    return named.join(F.broadcast(listed), "category").where(passes).select("section", doc, "pos")  # the catalog's own table
+
+
+def findings_context(docs: DataFrame, group: str, doc: str, *, total: int, each: int) -> DataFrame:
+    """docs with ``label`` (D1, D2, ... of the group's summaries) and ``given`` (characters of the raw ones: at most
+    ``each``, as long as ``total`` lasts), in the documents' order. docs: group, doc, kind (summary, raw or other), size."""
+    share = F.least(F.col("size").cast("long"), F.lit(each).cast("long"))
+    placed = sums_before(docs, [group], doc, _nth=(F.col("kind") == "summary").cast("long"), _spent=F.when(F.col("kind") == "raw", share).otherwise(0))
+    label = F.when(F.col("kind") == "summary", F.concat(F.lit("D"), (F.col("_nth") + 1).cast("string")))
+    given = F.when(F.col("kind") == "raw", F.greatest(F.least(share, F.lit(total).cast("long") - F.col("_spent")), F.lit(0)))
+    return placed.select(*docs.columns, label.alias("label"), given.cast("int").alias("given"))
 
 
 def call_batches(fields: DataFrame, docs: DataFrame, doc: str, *, size: int = 12) -> DataFrame:
@@ -35,6 +103,21 @@ def leaders(rows: DataFrame, digest: str, order: str) -> DataFrame:
     return rows.join(first, digest)
 
 
+def latest_before(rows: DataFrame, digest: str, order: str, name: str) -> DataFrame:
+    """Each row with the latest earlier row of the same digest in column ``name``.
+
+    A digest's rows are cut into ranges of ``order``, so a digest of a third of all rows is spread over many tasks: within a
+    range the row before is found by a window, and the first row of a range takes the greatest of the digest's ranges
+    before it, of which there are few.
+    """
+    ranged = _in_ranges(rows, order)
+    last = ranged.groupBy(digest, "_range").agg(F.max(order).alias("_last"))
+    before = last.withColumn("_before", F.max("_last").over(Window.partitionBy(digest).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(digest).alias("_digest"), F.col("_range").alias("_in"), "_before")
+    own = ranged.withColumn("_own", F.lag(order).over(Window.partitionBy(digest, "_range").orderBy(order)))
+    joined = own.join(before.where("_before IS NOT NULL"), F.col(digest).eqNullSafe(F.col("_digest")) & (F.col("_range") == F.col("_in")), "left")
+    return joined.select(*rows.columns, F.coalesce("_own", "_before").alias(name))
+
+
 def packed_excerpt(parts: Column, budget: int) -> Column:
     """Greedy choice of array<struct<score, pos, part>>: best first, the first always, later ones only if they still fit;
     shown in text order with blank lines between, then cut at the budget."""
@@ -52,10 +135,10 @@ def packed_excerpt(parts: Column, budget: int) -> Column:
 
 def spent_budget(sizes: Column, total: int, each: int) -> Column:
     """How much of each size fits: at most ``each`` and what is left of ``total``; zero means dropped."""
-    start = F.struct(F.lit(total).alias("left"), F.expr("CAST(array() AS array<int>)").alias("given"))
+    start = F.struct(F.lit(total).cast("long").alias("left"), F.expr("CAST(array() AS array<bigint>)").alias("given"))
 
     def add(acc, size):
-        give = F.least(size.cast("int"), F.lit(each), acc["left"])
+        give = F.least(size.cast("long"), F.lit(each).cast("long"), acc["left"])
         return F.struct((acc["left"] - give).alias("left"), F.concat(acc["given"], F.array(give)).alias("given"))
 
     return F.aggregate(sizes, start, add, lambda acc: acc["given"])
@@ -63,11 +146,11 @@ def spent_budget(sizes: Column, total: int, each: int) -> Column:
 
 def sequential_batches(sizes: Column, most: int = 128, limit: int = 60_000) -> Column:
     """Batch number of each size when packed in order, at most ``most`` items and ``limit`` in all per batch."""
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("sum"), F.expr("CAST(array() AS array<int>)").alias("out"))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"), F.expr("CAST(array() AS array<int>)").alias("out"))
 
     def add(acc, size):
         new = (acc["n"] > 0) & ((acc["n"] >= most) | (acc["sum"] + size > limit))
         batch = acc["batch"] + new.cast("int")
-        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, size.cast("int")).otherwise(acc["sum"] + size.cast("int")).alias("sum"), F.concat(acc["out"], F.array(batch)).alias("out"))
+        return F.struct(batch.alias("batch"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, size.cast("long")).otherwise(acc["sum"] + size.cast("long")).alias("sum"), F.concat(acc["out"], F.array(batch)).alias("out"))
 
     return F.aggregate(sizes, start, add, lambda acc: acc["out"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import strip_space, table_cell
+from quillframe.functions.text import fold_accents, strip_space, table_cell
 
 
 def cartography(docs: DataFrame, category: str, pivots: list[str]) -> DataFrame:
@@ -58,7 +58,8 @@ ABSENCE = r"(?iu)non précisé|non renseigné|absent des documents|non disponibl
 def narrative_topics(markdown: Column) -> Column:
     """array<struct<title, body, divergences, absences>> of the report's second-level headings."""
     clean = F.replace(markdown, F.lit("\r\n"), F.lit("\n"))
-    parts = F.slice(F.split(F.concat(F.lit("\n"), clean), r"\n## +"), 2, 10_000)
+    split = F.split(F.concat(F.lit("\n"), clean), r"\n## +", -1)
+    parts = F.slice(split, F.lit(2), F.size(split))
 
     def topic(part):
         lines = F.filter(F.split(part, "\n"), lambda x: ~F.regexp_like(strip_space(x), F.lit(r"^```\w*\s*$")))
@@ -70,6 +71,24 @@ def narrative_topics(markdown: Column) -> Column:
     return F.transform(parts, topic)
 
 
+#: Fixed forms of a topic's entry in an index.
+TITLE_CUT, SHORT, ANCHOR = r"\s+[—–-]\s+|\s*[(,]", 30, 40
+
+
+def short_title(title: Column) -> Column:
+    """A title up to its first separator; a longer one is cut after a whole word, in its second half, with an ellipsis."""
+    head = F.coalesce(F.nullif(strip_space(F.get(F.split(title, TITLE_CUT), F.lit(0))), F.lit("")), title)
+    cut = F.left(head, F.lit(SHORT))
+    word = F.regexp_extract(cut, "^(.*) [^ ]*$", 1)
+    return F.when(F.length(head) <= SHORT, head).otherwise(F.concat(F.regexp_replace(F.when(F.length(word) > SHORT / 2, word).otherwise(cut), r"\s+$", ""), F.lit("…")))
+
+
+def anchor(title: Column, place: Column) -> Column:
+    """theme-<place>-<slug of at most 40 characters>."""
+    base = F.regexp_replace(F.regexp_replace(fold_accents(F.lower(title)), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.concat(F.lit("theme-"), place.cast("string"), F.lit("-"), F.left(base, F.lit(ANCHOR)))
+
+
 def status_counts(risks: DataFrame, status: str = "status") -> DataFrame:
     return risks.groupBy(status).agg(F.count("*").alias("n"))
 

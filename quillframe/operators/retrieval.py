@@ -1,14 +1,20 @@
-"""Vector retrieval: a stated query set against all rows in blocks, and additive fusion with keyword candidates."""
+"""Vector retrieval: a stated query set against all rows in blocks, and additive fusion with keyword candidates.
+
+Queries and rows meet in a grid of blocks: a block of queries and a block of rows are dealt into one cell, whose task
+keeps each query's best only. No vector passes through the driver, and the plan is the same at every size.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK, ROW_BLOCK = 8192, 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,76 +28,109 @@ def unit(v: Column) -> Column:
     return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
 
 
-def _query_blocks(vectors: DataFrame, id_col: str, vector: str, every: int):
-    """Blocks of at most QUERY_BLOCK queries: ids and matrix. Only one block is on the driver at a time."""
-    chosen = vectors.where((F.col(id_col) % every == 0) & F.col(vector).isNotNull()).select(id_col, F.col(vector).cast("array<double>").alias("v"))
-    rows = chosen.orderBy(id_col).toLocalIterator(prefetchPartitions=False)
-    block: list = []
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            yield [x[0] for x in block], np.array([x[1] for x in block])
-            block = []
-    if block:
-        yield [x[0] for x in block], np.array([x[1] for x in block])
+def _cells(vectors: DataFrame, key: str, every: int, id_col: str, vector: str) -> DataFrame:
+    """(qb, rb, is_row, key, id, v): queries and rows dealt into cells, the queries of a cell first."""
+    base = vectors.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    n, asked = base.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    width, height = 1 + asked // QUERY_BLOCK, max(1 + n // ROW_BLOCK, min(64, n // 500))
+    block = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    queries = base.where(F.col("id") % every == 0).select(block(width, 1).alias("qb"), each(height).alias("rb"), F.lit(False).alias("is_row"), "key", "id", "v")
+    rows = base.select(each(width).alias("qb"), block(height, 2).alias("rb"), F.lit(True).alias("is_row"), "key", "id", "v")
+    return queries.unionByName(rows).repartition("qb", "rb").sortWithinPartitions("qb", "rb", "is_row", "id")
+
+
+def _in_cells(batches, compare: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], None], ended: Callable[[np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Runs each cell: ``compare(query ids, query matrix, batch of rows)`` for its rows, then ``ended(query ids)``."""
+    cell, ids, parts, queries = None, [], [], None
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "rb", "is_row")])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part, now = batch.slice(a, b - a), tuple(keys[a, :2])
+            if now != cell:
+                if queries is not None:
+                    yield from ended(np.concatenate(ids))
+                cell, ids, parts, queries = now, [], [], None
+            if keys[a, 2]:
+                if parts:
+                    queries = np.concatenate(parts) if queries is None else queries
+                    compare(np.concatenate(ids), queries, part)
+            else:
+                ids.append(part.column("id").to_numpy())
+                parts.append(_matrix(part))
+    if queries is not None:
+        yield from ended(np.concatenate(ids))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
 
 
 def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, similarity, rank): the k rows most similar to each row whose id is a multiple of ``every``,
     itself left out; ties go to the smaller id."""
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("similarity", T.DoubleType())])
-    base = vectors.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>").alias("v"))
-    found = []
-    for ids, queries in _query_blocks(vectors, id_col, vector, every):
-
-        def run(batches, ids=np.array(ids), queries=queries):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                sims = np.round(queries @ np.asarray(batch.column(1).flatten()).reshape(len(own), -1).T, 6)
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, : k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                cols = order.ravel()
-                keep = np.isfinite(sims[rows, cols])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows][keep]), pa.array(own[cols][keep]), pa.array(sims[rows, cols][keep])], names=schema.names)
-
-        found.append(base.mapInArrow(run, schema))
-    if not found:
-        return base.sparkSession.createDataFrame([], "query_id long, " + f"{id_col} long, similarity double, rank int")
-    together = found[0]
-    for f in found[1:]:
-        together = together.unionByName(f)
+
+    def run(batches):
+        held: list[np.ndarray] = []  # best similarities and their ids so far, a row for each query
+
+        def compare(ids, queries, rows):
+            own = rows.column("id").to_numpy()
+            sims = np.round(queries @ _matrix(rows).T, 6)
+            sims[ids[:, None] == own[None, :]] = -np.inf
+            names = np.broadcast_to(own, sims.shape)
+            if held:
+                sims, names = np.hstack([held[0], sims]), np.hstack([held[1], names])
+            if sims.shape[1] > k:  # all that reach the k-th best value stay in the race, so ties are settled by id
+                least = np.partition(sims, -k, axis=1)[:, -k]
+                width = int((sims >= least[:, None]).sum(axis=1).max())
+                some = np.argpartition(-sims, min(width, sims.shape[1] - 1), axis=1)[:, :width]
+                sims, names = np.take_along_axis(sims, some, axis=1), np.take_along_axis(names, some, axis=1)
+            order = np.lexsort((names, -sims), axis=1)[:, :k]
+            held[:] = [np.take_along_axis(sims, order, axis=1), np.take_along_axis(names, order, axis=1)]
+
+        def ended(ids):
+            sims, names = held
+            rows, columns = np.nonzero(np.isfinite(sims))
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(names[rows, columns]), pa.array(sims[rows, columns])], names=schema.names)
+
+        yield from _in_cells(batches, compare, ended)
+
+    found = _cells(vectors, id_col, every, id_col, vector).mapInArrow(run, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    return together.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def group_similarity(vectors: DataFrame, group: str, *, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, group, similarity): best similarity of any of the group's rows to each query, never their mean."""
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(group, T.LongType()), T.StructField("similarity", T.DoubleType())])
-    base = vectors.where(F.col(vector).isNotNull()).select(F.col(group).cast("long"), F.col(vector).cast("array<double>").alias("v"))
-    found = []
-    for ids, queries in _query_blocks(vectors, id_col, vector, every):
-
-        def run(batches, ids=np.array(ids), queries=queries):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                groups, back = np.unique(batch.column(0).to_numpy(), return_inverse=True)
-                sims = queries @ np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1).T
-                best = np.full((len(ids), len(groups)), -np.inf)
-                for g in range(len(groups)):
-                    best[:, g] = sims[:, back == g].max(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(groups))), pa.array(np.tile(groups, len(ids))), pa.array(best.ravel())], names=schema.names)
-
-        found.append(base.mapInArrow(run, schema))
-    if not found:
-        return base.sparkSession.createDataFrame([], f"query_id long, {group} long, similarity double")
-    together = found[0]
-    for f in found[1:]:
-        together = together.unionByName(f)
-    return together.groupBy("query_id", group).agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+    def run(batches):
+        found: list[pa.RecordBatch] = []
+
+        def compare(ids, queries, rows):
+            groups, back = np.unique(rows.column("key").to_numpy(), return_inverse=True)
+            order = np.argsort(back, kind="stable")
+            sims = (queries @ _matrix(rows).T)[:, order]
+            best = np.maximum.reduceat(sims, np.searchsorted(back[order], np.arange(len(groups))), axis=1)
+            found.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(groups))), pa.array(np.tile(groups, len(ids))), pa.array(best.ravel())], names=schema.names))
+
+        def ended(ids):
+            yield from found
+            found.clear()
+
+        yield from _in_cells(batches, compare, ended)
+
+    found = _cells(vectors.where(F.col(group).isNotNull()), group, every, id_col, vector).mapInArrow(run, schema)
+    return found.groupBy("query_id", group).agg(F.round(F.max("similarity"), 6).alias("similarity"))
+
+
+def semantic_only(keyword: DataFrame, semantic: DataFrame, group: str, doc: str) -> DataFrame:
+    """semantic with ``semantic_only``: whether the whole keyword ranking lacks the document."""
+    known = keyword.select(group, doc).distinct().withColumn("_known", F.lit(True))
+    return semantic.join(known, [group, doc], "left").withColumn("semantic_only", F.col("_known").isNull()).drop("_known")
 
 
 def fuse(keyword: DataFrame, semantic: DataFrame, group: str, doc: str, *, head: int = 3, extra: int = 2) -> DataFrame:
@@ -103,6 +142,5 @@ def fuse(keyword: DataFrame, semantic: DataFrame, group: str, doc: str, *, head:
     rest = semantic.select(group, doc, F.col("rank").alias("_r")).join(first.select(group, doc), [group, doc], "left_anti")
     order = Window.partitionBy(group).orderBy("_r")
     rest = rest.withColumn("place", F.row_number().over(order)).where(F.col("place") <= extra)
-    known = keyword.select(group, doc).distinct().withColumn("_known", F.lit(True))
-    rest = rest.join(known, [group, doc], "left").select(group, doc, (F.col("place") + head).alias("place"), F.col("_known").isNull().alias("semantic_only"))
+    rest = semantic_only(keyword, rest, group, doc).select(group, doc, (F.col("place") + head).alias("place"), "semantic_only")
     return first.unionByName(rest)

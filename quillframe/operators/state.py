@@ -35,10 +35,11 @@ def field_counters(results: DataFrame, group: str) -> DataFrame:
 
 
 def with_corrections(proposals: DataFrame, corrections: DataFrame, key: list[str], *columns: str) -> DataFrame:
-    """proposals with final_* columns: the correction where there is one, else the proposal; proposals never change."""
+    """proposals with final_* columns: the correction where there is one (a null corrects to null), else the proposal;
+    proposals never change."""
     fixed = corrections.select(*key, *(F.col(c).alias(f"_fix_{c}") for c in columns), F.lit(True).alias("_fixed"))
     joined = proposals.join(fixed, key, "left")
-    return joined.select(*proposals.columns, *(F.coalesce(f"_fix_{c}", c).alias(f"final_{c}") for c in columns), F.when(F.col("_fixed"), "corrected").otherwise("proposed").alias("decision"))
+    return joined.select(*proposals.columns, *(F.when(F.col("_fixed"), F.col(f"_fix_{c}")).otherwise(F.col(c)).alias(f"final_{c}") for c in columns), F.when(F.col("_fixed"), "corrected").otherwise("proposed").alias("decision"))
 
 
 def at_or_after(status: Column, target: Column, order: list[str] = STATUSES) -> Column:

@@ -8,6 +8,7 @@ from quillframe.functions import text as tx
 from quillframe.functions.parsers import chunks
 from quillframe.operators import planning, reports, state
 from quillframe.plans.book import SIGNALS_SQL, Book, signals
+from quillframe.sources import office
 from quillframe.sources.inventory import classify_extension
 from quillframe.sources.tables import table
 
@@ -28,11 +29,8 @@ def text_cache_view(spark, sf_dir):
 
 @book.query("SELECT doc_id, lag(doc_id) OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS duplicate_of FROM documents")
 def duplicate_of_latest(spark, sf_dir):
-    """The latest earlier document of the same content, by an ordered array per content instead of a window task."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    from pyspark.sql import Window
-
-    return docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("digest").orderBy("doc_id")).alias("duplicate_of"))
+    return planning.latest_before(docs, "digest", "doc_id", "duplicate_of").select("doc_id", "duplicate_of")
 
 
 @book.query("SELECT content_hash FROM (SELECT sha256(text) AS content_hash, bool_and(source IN ('src0', 'src1')) AS gone FROM documents GROUP BY 1) WHERE gone")
@@ -71,27 +69,40 @@ f AS (SELECT doc_id, list_reduce(ranked, lambda acc, x: CASE WHEN NOT acc.any_ta
 SELECT doc_id, sha256(left(array_to_string(list_transform(list_sort(list_transform(r.taken, lambda x: {{'pos': x.pos, 'part': x.part}})), lambda x: x.part), chr(10) || chr(10)), 1500)) AS excerpt FROM f""")
 def excerpt_select(spark, sf_dir):
     parts = tx.paragraphs(F.col("text"), "\n")
-    scored = F.transform(parts, lambda p, i: F.struct(tx.paragraph_score(p, ["(?i)tion", "(?i)the"], WORDS).alias("score"), i.alias("pos"), p.alias("part")))
-    docs = table(spark, sf_dir, "documents").where(F.size(parts) > 0)
-    return docs.select("doc_id", F.sha2(planning.packed_excerpt(scored, 1500), 256).alias("excerpt"))
-
-
-@book.query()
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array(parts)).alias("parts")).where(F.size("parts") > 0)  # split once
+    scored = F.transform("parts", lambda p, i: F.struct(tx.paragraph_score(p, ["(?i)tion", "(?i)the"], WORDS).alias("score"), i.alias("pos"), p.alias("part")))
+    once = docs.select("doc_id", F.explode_outer(F.array(scored)).alias("scored"))
+    return once.select("doc_id", F.sha2(planning.packed_excerpt(F.col("scored"), 1500), 256).alias("excerpt"))
+
+
+@book.query(r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+pieces AS (SELECT doc_id, flatten(list_transform(ps, lambda p: list_transform(range(0, (length(p) - 1) // 800 + 1), lambda i: {'part': substr(p, (i * 800 + 1)::BIGINT, 800), 'whole': i < (length(p) - 1) // 800}))) AS xs FROM p WHERE len(ps) > 0),
+packed AS (SELECT doc_id, list_reduce(xs, lambda acc, x: CASE
+    WHEN x.whole THEN {'done': list_concat(CASE WHEN acc.held = '' THEN acc.done ELSE list_append(acc.done, acc.held) END, [x.part]), 'held': '', 'size': 0::BIGINT}
+    WHEN acc.held <> '' AND acc.size + length(x.part) <= 800 THEN {'done': acc.done, 'held': acc.held || chr(10) || chr(10) || x.part, 'size': acc.size + length(x.part) + 2}
+    ELSE {'done': CASE WHEN acc.held = '' THEN acc.done ELSE list_append(acc.done, acc.held) END, 'held': x.part, 'size': length(x.part) + 2} END,
+    {'done': []::VARCHAR[], 'held': '', 'size': 0::BIGINT}) AS r FROM pieces),
+chunked AS (SELECT doc_id, CASE WHEN r.held = '' THEN r.done ELSE list_append(r.done, r.held) END AS c FROM packed)
+SELECT doc_id, (i - 1)::INT AS chunk_no, length(c[i])::INT AS size, sha256(c[i]) AS digest FROM chunked, range(1, len(c) + 1) t(i)""")
 def chunk_text(spark, sf_dir):
-    """Order-dependent packing of paragraphs; tests hold it against a plain loop."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", chunks(F.col("text"), F.lit(800)).alias("chunks"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", chunks(F.col("text"), 800).alias("chunks"))
     return docs.select("doc_id", F.posexplode("chunks").alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("digest"))
 
 
-_MENTION_SQL = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS mention FROM documents WHERE regexp_matches(lower(text), '{p}')" for k, p in {"license": "licen[sc]e", "mail": "[a-z0-9.]+@[a-z0-9.]+", "copyright": "copyright", "card": "[0-9]{16}"}.items()
-)
+MENTIONS = {"license": "licen[sc]e", "mail": "[a-z0-9.]+@[a-z0-9.]+", "card": "([0-9]{4})[0-9]{12}", "phone": r"[+]1 [(]([0-9]{3})[)]"}
 
 
-@book.query(_MENTION_SQL)
+def _mention_sql(key: str, pattern: str) -> str:
+    group = int("(" in pattern.replace("[(]", ""))
+    found = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '{pattern}', {group}), lambda v: v <> '')))[1:10]"
+    return f"SELECT doc_id, '{key}' AS mention, array_to_string({found}, '|') AS captured FROM documents WHERE regexp_matches(lower(text), '{pattern}')"
+
+
+@book.query(" UNION ALL ".join(_mention_sql(k, p) for k, p in MENTIONS.items()))
 def key_mentions(spark, sf_dir):
-    patterns = {"license": "licen[sc]e", "mail": "[a-z0-9.]+@[a-z0-9.]+", "copyright": "copyright", "card": "[0-9]{16}"}
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.map_keys(tx.key_mentions(F.col("text"), patterns))).alias("mention"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.key_mentions(F.col("text"), MENTIONS).alias("found"))
+    return docs.select("doc_id", F.explode("found").alias("mention", "values")).select("doc_id", "mention", F.array_join("values", "|").alias("captured"))
 
 
 @book.query(r"SELECT page_id, nullif(trim(regexp_replace(regexp_extract('Lot ' || (page_id % 7) || ', ' || (page_id % 5) || ' et 3 - ' || url, '(?i)lot[^a-z0-9]{0,3}([0-9]+(?:\s*(?:,|/|&|-|et)\s*[0-9]+)*)', 1), '\s+', ' ', 'g')), '') AS lot FROM pages")
@@ -113,12 +124,24 @@ def slug_filename(spark, sf_dir):
     return reports.distinct_targets(named, "dossier", "name", "doc_id").select("doc_id", "dossier", "name", "target")
 
 
-@book.query("""
-SELECT page_id, length(html) AS n_chars, CASE WHEN length(html) < 1000 THEN 'ocr_all' WHEN short > 0 THEN 'ocr_some' ELSE 'native' END AS route, short::INT AS n_short
-FROM (SELECT page_id, html, len(list_filter(string_split(html, chr(10)), lambda l: length(trim(l)) < 40)) AS short FROM pages)""")
+@book.query(r"""
+WITH p AS (SELECT page_id // 3 AS doc, page_id % 3 AS page, length(regexp_replace(left(html, 100 * (page_id % 7)::INT), '^\s+|\s+$', '', 'g')) AS size FROM pages),
+s AS (SELECT *, avg(size) OVER (PARTITION BY doc) AS mean_chars, sum(size) OVER (PARTITION BY doc) AS chars FROM p)
+SELECT doc, page, CASE WHEN doc % 5 = 0 THEN CASE WHEN chars = 0 THEN 'deferred' ELSE 'native' END WHEN mean_chars < 50 THEN 'recognise' WHEN size < 200 THEN 'recognise' ELSE 'native' END AS route FROM s""")
 def page_density_route(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.length("html").alias("n_chars"), F.size(F.filter(F.split("html", "\n"), lambda x: F.length(F.trim(x)) < 40)).alias("n_short"))
-    return pages.select("page_id", "n_chars", F.when(F.col("n_chars") < 1000, "ocr_all").when(F.col("n_short") > 0, "ocr_some").otherwise("native").alias("route"), "n_short")
+    pages = table(spark, sf_dir, "pages").select(F.expr("page_id div 3").alias("doc"), (F.col("page_id") % 3).alias("page"), F.left("html", (100 * (F.col("page_id") % 7)).cast("int")).alias("native_text"))
+    return office.page_routes(pages, "doc", allow=F.col("doc") % 5 != 0).select("doc", "page", "route")
+
+
+@book.query(r"""
+WITH p AS (SELECT page_id // 3 AS doc, page_id % 3 AS page, left(html, 40) AS native, CASE WHEN page_id % 2 = 0 THEN 'ocr ' || page_id END AS ocr, CASE WHEN page_id % 2 = 0 THEN (page_id % 10) / 10.0::DOUBLE END AS conf FROM pages),
+s AS (SELECT *, length(trim(native)) AS size, avg(length(regexp_replace(native, '^\s+|\s+$', '', 'g'))) OVER (PARTITION BY doc) AS mean_chars FROM p)
+SELECT doc, sha256(string_agg(coalesce(ocr, native), chr(10) ORDER BY page)) AS digest, round(avg(conf), 6) AS ocr_confidence, count(*) AS n_recognised FROM s WHERE true GROUP BY doc""")
+def page_splice(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 3").alias("doc"), (F.col("page_id") % 3).alias("page"), F.left("html", F.lit(40)).alias("native_text"))
+    answers = pages.where("page_id % 2 = 0").select("doc", "page", F.concat(F.lit("ocr "), F.col("page_id").cast("string")).alias("ocr_text"), ((F.col("page_id") % 10) / F.lit(10.0)).alias("ocr_confidence"))
+    found = office.spliced(office.page_routes(pages.drop("page_id"), "doc"), answers, "doc")
+    return found.select("doc", F.sha2("text", 256).alias("digest"), F.round("ocr_confidence", 6).alias("ocr_confidence"), "n_recognised")
 
 
 @book.query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.functions.text import fold_accents, fold_citation
+from quillframe.functions.text import fold_citation
 from quillframe.operators import citations, planning, reports
 from quillframe.plans.book import SIGNALS_SQL, Book, signals
 from quillframe.sources.tables import table
@@ -20,10 +20,8 @@ SELECT section, doc_id, pos::INT AS pos FROM {_SECTIONS_SQL} s JOIN {SIGNALS_SQL
 WHERE category <> 'CAT/EN' OR len(keywords) = 0 OR len(list_filter(keywords, lambda k: contains(lower(filename || ' ' || lot), k))) > 0""")
 def section_documents(spark, sf_dir):
     schema = "section string, ord int, pivots array<string>, keywords array<string>"
-    sections = spark.createDataFrame(SECTIONS, schema).select("section", "keywords", F.posexplode("pivots").alias("pos", "category"))
-    name = fold_accents(F.lower(F.concat_ws(" ", "filename", F.coalesce("lot", F.lit("")))))
-    passes = ~F.col("category").isin(*FILTERED) | (F.size("keywords") == 0) | F.exists("keywords", lambda k: F.contains(name, fold_accents(F.lower(k))))
-    return sections.join(signals(spark, sf_dir), "category").where(passes).select("section", "doc_id", "pos")
+    sections = spark.createDataFrame(SECTIONS, schema)
+    return planning.section_documents(sections, signals(spark, sf_dir), "doc_id", FILTERED)
 
 
 @book.query(f"SELECT category, count(*) AS n, category IN ('CAT/FR', 'CAT/DE') AS is_pivot FROM {SIGNALS_SQL} GROUP BY category")
@@ -63,13 +61,28 @@ WITH q AS (SELECT item_id AS cite_id, trim(regexp_replace(strip_accents(text), '
 p AS (SELECT doc_id AS page, lower(replace(trim(regexp_replace(strip_accents(text), '[[:space:]]+', ' ', 'g')), '"', '')) AS folded FROM documents)
 SELECT cite_id, min(page) AS page FROM c JOIN p ON length(c.folded) >= 25 AND contains(p.folded, c.folded) GROUP BY cite_id""")
 def citation_locate(spark, sf_dir):
-    """First document that holds a whole passage: both sides share the passage's first fold of 25 characters as a
-    fingerprint key, so only documents with that start are compared in full."""
+    """First document that holds a whole passage."""
     cites = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cite_id"), fold_citation(F.col("text")).alias("fragment")).where(F.length("fragment") >= 25)
-    listed = cites.select("cite_id", "fragment")
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), fold_citation(F.col("text")).alias("folded"))
-    hits = pages.join(F.broadcast(listed), F.contains("folded", F.col("fragment")))
-    return hits.groupBy("cite_id").agg(F.min("page").alias("page"))
+    return citations.anywhere(cites, pages).groupBy("cite_id").agg(F.min("page").alias("page"))
+
+
+_FOLD = "lower(replace(trim(regexp_replace(strip_accents({0}), '[[:space:]]+', ' ', 'g')), '\"', ''))"
+
+
+@book.query(f"""
+WITH c AS (SELECT conv_id * 100 + turn AS cite_id, conv_id AS document_id, turn AS own, {_FOLD.format("CASE WHEN turn % 2 = 0 THEN text ELSE left(text, 70) || ' and then quite another ending of it' END")} AS f FROM conversations),
+p AS (SELECT conv_id AS document_id, turn AS page, {_FOLD.format("text")} AS folded FROM conversations),
+l AS (SELECT cite_id, page, CASE WHEN length(f) >= 25 AND contains(folded, f) THEN length(f) {" ".join(f"WHEN length(f) > {n} AND contains(folded, left(f, {n})) THEN {n}" for n in (400, 200, 120, 60, 40))} END AS size, f, folded FROM c JOIN p USING (document_id) WHERE length(f) >= 25),
+h AS (SELECT cite_id, page, size, strpos(folded, left(f, size)) AS position FROM l WHERE size IS NOT NULL)
+SELECT cite_id, arg_min(page, page) AS page, arg_min(position, page)::INT AS position, arg_min(size, page)::INT AS length FROM h GROUP BY cite_id""")
+def citation_pages(spark, sf_dir):
+    """Each turn cited within its own conversation, in full or with another ending."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.concat(F.left("text", F.lit(70)), F.lit(" and then quite another ending of it")))
+    cites = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("cite_id"), F.col("conv_id").alias("document_id"), said.alias("citation"))
+    pages = turns.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page"), fold_citation(F.col("text")).alias("folded"))
+    return citations.locate(cites, pages).select("cite_id", "page", "position", "length")
 
 
 @book.query("""
@@ -86,15 +99,8 @@ b AS (SELECT dossier, list(doc_id ORDER BY doc_id) AS ids, list_reduce(list(leas
 g AS (SELECT unnest(ids) AS doc_id, unnest(f.given) AS given FROM b)
 SELECT dossier, doc_id, kind, label, given::INT AS given FROM c LEFT JOIN l USING (doc_id) LEFT JOIN g USING (doc_id)""")
 def findings_context(spark, sf_dir):
-    from pyspark.sql import Window
-
     docs = signals(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left").select("dossier", "doc_id", F.length("text").alias("size"), F.when(F.col("quality") == 1, "summary").when(F.col("quality") == 0, "empty").otherwise("raw").alias("kind"))
-    labelled = docs.where("kind = 'summary'").select("dossier", "doc_id", "kind", F.concat(F.lit("D"), F.row_number().over(Window.partitionBy("dossier").orderBy("doc_id")).cast("string")).alias("label"), F.lit(None).cast("int").alias("given"))
-    packed = docs.where("kind = 'raw'").groupBy("dossier").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size"))).alias("all"))
-    given = packed.withColumn("given", planning.spent_budget(F.transform("all", lambda s: s["size"]), 9000, 3000))
-    raw = given.select("dossier", F.inline(F.arrays_zip(F.transform("all", lambda s: s["doc_id"]).alias("doc_id"), F.col("given")))).toDF("dossier", "doc_id", "given")
-    rest = docs.where("kind = 'empty'").select("dossier", "doc_id", "kind", F.lit(None).cast("string").alias("label"), F.lit(None).cast("int").alias("given"))
-    return labelled.unionByName(rest).unionByName(raw.select("dossier", "doc_id", F.lit("raw").alias("kind"), F.lit(None).cast("string").alias("label"), "given"))
+    return planning.findings_context(docs, "dossier", "doc_id", total=9000, each=3000).drop("size")
 
 
 @book.query(f"""SELECT dossier, sha256(string_agg('- ' || filename || ' (' || category || ')', chr(10) ORDER BY category, doc_id)) AS report, count(*) AS n_lines FROM {SIGNALS_SQL} GROUP BY dossier""")

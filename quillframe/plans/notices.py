@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import fold_terms
+from quillframe.operators import filters
 from quillframe.operators import notices as op
 from quillframe.plans.book import Book
 from quillframe.sources.tables import table
@@ -62,10 +63,16 @@ def best_link(spark, sf_dir):
 
 
 @book.query(f"""
-SELECT page_id, CASE WHEN host LIKE '%a%e%' THEN 'manual' ELSE CASE WHEN regexp_matches(url, '(?i)[.](zip|7z|rar)([?]|$)') THEN 'direct' ELSE 'manual' END END AS plan
-FROM (SELECT page_id, url, {_HOST} AS host FROM pages)""")
+SELECT page_id, CASE WHEN h = 'manual' THEN 'manual' WHEN h = 'platform' THEN 'platform' WHEN regexp_matches(link, '(?i)[.](zip|7z|rar)([?]|$)') THEN 'direct' ELSE 'manual' END AS plan
+FROM (SELECT page_id, link, CASE WHEN page_id % 4 = 0 THEN 'manual' WHEN page_id % 4 = 1 THEN 'platform' ELSE 'other' END AS h
+  FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.ZIP?x=1' WHEN 1 THEN '.7z' ELSE '' END AS link FROM pages))""")
 def retrieval_plan(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", op.retrieval_plan(F.col("url"), ["captcha.invalid"], ["platform.invalid"]).alias("plan"))
+    """Pages below hosts of either kind: a host itself, a host below a listed one, and hosts that only end alike."""
+    path = F.regexp_extract("url", r"^https?://[^/?#]+(.*)$", 1)
+    host = F.element_at(F.array(*map(F.lit, ["www.captcha.invalid", "platform.invalid", "notcaptcha.invalid", "xplatform.invalid"])), (F.col("page_id") % 4 + 1).cast("int"))
+    ending = F.element_at(F.array(*map(F.lit, [".ZIP?x=1", ".7z", ""])), (F.col("page_id") % 3 + 1).cast("int"))
+    link = F.concat(F.lit("https://"), host, path, ending)
+    return table(spark, sf_dir, "pages").select("page_id", op.retrieval_plan(link, ["captcha.invalid"], ["platform.invalid"]).alias("plan"))
 
 
 @book.query("""
@@ -94,3 +101,46 @@ def scan_report(spark, sf_dir):
     seen = _matched(spark, sf_dir).agg(F.count("*").alias("n_seen"), F.count_if(F.size("terms") > 0).alias("n_matched"), F.count_if(F.col("excluded_by").isNotNull()).alias("n_excluded"))
     merged = op.merge(_notices(spark, sf_dir), preferred="ted").agg(F.count("*").alias("n_merged"), F.sum("n_duplicates").alias("n_duplicates"))
     return seen.withColumn("k", F.lit(1)).join(merged.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+_RECORDS = {"one": ("page_id % 2 = 0", "ref", "name", "day"), "two": ("page_id % 2 = 1", "no", "subject", "date")}
+
+
+@book.query("""
+SELECT CASE WHEN page_id % 2 = 0 THEN 'one' ELSE 'two' END AS source, page_id::VARCHAR AS source_id, 'T' || page_id AS title, CASE WHEN page_id % 9 <> 0 THEN DATE '2024-01-01' + (page_id % 60)::INT END AS published_at FROM pages WHERE page_id % 7 <> 0""")
+def notice_records(spark, sf_dir):
+    """Two sources with keys of their own, some records unreadable, some days unreadable."""
+    return _two_sources(spark, sf_dir)[0]
+
+
+def _two_sources(spark, sf_dir):
+    found = []
+    for name, (own, number, title, day) in _RECORDS.items():
+        pages = table(spark, sf_dir, "pages").where(own)
+        made = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")), "yyyy-MM-dd'T'00:00")
+        record = F.to_json(F.struct(F.col("page_id").cast("string").alias(number), F.concat(F.lit("T"), F.col("page_id").cast("string")).alias(title), F.when(F.col("page_id") % 9 == 0, "soon").otherwise(made).alias(day)))
+        found.append(op.records(pages.select(F.when(F.col("page_id") % 7 == 0, F.left(record, F.lit(9))).otherwise(record).alias("record")), name, id_key=number, title_key=title, published_key=day))
+    return op.all_sources(*found)
+
+
+@book.query("SELECT CASE WHEN page_id % 2 = 0 THEN 'one' ELSE 'two' END AS source, 'no readable record' AS error, count(*) AS n FROM pages WHERE page_id % 7 = 0 GROUP BY 1")
+def source_errors(spark, sf_dir):
+    return _two_sources(spark, sf_dir)[1]
+
+
+@book.query("""
+WITH n AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'one' ELSE 'two' END AS source, page_id::VARCHAR AS source_id, 'T' || page_id AS title, CASE WHEN page_id % 9 <> 0 THEN DATE '2024-01-01' + (page_id % 60)::INT END AS d, page_id FROM pages WHERE page_id % 7 <> 0),
+s AS (SELECT source, source_id, 'old' AS title, 'seen' AS status FROM n WHERE page_id % 5 = 0), f AS (SELECT source, source_id, title, 'new' AS status FROM n WHERE d >= DATE '2024-02-20' - 30)
+SELECT source, source_id, coalesce(f.title, s.title) AS title, coalesce(s.status, f.status) AS status, s.source_id IS NULL AS is_new FROM s FULL JOIN f USING (source, source_id)""")
+def notice_scan(spark, sf_dir):
+    notices = _two_sources(spark, sf_dir)[0].withColumn("status", F.lit("new"))
+    stored = notices.where("CAST(source_id AS bigint) % 5 = 0").select("source", "source_id", F.lit("old").alias("title"), F.lit("seen").alias("status"))
+    return op.scan(stored, notices, today=F.lit("2024-02-20").cast("date"), key=["source", "source_id"], editorial=["title"], protected=["status"])
+
+
+@book.query("""
+SELECT page_id FROM pages WHERE upper('nature ' || (page_id % 3)) NOT IN ('NATURE 1') AND NOT starts_with('type' || (page_id % 20), 'type1') AND CASE page_id % 4 WHEN 0 THEN 'dismissed' ELSE 'new' END <> 'dismissed'""")
+def notice_filters(spark, sf_dir):
+    n = lambda m: (F.col("page_id") % m).cast("string")
+    nature, kind, status = F.concat(F.lit("nature "), n(3)), F.concat(F.lit("type"), n(20)), F.when(F.col("page_id") % 4 == 0, "dismissed").otherwise("new")
+    return table(spark, sf_dir, "pages").where(filters.allowed_nature(nature, ["Nature 1"]) & filters.allowed_type(kind, ["type1"]) & filters.allowed_type(kind, []) & filters.shown_status(status, [])).select("page_id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quillframe.plans import documents, events, narratives, notices, resolution, scoring, vectors
+from quillframe.plans import documents, events, fields, narratives, notices, resolution, results, scoring, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (scoring, resolution, vectors, documents, notices, narratives, events):
+for _module in (scoring, resolution, vectors, documents, notices, narratives, events, results, fields):
     QUERIES |= _module.book.queries
     ORACLES |= _module.book.oracles

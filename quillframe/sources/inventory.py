@@ -38,7 +38,7 @@ def inventory(spark: SparkSession, root: str, *, plan_names: str | None = None)
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace("path", r"^file:/+", "/")
-    rows = files.select(F.substring(base, F.lit(len(root.rstrip("/")) + 2), F.lit(10_000)).alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select(F.substring(base, F.lit(len(root.rstrip("/")) + 2), F.length(base)).alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     name = F.element_at(F.split("relative_path", "/"), -1)
     found = rows.withColumn("filename", name).withColumn("extension", extension(name)).withColumn("c", classify_extension(extension(name)))
     junk = F.startswith("filename", F.lit("._")) | (F.lower("filename") == ".ds_store")

@@ -17,6 +17,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, Greater
 SCHEMA = "source string, source_id string, title string, published_at date, body string, error string"
 
 
+def _day(text) -> datetime.date | None:
+    """The day that a text starts with; None if it starts with none."""
+    try:
+        return datetime.date.fromisoformat(str(text)[:10]) if text else None
+    except ValueError:
+        return None
+
+
 class Page(InputPartition):
     def __init__(self, file: str):
         self.file = file
@@ -45,7 +53,7 @@ class NoticeReader(DataSourceReader):
             yield name, None, None, None, None, f"{type(e).__name__}: {page.file}"
             return
         for r in records:
-            day = datetime.date.fromisoformat(r["published_at"][:10]) if r.get("published_at") else None
+            day = _day(r.get("published_at"))
             if self.since is None or day is None or day >= self.since:
                 yield name, str(r["id"]), r.get("title"), day, json.dumps(r, ensure_ascii=False), None
 

@@ -28,14 +28,13 @@ def lockout_stream(events: DataFrame, key: str, *, threshold: int = 5, minutes:
     def step(group: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         count = held.get[0] if held.exists else 0
         out = []
-        for frame in frames:
-            for row in frame.sort_values("ts").itertuples():
-                if row.succeeded:
-                    count = 0
-                elif row.failed:
-                    count += 1
-                    if count >= threshold:
-                        out.append((group[0], row.ts, row.ts + pd.Timedelta(minutes=minutes), count))
+        for row in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():  # a key's rows of one batch
+            if row.succeeded:
+                count = 0
+            elif row.failed:
+                count += 1
+                if count >= threshold:
+                    out.append((group[0], row.ts, row.ts + pd.Timedelta(minutes=minutes), count))
         held.update((count,))
         yield pd.DataFrame(out, columns=[key, "ts", "locked_until", "failures"])
 
@@ -48,10 +47,9 @@ def last_status_stream(events: DataFrame, key: str, order: list[str]) -> DataFra
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         now = held.get[0] if held.exists else None
-        for frame in frames:
-            for status in frame.sort_values("ts").status:
-                if status == "error" or now in (None, "error") or status in order and now in order and order.index(status) >= order.index(now):
-                    now = status
+        for status in pd.concat(list(frames)).sort_values("ts", kind="stable").status:
+            if status == "error" or now in (None, "error") or status in order and now in order and order.index(status) >= order.index(now):
+                now = status
         held.update((now,))
         yield pd.DataFrame({key: [group[0]], "status": [now]})
 

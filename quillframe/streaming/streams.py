@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillframe.sources.shared import new_folder
+
 
 def history(events: DataFrame, key: str, order: list[str], most: int = 200) -> DataFrame:
     """The last ``most`` events of each key, for late joiners."""
@@ -23,11 +24,13 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """All that the stream yields from the data at hand, as a table in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that the stream yields from the data at hand, as Parquet in the shared folder, so no row passes through the
+    driver. In complete mode each batch's whole result takes the place of the one before; in the other modes rows add up."""
+    spark = stream.sparkSession
+    out, checkpoint = new_folder(spark, "drained"), new_folder(spark, "drained-state")
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:

@@ -57,8 +57,58 @@ def test_first_line_and_items(spark):
 
 
 def test_key_mentions(spark):
-    found = one(spark, tx.key_mentions(F.col("t")), t="Le CCTP du lot n° 3 et du LOT 12, assurance décennale")
-    assert found == {"cctp": ["cctp"], "lot": ["12", "3"], "decennale": ["décennale"]} or found["lot"] == ["12", "3"]
+    patterns = {"lot": r"\blot\s*n?°?\s*(\d+)\b", "cctp": r"\bcctp\b", "none": r"\bkbis\b", "cover": "d[ée]cennale"}
+    found = one(spark, tx.key_mentions(F.col("t"), patterns), t="Le CCTP du lot n° 3 et du LOT 12, assurance décennale")
+    assert found == {"cctp": ["cctp"], "lot": ["12", "3"], "cover": ["décennale"]}
+
+
+@pytest.mark.parametrize("text", ["Ångström ŁÓDŹ ő ű", "ﬁn ½ ﬄ Ĳ", "e\u0301te\u0301", "naïve…", "ﬀ² ª º", "plain"])
+def test_folding_is_compatibility_decomposition(spark, text):
+    expected = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    assert one(spark, tx.fold_accents(F.col("t")), t=text) == expected
+
+
+def test_field_query(spark):
+    row = spark.createDataFrame([("Owner", "a name", [r"\bown(er)?\b", r"own\s(er)", r"\d"]), ("Date", "", None)], "l string, e string, p array<string>")
+    found = [r.q for r in row.select(tx.field_query(F.col("l"), F.col("e"), F.col("p")).alias("q")).collect()]
+    assert found == ["Owner — a name — Termes associés : own er", "Date"]
+
+
+def packed(text: str, most: int) -> list[str]:
+    """Paragraphs packed the plain way: first cut, then filled up."""
+    pieces = []
+    for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+        cuts = [p[i : i + most] for i in range(0, len(p), most)]
+        pieces += [(c, i < len(cuts) - 1) for i, c in enumerate(cuts)]
+    groups: list[list[str]] = []
+    open_group = False
+    for part, whole in pieces:
+        room = most - sum(len(x) + 2 for x in groups[-1]) if open_group else 0
+        if whole or not open_group or len(part) > room:
+            groups.append([])
+        groups[-1].append(part)
+        open_group = not whole
+    return ["\n\n".join(g) for g in groups]
+
+
+@pytest.mark.parametrize("text", ["", " \n ", "a", "aa\n\nbb\n \ncc", "x" * 25 + "\n\nyy", "12345\n\n12345\n\n123", "x" * 20, "ab\n\n" + "z" * 10 + "\n\ncd"])
+@pytest.mark.parametrize("most", [1, 5, 10])
+def test_chunks(spark, text, most):
+    assert one(spark, parsers.chunks(F.col("t"), most), t=text) == packed(text, most)
+
+
+@pytest.mark.parametrize(("text", "shown"), [
+    ("x ⟦cite:c1⟧⟦cite:c2⟧ y\n⟦cite:c1⟧", "x  (A, B) y\nA"), ("| ⟦cite:c1⟧ |", "| A |"), ("⟦cite:c9⟧said", "said"), ("said ⟦cite:c1⟧ ⟦cite:c2⟧", "said  (A)  (B)"),
+    ("x⟦cite:c1⟧⟦cite:c2⟧⟦cite:c3⟧⟦cite:c4⟧⟦cite:c5⟧", "x (A, B, C et 2 autres)"), ("none", "none"), ("", ""),
+])
+def test_marks_as_files(spark, text, shown):
+    names = F.create_map(*(F.lit(x) for i, f in enumerate("ABCDE", 1) for x in (f"c{i}", f)))
+    assert one(spark, parsers.marks_as_files(F.col("t"), names), t=text) == shown
+
+
+def test_malformed_json_is_null(spark):
+    rows = spark.createDataFrame([('{"fra": "a"}',), ("{broken",), (None,)], "j string").select(parsers.multilingual("j").alias("t")).collect()
+    assert [r.t for r in rows] == ["a", None, ""]
 
 
 def test_certainty_and_quarantine(spark):
@@ -133,5 +183,3 @@ def test_markdown_and_audit(spark):
     row = df.select(F.size(parsers.audit_risks("r")).alias("n"), F.size(parsers.markdown_blocks("t")).alias("m"), parsers.json_strings("j").alias("s")).first()
     assert (row.n, row.m, [(x.k, x.v) for x in row.s]) == (1, 5, [("profil", "u"), ("b", "x")])
     assert parsers.plain_text({"deu": "d", "fra": ["a", "a", "b &amp; c"]}) == "a\nb & c"
-    marked = "x ⟦cite:c1⟧⟦cite:c2⟧ y\n⟦cite:c1⟧"
-    assert parsers.files_for_marks(marked, {"c1": "A", "c2": "B"}) == "x (A, B) y\nA"

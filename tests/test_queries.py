@@ -22,15 +22,15 @@ def test_entry_has_rows(spark):
     assert df.columns == ["doc_id", "category", "score", "gap"] and df.count() > 0
 
 
-def test_every_query_is_whole_or_known(spark):
-    """Queries without SQL are tested by other means."""
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"chunk_text"}
+def test_every_query_has_sql(spark):
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
-def test_chunk_text_matches_a_plain_loop(spark):
-    from quillframe.functions.parsers import chunk_paragraphs
-    from quillframe.sources.tables import table
+@pytest.mark.parametrize("name", ["citation_locate", "knn_topk", "citation_registry", "duplicate_of_latest", "findings_context", "classify_by_rules"])
+def test_plans_hold_no_nested_loop_and_no_window_over_all(spark, name):
+    from quillframe.plans.registry import QUERIES
 
-    expected = sorted((r.doc_id, i, len(c)) for r in table(spark, SMALL, "documents").collect() for i, c in enumerate(chunk_paragraphs(r.text, 800)))
-    found = sorted((r.doc_id, r.chunk_no, r["size"]) for r in registry.QUERIES["chunk_text"](spark, SMALL).collect())
-    assert found == expected and all(n <= 800 for _, _, n in found)
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cross" not in plan.lower().split("join")[0] and "Join Inner\n" not in plan
+    if name == "classify_by_rules":
+        assert plan.count("translate(") == 2  # one folding, one lowering
