@@ -82,8 +82,9 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(a, b - a)
 
 
-def add_columns(docs: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
-    """docs with computed columns; ``make()`` runs once per task and returns texts -> arrays in the order of ``fields``.
+def add_columns(docs: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], limit: int = SLICE_BYTES) -> DataFrame:
+    """docs with computed columns; ``make()`` runs once per task and returns texts -> arrays in the order of ``fields``; it
+    gets about ``limit`` bytes of text at a time.
 
     A computed column replaces one of the same name; every other column passes through.
     """
@@ -95,7 +96,7 @@ def add_columns(docs: DataFrame, text: str, fields: str, make: Callable[[], Call
     def run(batches):
         compute = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 arrays = compute(part.column(text))
                 columns = [part.column(c) for c in kept] + list(arrays)
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(columns, target, strict=True)], schema=target)

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from quillframe.llm.arrow import add_columns
 
 LONG, PIECE, LOOPED = 64, 48, 512
-PIECES_AT_ONCE = 4000
-MOST_WORDS = 500_000  # words kept by a worker process before it starts anew
+SLICE, WORDS_AT_ONCE, PIECES_AT_ONCE = 1_000_000, 10_000, 2000  # bytes of text, and words or pieces of a query: they bound a worker's memory
+MOST_WORDS = 300_000  # words kept by a worker process before it starts anew
 
 CONTRACT = """
 WITH RECURSIVE step(it, w, pos, tok, nxt, nxtpos) AS (
@@ -86,7 +86,7 @@ class Encoder:
         rows = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, rank = (np.array(x, np.int32) for x in zip(*rows, strict=True))
         early = np.union1d(left[left > rank], right[right > rank])  # tokens that a merge of lower rank uses
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._fill("merges", {"l": left, "r": right, "rank": rank, "safe": ~np.isin(rank, early)})
         self._fill("pieces", {"tok": np.array(list(ranks.values()), np.int32), "piece": [t.hex() for t in ranks]})
         self.size_of = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -195,8 +195,9 @@ class Encoder:
         short, long = [], []
         for x in fresh:
             (long if len(x) > LONG // 4 and len(x.encode()) > LONG else short).append(x)
-        if short:
-            self._keep(short, [self._contracted([x.encode() for x in short])])
+        for at in range(0, len(short), WORDS_AT_ONCE):
+            part = short[at : at + WORDS_AT_ONCE]
+            self._keep(part, [self._contracted([x.encode() for x in part])])
         if long:
             coded = [self._stitched(x.encode()) for x in long]
             sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -252,4 +253,4 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
             _encoders[key] = Encoder(*key)
         return lambda texts: _encoders[key].encode(texts.to_pylist())
 
-    return add_columns(docs, text, "n_tokens long, ids binary, decoded binary", make)
+    return add_columns(docs, text, "n_tokens long, ids binary, decoded binary", make, SLICE)
