@@ -110,4 +110,5 @@ def base_secrets(text: str | None) -> list[tuple]:
 
 def cosine_links(rows: list[tuple], similarity: float = 0.9) -> list[tuple]:
     sane = [(i, np.array(v, float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    sane = [(i, v / np.abs(v).max()) for i, v in sane]
     return [(a, b) for n, (a, x) in enumerate(sane) for b, y in sane[n + 1 :] if len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= similarity]

@@ -62,10 +62,13 @@ def test_token_counts(docs, none):
 
 def test_chunk_maps_compose_at_any_size():
     machine = token_counts.Transducer(token_counts.load_pieces(PIECES))
-    texts = ["".join(rng.choice("ab  \n\t▁éÉ日本語の\U0001f642x01<>/sñó\x00") for _ in range(rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(120)] + [" " * 900, "a" * 900, "日本" * 400, "\n" * 300]
+    texts = ["".join(rng.choice("ab  \n\t▁éÉ日本語の\U0001f642x01<>/sñó\x00") for _ in range(rng.choice([0, 1, 2, 3, 50, 400]))) for _ in range(120)] + [" " * 900, "a" * 9000, "日本" * 400, "\n" * 300, "=" * 5000, "".join(rng.choice("abcdefghij") for _ in range(20_000))]
     expected = brute.pieces(texts)
-    for chunk in (1, 3, 64, 10_000):
+    for chunk in (64, 256, 10_000):
         assert machine.count(texts, chunk=chunk).tolist() == expected
+    short = [t[:100] for t in texts]
+    for chunk in (1, 3):
+        assert machine.count(short, chunk=chunk).tolist() == brute.pieces(short)
 
 
 def test_byte_bpe(docs, none):
@@ -80,7 +83,9 @@ def test_byte_bpe(docs, none):
 
 def test_byte_bpe_of_long_words():
     library, encoder = brute.byte_encoding(), byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
-    texts = ["a" * 2000, "=" * 999, "ab" * 300, "日本語" * 90, "".join(rng.choice("abcdé") for _ in range(500))]
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(of) for _ in range(n))
+    texts = ["a" * 2000, "=" * 999, "ab" * 30_000, "日本語" * 90, letters(500, "abcdé"), letters(65), letters(300_000), "the" * 900 + letters(700) + "x" * 3000, letters(5000, "的一是不了人我在有他这"), " " * 5000]
+    texts += [letters(rng.randrange(60, 400), ["a", "th", "ing", "é", "日", "aaaa", "tion"]) for _ in range(80)]
     _, ids, _ = encoder.encode(texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [library.encode_ordinary(t) for t in texts]
 
@@ -132,7 +137,7 @@ def test_signatures_estimate_weighted_jaccard():
 
 
 def test_a_chain_of_near_copies_stays_one_group(spark):
-    """Neighbours are near, ends are not; over a block's size, so blocks are compared with each other."""
+    """Neighbours are near, ends are not."""
     words = [f"w{i}" for i in range(300)]
     rows = []
     for i in range(60):
@@ -142,6 +147,28 @@ def test_a_chain_of_near_copies_stays_one_group(spark):
     assert {r.doc_id: r.component_id for r in found} == brute.near_groups(rows) and {r.component_id for r in found} == {0}
 
 
+def test_large_buckets_are_compared_in_blocks(spark):
+    """Two families of 700 texts that share buckets, near within and not across, and strays between: more members in a
+    bucket than any block holds, and links that only the comparison of blocks finds."""
+    own = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    other = [*base[:150], *(f"v{i}" for i in range(50))]
+    rows = []
+    for i in range(1400):
+        words = list(base if i % 2 else other)
+        words[own.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i % 2 for i, _ in rows}  # within a family 0.9 and more, across 0.6
+
+
+def test_suspects_of_a_bucket_need_only_its_minority(spark):
+    rows = [(0, i, 0, 50, np.zeros(minhash_dedup.PLACES, "<u2").tobytes()) for i in range(1000)] + [(0, 5000, 1, 50, np.zeros(minhash_dedup.PLACES, "<u2").tobytes())]
+    members = spark.createDataFrame(rows, "key long, rep long, comp long, n_shingles long, signature binary")
+    found = minhash_dedup._suspects(members, 0.62, 100).collect()
+    assert len(found) == 1000 + 11 and {r.x for r in found} == {0} and {r.rep for r in found if r.minor} == {5000}
+
+
 ITEMS = [(1, PASSAGE), (2, "one TWO"), (3, None), (4, "--"), (5, prose(11)), (None, " ".join(PASSAGE.split(" ")[:12])), (6, "theta")]
 
 
@@ -164,14 +191,16 @@ SECRETS = ["password = 'abcdefgh1'", "PASSWD:short", "token=secret=abcdefgh", "t
 def test_secret_scan(spark):
     rows = [(i, t, "k") for i, t in enumerate([*SECRETS, SECRETS[0], "pad " * 5000 + SECRETS[0]])] + [(None, SECRETS[0], "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, secrets string")
-    found = secret_scan.find_secrets(docs.drop("secrets")).collect()
+    found = secret_scan.find_secrets(docs).collect()
     assert len(found) == len(rows)
     for r in found:
         assert [(s.start, s.ord, s.kind, s.stop) for s in r.secrets if s.kind in secret_scan.BASE] == brute.base_secrets(r.text)
     assert {s.kind for r in found for s in r.secrets} >= {"private_key", "github"}
-    masked = {r.doc_id: r.text for r in secret_scan.redact(secret_scan.find_secrets(docs.drop("secrets"))).collect()}
+    redacted = secret_scan.redact(docs)
+    assert redacted.columns == docs.columns and redacted.where("secrets = 'k'").count() == len(rows)
+    masked = {r.doc_id: r.text for r in redacted.collect()}
     assert masked[5] == "é🙂 [SECRET] [SECRET]" + '"' and masked[6] == "[SECRET]" and masked[9] is None and masked[11] == "nothing"
-    assert secret_scan.find_secrets(docs.drop("secrets").limit(0)).count() == 0
+    assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
 def test_trigram_queries_are_necessary():
@@ -200,22 +229,45 @@ def vector(*at: float) -> list[float]:
     return [*at, *[0.0] * (8 - len(at))]
 
 
+def checked_links(found, rows):
+    expected = brute.cosine_links(rows)
+    groups = brute.joined([i for i, _ in rows if i is not None], expected)
+    degree = {i: sum(i in p for p in expected) for i in groups}
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (degree[i], groups[i], groups[i] == i) for i in groups}
+
+
 def test_embedding_dedup(spark):
     made = np.random.default_rng(3)
     rows = [(i, made.normal(size=8).round(3).tolist()) for i in range(60)]
     rows += [(100 + i, (np.array(rows[i % 5][1]) * 2 + made.normal(size=8) * 0.1).tolist()) for i in range(40)] + [(200 + i, rows[0][1]) for i in range(5)]
     rows += [(300, None), (301, vector()), (302, vector(float("nan"))), (303, vector(float("inf"))), (304, [1.0]), (305, [None, *vector(1.0)[1:]]), (306, []), (None, rows[1][1])]
+    rows += [(310, [1.0, 2.0]), (311, [2.0, 4.0]), (312, [1e200, 0.0, 0.0]), (313, [2e200, 0.0, 0.0]), (314, [1e-300, 1e-310, 0.0]), (315, [-3.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
-    expected = brute.cosine_links(rows)
-    groups = brute.joined([i for i, _ in rows if i is not None], expected)
-    degree = {i: sum(i in p for p in expected) for i in groups}
     for block in (2048, 16):  # 16: lists are cut into blocks
-        found = [r for r in embedding_dedup.near_duplicates(df.where("vec_id IS NOT NULL"), min_shared=1, block=block).collect()]
-        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (degree[i], groups[i], groups[i] == i) for i in groups}
+        checked_links(embedding_dedup.near_duplicates(df.where("vec_id IS NOT NULL"), block=block).collect(), [r for r in rows if r[0] is not None])
     assert embedding_dedup.near_duplicates(df).where("vec_id IS NULL AND n_links IS NULL").count() == 1
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_the_registered_parameters(spark):
+    """Pairs at a cosine just above the threshold, with pivots instead of one list."""
+    made = np.random.default_rng(5)
+    x = made.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = made.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.905 * x + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    assert embedding_dedup.pivot_plan(len(rows), 64)[0] > 1
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links for r in found) >= 0.98 * 2 * len(x)
+
+
+def test_pivots_and_depth_grow_with_the_vectors():
+    plans = [embedding_dedup.pivot_plan(10**k, 64) for k in range(2, 11)]
+    assert plans[0] == (1, 1) and all(a <= b for a, b in zip(plans, plans[1:])) and plans[-1][0] * 64 * 8 <= embedding_dedup.PIVOT_BYTES
+
+
 @pytest.mark.parametrize("model", [quality, toxicity])
 def test_classifiers_survive_odd_tables(spark, docs, none, model):
     odd = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (99, 0, 1)], "doc_id long, quality int, toxic int")
@@ -245,3 +297,28 @@ def test_classifiers_on_the_hold_out(spark):
         held = scored.join(labels, "doc_id").where("held_out").collect()
         assert np.mean([r.predicted == r[label] for r in held]) > 0.9, label
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) for r in scored.collect())
+
+
+def test_quality_scores_are_those_of_the_compressors(spark):
+    """Every score from a compression of its own, and the dictionaries from the sampled rows alone."""
+    import zstandard
+
+    docs, labels = labelled(spark)
+    model = quality.fit(docs, labels)
+    pair = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in quality.score(docs, model).collect():
+        data = (r.text or "").encode()
+        good, bad = (len(c.compress(data)) for c in pair)
+        difference, share = (bad - good) / (bad + good + 1), good / (len(data) + 1)
+        at = float(np.dot(model.weights, [difference, share, share**2, np.log1p(len(data)), difference * share, 1]))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(at, -30, 30)))) < 1e-9
+    few = quality.fit(docs, labels, per_class=5, pieces=1)
+    assert few is not None and few.good != model.good
+
+
+def test_a_logistic_fit_ends_on_separable_and_skewed_rows():
+    own = np.random.default_rng(2)
+    x = np.column_stack([own.normal(size=300) * 1e-3, own.normal(size=300) * 1e4, np.ones(300)])
+    y = (x[:, 0] > 0).astype(float)
+    at = x @ quality.logistic(x, y)
+    assert np.isfinite(at).all() and ((at > 0) == (y == 1)).mean() > 0.99

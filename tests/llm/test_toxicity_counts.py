@@ -22,9 +22,27 @@ def grams(word: str, k: int) -> list[str]:
     return [full[i - k : i + 1] for i in range(toxicity.ORDER - 1, len(full))]
 
 
-def plain_evidence(counts: dict[int, dict[str, tuple]]):
-    """The evidence of a word, as a function."""
-    d, follow = toxicity.DISCOUNT, Counter(g[1:] for g in counts[2])
+def discount(counts) -> float:
+    once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+    return min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
+
+
+def plain_model(rows: list[tuple]):
+    """The evidence of a word as a function, from (word, ordinary, toxic) rows: Kneser-Ney by the book."""
+    top = toxicity.ORDER - 1
+    counts: dict[int, dict[str, list]] = {top: defaultdict(lambda: [0.0, 0.0])}
+    for w, *n in rows:
+        for g in grams(w, top):
+            for y in (0, 1):
+                counts[top][g][y] += n[y]
+    for k in range(top - 1, toxicity.SHARED - 1, -1):
+        counts[k] = defaultdict(lambda: [0.0, 0.0])
+        for g, n in counts[k + 1].items():
+            for y in (0, 1):
+                counts[k][g[1:]][y] += n[y] if g[1] == "\x02" else n[y] > 0
+    follow = Counter(g[1:] for g in counts[toxicity.SHARED])
+    low = discount(follow.values())
+    by_order = {k: [discount([n[y] for n in table.values()]) for y in (0, 1)] for k, table in counts.items()}
     total, kinds = Counter(), Counter()
     for g, n in follow.items():
         total[g[0]] += n
@@ -39,10 +57,11 @@ def plain_evidence(counts: dict[int, dict[str, tuple]]):
     def evidence(word: str) -> float:
         out = 0.0
         for two, *longer in zip(*(grams(word, k) for k in range(1, toxicity.ORDER)), strict=True):
-            p = [(max(follow[two] - d, 0) + d * max(kinds[two[0]], 1) / len(follow)) / max(total[two[0]], 1)] * 2
+            p = [(max(follow[two] - low, 0) + low * max(kinds[two[0]], 1) / len(follow)) / max(total[two[0]], 1)] * 2
             for k, g in enumerate(longer, 2):
-                n, s, m = counts[k].get(g, (0, 0)), sums[g[:-1]], many[g[:-1]]
-                p = [(max(n[y] - d, 0) + d * m[y] * p[y]) / s[y] if s[y] else p[y] for y in (0, 1)]
+                n, s, m, d = counts[k].get(g, (0, 0)), sums[g[:-1]], many[g[:-1]], by_order[k]
+                p = [(max(n[y] - d[y], 0) + d[y] * m[y] * p[y]) / s[y] if s[y] else p[y] for y in (0, 1)]
+            assert all(0 < x <= 1 + 1e-9 for x in p)
             out += log(p[1]) - log(p[0])
         return out
 
@@ -58,32 +77,27 @@ def crowded(spark, n: int = 20_000):
     return rows, spark.createDataFrame(rows, "word string, ordinary double, toxic double")
 
 
-def collected(table) -> dict[int, dict[str, tuple]]:
-    out = {k: {} for k in range(toxicity.SHARED, toxicity.ORDER)}
-    for r in table.collect():
-        out[r.k][spelt(r.k, r.hi, r.lo)] = (r.ordinary, r.toxic)
-    return out
-
-
 def test_grams_that_would_share_a_bucket_keep_counts_of_their_own(spark):
     rows, words = crowded(spark)
     expected = defaultdict(lambda: [0.0, 0.0])
     for w, *n in rows:
         for g in grams(w, toxicity.ORDER - 1):
             expected[g] = [a + b for a, b in zip(expected[g], n, strict=True)]
-    found = collected(toxicity._grams(words))[toxicity.ORDER - 1]
+    found = {spelt(toxicity.ORDER - 1, r.hi, r.lo): (r.ordinary, r.toxic) for r in toxicity._longest(words).collect()}
     assert len(found) > 90_000 and found == {g: tuple(n) for g, n in expected.items()}
 
 
-def test_evidence_is_that_of_the_exact_counts(spark):
+def test_evidence_is_that_of_the_exact_counts(spark, monkeypatch):
     rows, words = crowded(spark, 3000)
-    model = toxicity.Model(toxicity.written(toxicity._grams(words), "grams"))
-    evidence = plain_evidence(collected(model.grams))
+    table = toxicity._grams(words)
+    evidence = plain_model(rows)
     rng = random.Random(5)
     texts = [" ".join(rng.choice(rows)[0] + rng.choice(["", "", "xq", "é🙂"]) for _ in range(rng.randrange(1, 30))) for _ in range(40)] + ["", " \n", "日本語", "a"]
     texts += texts[:3]
     docs = spark.createDataFrame([(t,) for t in texts], "_text string")
-    for blocks in (1, 7):
+    for blocks, lists, asked in ((1, 1021, 2_000_000), (7, 13, 1)):  # 1: a list's questions stream past its counts one by one
+        monkeypatch.setattr(toxicity, "ASKED_AT_ONCE", asked)
+        model = toxicity.Model(table, toxicity.discounts(table), lists)
         found = {bytes(r._content): (r.evidence, r.length) for r in toxicity.features(docs.repartition(blocks).select(toxicity._content("_text").alias("_content"), "_text"), model).collect()}
         named = {r._text: bytes(r._content) for r in docs.select("_text", toxicity._content("_text").alias("_content")).collect()}
         assert set(found) == set(named.values())
