@@ -124,7 +124,7 @@ def risk_counts(spark, sf_dir):
     return reports.status_counts(table(spark, sf_dir, "orders"), "o_orderstatus").withColumnRenamed("o_orderstatus", "status")
 
 
-@book.query("SELECT user_id, sum(event_id) AS total_tokens, count(*) AS n_calls FROM events GROUP BY user_id")
+@book.query("SELECT user_id, sum(event_id)::BIGINT AS total_tokens, count(*) AS n_calls FROM events GROUP BY user_id")
 def token_usage(spark, sf_dir):
     return logs.usage(table(spark, sf_dir, "events").withColumn("total_tokens", F.col("event_id")), "user_id")
 
