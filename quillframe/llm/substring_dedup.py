@@ -11,7 +11,9 @@ grow with it and no bound of their size holds.
 
 An anchor of more than ``largest_shard`` places (a passage that a large part of the corpus has) would put its shard
 into one long task. Its windows are instead dealt by their own hash of 128 bits, and the least document id of each
-window is taken by a partially aggregated minimum, which marks the same words. Words are compared by a 64-bit hash.
+window is taken by a partially aggregated minimum, which marks the same words. (Through one automaton, a passage of ten
+thousand copies is one task of half a minute that no machine shortens; README gives the figures.) Words are compared by
+a 64-bit hash.
 
 Null and empty texts have no words. Rows without an id are kept whole. Rows of equal id do not affect each other;
 repeated rows get the same result each. Other columns pass through whatever their names (``n_words``, ``n_removed`` and
@@ -221,7 +223,7 @@ def _match_shards(passages: DataFrame, window: int) -> DataFrame:
     return passages.repartition("key").sortWithinPartitions("key", "_id", "_txt", "start").mapInArrow(run, schema)
 
 
-def repeated_ranges(docs: DataFrame, *, window: int = 50, largest_shard: int = 128, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, window: int = 50, largest_shard: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, xxhash64 of the text, ranges of words that repeat an earlier document)."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_txt"), F.col(text).alias("_text"))
     anchors = written(_anchors(texts, window), "anchors")
@@ -248,7 +250,7 @@ def _drop_ranges(text: bytes, ranges: list[dict]) -> tuple[int, int, bytes]:
     return len(found), int(len(found) - keep.sum()), b" ".join(w for w, k in zip(found, keep.tolist(), strict=True) if k)
 
 
-def remove_repeats(docs: DataFrame, *, window: int = 50, largest_shard: int = 128, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = 50, largest_shard: int = 1024, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
     ranges = repeated_ranges(docs, window=window, largest_shard=largest_shard, id_col=id_col, text=text)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
