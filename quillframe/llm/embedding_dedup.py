@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillframe.llm.components import components
-from quillframe.llm.storage import dealt_anew, written
+from quillframe.llm.storage import dealt_anew, lookup, written
 
 LEAST_PIVOTS, PROPORTIONAL, PIVOT_BYTES = 256, 4096, 256_000_000
 LIST_LENGTH, ONE_LIST = 1500, 1024
@@ -188,7 +188,8 @@ def near_duplicates(vectors: DataFrame, *, similarity: float = 0.9, min_shared:
         pivots[length] = choose_pivots(np.array(sample, np.float64).reshape(len(sample), length), wanted)
     listed = written(_described(classes, pivots, depths), "described").withColumn("pivot", F.explode("pivots"))
     lengths = listed.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("pivot", "_pivot")
-    placed = listed.join(dealt_anew(lengths, "_pivot"), F.col("pivot") == F.col("_pivot")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    lengths = lookup(written(lengths, "lengths"))  # a row for each list: as many as pivots and lengths, counted before it is broadcast
+    placed = listed.join(lengths, F.col("pivot") == F.col("_pivot")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("pivot", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "copies", "vector", "pivots")
     found = written(_links(cells, similarity, min_shared), "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links")).select(F.col("rep").alias("_rep"), "links")

@@ -42,7 +42,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def lookup(df: DataFrame) -> DataFrame:
-    """df (a written table of labelled ids) as the small side of a join: broadcast if its counted rows are few, else left
+    """df (a written table of labelled ids or of lists of an index) as the small side of a join: broadcast if its counted rows are few, else left
     to a shuffle join."""
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
