@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def docx_text(content: bytes) -> str:
@@ -24,17 +25,26 @@ def docx_text(content: bytes) -> str:
     return "\n".join(filter(None, lines))
 
 
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Name and part of each sheet, by the workbook's relationships; by position where it has none."""
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")
+    found = [(s.get("name"), targets.get(s.get(f"{R}id"), f"worksheets/sheet{i}.xml")) for i, s in enumerate(sheets, 1)]
+    return [(name, part.lstrip("/") if part.startswith("/") else f"xl/{part}") for name, part in found]
+
+
 def xlsx_text(content: bytes) -> str:
     """Each sheet's name, then its rows, cells joined by a spaced pipe; blanks left out."""
     z = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-    names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet")]
     lines = []
-    for i, name in enumerate(names, 1):
+    for name, part in _sheets(z):
         lines.append(f"## {name}")
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iter(f"{S}row"):
+        for row in ElementTree.fromstring(z.read(part)).iter(f"{S}row"):
             cells = []
             for c in row.iter(f"{S}c"):
                 value = c.findtext(f"{S}v") or "".join(t.text or "" for t in c.iter(f"{S}t"))

@@ -69,6 +69,17 @@ def test_office_files(spark):
     assert found["c"].text == "é | b\n1 | 2" and found["e"].text is None and found["e"].error
 
 
+def test_sheets_are_found_by_their_relationship():
+    sheet, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    page = lambda v: f'<worksheet xmlns="{sheet}"><sheetData><row><c t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>'.encode()
+    book = zipped({
+        "xl/workbook.xml": f'<workbook xmlns="{sheet}" xmlns:r="{rel}"><sheets><sheet name="first" r:id="r2"/><sheet name="second" r:id="r1"/></sheets></workbook>'.encode(),
+        "xl/_rels/workbook.xml.rels": b'<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet9.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": page("b"), "xl/worksheets/sheet9.xml": page("a"),
+    })
+    assert office.xlsx_text(book) == "## first\na\n## second\nb"
+
+
 def test_page_routing(spark):
     pages = spark.createDataFrame([("a", 1, "x" * 300), ("a", 2, "y"), ("b", 1, "z"), ("b", 2, None), ("c", 1, "w" * 400)], "doc string, page int, native_text string")
     routes = {(r.doc, r.page): r.route for r in office.page_routes(pages, "doc").collect()}
