@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,43 +11,62 @@ from quillframe.functions.text import fold_accents
 from quillframe.sources.shared import new_folder
 
 
-#: Ranges that a large group is cut into.
-RANGES = 64
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``_range``, the number of their range in the order (nulls first), and ``_tie``, a number of its own for
+    each row, so that equal rows, however many, are dealt to several ranges as well.
+
+    The ranges are Spark's own, from a sample of the order, so columns of any orderable type serve. They are fixed by
+    writing the dealt rows: what is counted by range and what is read again agree even when executors are lost.
+    """
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "ranges")
+    tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(*(F.col(f"`{c}`").asc_nulls_first() for c in order), F.col("_tie"))
+    placed = dealt.withColumn("_range", F.spark_partition_id())
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
 
 
-def _in_ranges(rows: DataFrame, order: str) -> DataFrame:
-    """rows with ``_range``: ranges of the numeric column ``order`` that hold about equally many rows of the table."""
-    bounds = rows.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)
-    return rows.withColumn("_range", sum(((F.col(order) > b).cast("int") for b in sorted(set(bounds))), F.lit(0)))
+def _same(pairs) -> Column:
+    """All pairs of columns are equal, nulls included."""
+    return functools.reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in pairs))
 
 
-def sums_before(rows: DataFrame, group: list[str], order: str, **values: Column) -> DataFrame:
-    """rows with, for each named value, its sum over the group's rows before (0 for the first).
+def _ordered(order: list[str]) -> list[Column]:
+    return [*(F.col(f"`{c}`").asc_nulls_first() for c in order), F.col("_tie").asc()]
 
-    The sums run in two levels, so a group of a third of all rows is spread over many tasks: within ranges of ``order``,
-    and over the ranges' totals, of which a group has at most ``RANGES``.
+
+def sums_before(rows: DataFrame, group: list[str], order: str | list[str], **values: Column) -> DataFrame:
+    """rows with, for each named value, its sum over the group's rows before (0 for the first), nulls of ``order`` first.
+
+    The sums run in two levels, so a group of a third of all rows is spread over many tasks: within the ranges of (group,
+    order), and over a group's ranges. Only a group that goes on from the range before has an offset there, so the
+    offsets that are broadcast are no more than the ranges.
     """
-    ranged = _in_ranges(rows, order).withColumns({f"_v_{n}": v for n, v in values.items()})
+    order = [order] if isinstance(order, str) else order
+    ranged = in_ranges(rows.withColumns({f"_v_{n}": v for n, v in values.items()}), *group, *order)
     totals = ranged.groupBy(*group, "_range").agg(*(F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_of"), *(F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values))
-    inner = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)),
+        F.col("_range").alias("_of"),
+        F.count("*").over(earlier).alias("_ahead"),
+        *(F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in values),
+    ).where("_ahead > 0")
+    inner = Window.partitionBy(*group, "_range").orderBy(*_ordered(order)).rowsBetween(Window.unboundedPreceding, -1)
     own = ranged.withColumns({f"_b_{n}": F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)) for n in values})
-    same = F.col("_range") == F.col("_of")
-    for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return own.join(offsets, same).select(*rows.columns, *((F.col(f"_b_{n}") + F.col(f"_o_{n}")).alias(n) for n in values))
+    same = _same([("_range", "_of"), *((g, f"_g{i}") for i, g in enumerate(group))])
+    sums = ((F.col(f"_b_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in values)
+    return own.join(F.broadcast(offsets), same, "left").select(*(F.col(f"`{c}`") for c in rows.columns), *sums)
 
 
 def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
-    """rows with their place from 1 in the order of the whole table, without a task that sees all of them: the rows are
-    dealt by ranges of the order into a written table, and each range starts after the rows of those before it."""
-    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "ranges")
-    rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    ranged = spark.read.parquet(path)
+    """rows with their place from 1 in the order of the whole table, without a task that sees all of them: each range of
+    the order starts after the rows of those before it."""
+    ranged = in_ranges(rows, *order)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))  # one row a range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*_ordered(list(order)))) + F.col("_before")
     return ranged.join(F.broadcast(offsets), F.col("_range") == F.col("_of")).withColumn(name, place).select(*rows.columns, name)
 
 
@@ -103,19 +124,23 @@ def leaders(rows: DataFrame, digest: str, order: str) -> DataFrame:
     return rows.join(first, digest)
 
 
-def latest_before(rows: DataFrame, digest: str, order: str, name: str) -> DataFrame:
-    """Each row with the latest earlier row of the same digest in column ``name``.
+def latest_before(rows: DataFrame, digest: str, order: str, name: str, *, value: str | None = None) -> DataFrame:
+    """Each row with the latest earlier row of the same digest in column ``name``: its ``value``, or its place in the
+    order where none is named. Any orderable column serves, a creation time or a path too; nulls come first, and of rows
+    at one place the later ones see the earlier.
 
-    A digest's rows are cut into ranges of ``order``, so a digest of a third of all rows is spread over many tasks: within a
-    range the row before is found by a window, and the first row of a range takes the greatest of the digest's ranges
-    before it, of which there are few.
+    A digest's rows are cut into ranges of the order, so a digest of a third of all rows is spread over many tasks: within
+    a range the row before is found by a window, and the first row of a range takes the last row of the digest's range
+    before. Only digests that go on from the range before have one, no more than the ranges.
     """
-    ranged = _in_ranges(rows, order)
-    last = ranged.groupBy(digest, "_range").agg(F.max(order).alias("_last"))
-    before = last.withColumn("_before", F.max("_last").over(Window.partitionBy(digest).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(digest).alias("_digest"), F.col("_range").alias("_in"), "_before")
-    own = ranged.withColumn("_own", F.lag(order).over(Window.partitionBy(digest, "_range").orderBy(order)))
-    joined = own.join(before.where("_before IS NOT NULL"), F.col(digest).eqNullSafe(F.col("_digest")) & (F.col("_range") == F.col("_in")), "left")
-    return joined.select(*rows.columns, F.coalesce("_own", "_before").alias(name))
+    seen = F.struct(F.col(value or order).alias("v"))
+    ranged = in_ranges(rows, digest, order).withColumn("_seen", seen)
+    last = ranged.groupBy(digest, "_range").agg(F.max_by("_seen", F.struct(F.col(order), F.col("_tie"))).alias("_last"))
+    earlier = Window.partitionBy(digest).orderBy("_range").rowsBetween(-1, -1)
+    carried = last.select(F.col(digest).alias("_g0"), F.col("_range").alias("_of"), F.max("_last").over(earlier).alias("_carried"))
+    own = ranged.withColumn("_own", F.lag("_seen").over(Window.partitionBy(digest, "_range").orderBy(*_ordered([order]))))
+    joined = own.join(F.broadcast(carried.where("_carried IS NOT NULL")), _same([(digest, "_g0"), ("_range", "_of")]), "left")
+    return joined.select(*rows.columns, F.coalesce("_own", "_carried")["v"].alias(name))
 
 
 def packed_excerpt(parts: Column, budget: int) -> Column:
