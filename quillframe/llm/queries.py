@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import byte_bpe, decontaminate, embedding_dedup, minhash_dedup, preference_format, quality, secret_scan, substring_dedup, token_counts, toxicity
+from quillframe.llm import (
+    byte_bpe,
+    decontaminate,
+    embedding_dedup,
+    merkle_manifest,
+    minhash_dedup,
+    preference_format,
+    prefix_trie,
+    quality,
+    secret_scan,
+    source_mix,
+    structure_sql,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from quillframe.sources.tables import table
 
 
@@ -66,8 +83,38 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {q.__name__: q for q in (op1_minhash_dedup, op2_decontaminate, op3_substring_dedup, op4_token_counts, op5_byte_bpe, op6_toxicity, op7_preference_format, op8_secret_scan, op9_quality, op10_embedding_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document or so is tampered with: its text's ASCII letters become small."""
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = merkle_manifest.manifest(table(spark, sf_dir, "documents"), changed={"text": lower}, where=tampered)
+    return made.withColumnRenamed("id", "doc_id")
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
 
+_ALL = (
+    op1_minhash_dedup,
+    op2_decontaminate,
+    op3_substring_dedup,
+    op4_token_counts,
+    op5_byte_bpe,
+    op6_toxicity,
+    op7_preference_format,
+    op8_secret_scan,
+    op9_quality,
+    op10_embedding_dedup,
+    op11_prefix_trie,
+    op12_merkle_manifest,
+    op13_source_mix,
+)
+QUERIES = {q.__name__: q for q in _ALL}
 
 
 def _spans_sql(place: int, rule: secret_scan.Rule) -> str:
@@ -81,7 +128,7 @@ FROM (SELECT r, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '
 
 _KINDS = ", ".join(f"'{k}'" for k in secret_scan.BASE)
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = structure_sql.ORACLES | {
     "op1_minhash_dedup": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 runs AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i : i + 4], ' '))) END) AS g FROM d),
