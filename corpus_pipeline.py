@@ -37,7 +37,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """The document of least id of each group of near-duplicates.
 
     Rows are judged by their own text: of an id with several texts only those go that repeat a smaller id. A repeated
-    row (same id and text) stays once, the one of least other columns. Rows without an id or without words are nobody's
+    row (same id and text) stays once, the one whose other columns have the least hash. Rows without an id or without words are nobody's
     duplicate and all stay.
     """
     found = minhash_dedup.near_duplicates(docs).where("kept AND n_shingles > 0").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
@@ -45,7 +45,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.where(worded).select(F.col("doc_id").alias("_own"), F.xxhash64("text").alias("_hash"), row)
     kept = keyed.join(found, (F.col("_own") == F.col("_id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
-    once = kept.groupBy("_own", "_hash").agg(F.min("row").alias("row"))
+    others = F.to_json(F.struct(*(F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text")))
+    once = kept.groupBy("_own", "_hash").agg(F.min_by("row", F.xxhash64(others)).alias("row"))
     return once.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).unionByName(docs.where(~worded))
 
 
