@@ -126,6 +126,14 @@ def test_without_labels_the_quality_stage_keeps_all(spark, docs, labels, tmp_pat
         assert corpus_pipeline.keep_good(spark, docs, f"{tmp_path}/{i}").count() == len(TEXTS)
 
 
+def test_stages_pass_columns_without_an_order(spark, docs, folder):
+    """A map, which has no order, beside the columns of documents."""
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars", F.create_map(F.lit("k"), "lang").alias("m"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, rows, folder)
+        assert found.count() > 0 and (name == "tokens" or all(r.m == {"k": "en"} for r in found.collect())), name
+
+
 def test_rows_of_one_id_are_judged_by_their_text(spark, folder):
     a, b = PASSAGE, " ".join(f"b{i}" for i in range(60))
     rows = spark.createDataFrame([(1, a, "en"), (1, a, "en"), (4, a, "en"), (4, b, "en")], "doc_id long, text string, lang string")
