@@ -7,9 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed letter tables: accented letter -> plain letter; typographic mark -> plain mark; marks that disappear.
-ACCENTED = "àâäáãéèêëïîíìôöóòõùûüúçñÀÂÄÁÉÈÊËÏÎÍÔÖÓÙÛÜÚÇÑ"
-PLAIN = "aaaaaeeeeiiiiooooouuuucnAAAAEEEEIIIOOOUUUUCN"
+#: Fixed: typographic mark -> plain mark; marks that disappear.
 TYPOGRAPHIC, SIMPLE, DROPPED = "’‘‚‹›–—‑−   ﻿", "'''''----    ", "“”„«»\""
 
 
@@ -20,18 +18,25 @@ def _bare(c: str) -> str:
 
 #: By rule from the Unicode tables: characters up to U+214F that lose their marks, combining marks, and Latin ligatures,
 #: fractions and dots that are spelt out.
-_SINGLE = {chr(c): _bare(chr(c)) for c in range(0x80, 0x2150) if len(_bare(chr(c))) == 1 and _bare(chr(c)) != chr(c) and chr(c) not in ACCENTED}
+_SINGLE = {chr(c): _bare(chr(c)) for c in range(0x80, 0x2150) if len(_bare(chr(c))) == 1 and _bare(chr(c)) != chr(c)}
 _MARKS = "".join(chr(c) for c in range(0x300, 0x370) if unicodedata.combining(chr(c)))
 _SEVERAL = {chr(c): _bare(chr(c)) for c in [*range(0xBC, 0xBF), *range(0x132, 0x250), 0x2026, *range(0xFB00, 0xFB07)] if len(_bare(chr(c))) > 1}
 
 
 def fold_accents(text: Column) -> Column:
-    """text without accents: letters with marks become plain letters, combining marks vanish, ligatures are spelt out."""
-    spelt = text
-    for c, several in _SEVERAL.items():
-        spelt = F.replace(spelt, F.lit(c), F.lit(several))
-    whole = F.when(F.regexp_like(text, F.lit("[" + "".join(_SEVERAL) + "]")), spelt).otherwise(text)
-    return F.translate(whole, ACCENTED + "".join(_SINGLE) + _MARKS, PLAIN + "".join(_SINGLE.values()))
+    """text without accents: letters with marks become plain letters, combining marks vanish, ligatures are spelt out.
+
+    One pass takes the single letters. What is ASCII then has no ligature; the text is computed once for both questions.
+    """
+
+    def spelt(plain: Column) -> Column:
+        out = plain
+        for c, several in _SEVERAL.items():
+            out = F.replace(out, F.lit(c), F.lit(several))
+        return F.when(F.octet_length(plain) == F.length(plain), plain).otherwise(out)
+
+    plain = F.translate(text, "".join(_SINGLE) + _MARKS, "".join(_SINGLE.values()))
+    return F.get(F.transform(F.array(plain), spelt), F.lit(0))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import fold_terms, holds_term
@@ -26,12 +26,28 @@ def merge(notices: DataFrame, *, preferred: str, order: str = "source_id") -> Da
 
     notices: source, source_id, fingerprint, dce_url, automatable.
     """
-    rank = F.struct((F.col("source") != preferred).cast("int").alias("r"), F.col(order).alias("o"), "source", "source_id", "dce_url", "automatable")
+    rank = F.struct((F.col("source") != preferred).cast("int").alias("r"), F.col(order).alias("o"), "source", "source_id", "dce_url")
     key = F.coalesce(F.col("fingerprint"), F.concat_ws("#", F.lit("own"), "source", F.col("source_id").cast("string")))
-    grouped = notices.groupBy(key.alias("merge_key")).agg(F.array_sort(F.collect_list(rank)).alias("all"))
-    links = F.filter("all", lambda n: F.coalesce(n["dce_url"], F.lit("")) != "")
-    best = F.coalesce(F.get(F.filter(links, lambda n: n["automatable"]), F.lit(0))["dce_url"], F.get(links, F.lit(0))["dce_url"])
-    return grouped.select("merge_key", F.col("all")[0]["source"].alias("source"), F.col("all")[0]["source_id"].alias("source_id"), (F.size("all") - 1).alias("n_duplicates"), best.alias("best_url"))
+    linked = F.coalesce(F.col("dce_url"), F.lit("")) != ""
+    grouped = notices.groupBy(key.alias("merge_key")).agg(
+        F.min(rank).alias("first"),
+        F.min(F.when(linked & F.col("automatable"), rank)).alias("automatic"),
+        F.min(F.when(linked, rank)).alias("link"),
+        (F.count("*") - 1).cast("int").alias("n_duplicates"),
+    )
+    best = F.coalesce(F.col("automatic.dce_url"), F.col("link.dce_url"))
+    return grouped.select("merge_key", "first.source", "first.source_id", "n_duplicates", best.alias("best_url"))
+
+
+def scan_report(matched: DataFrame, *, preferred: str, seen: dict[str, Column]) -> DataFrame:
+    """One row: the counts ``seen`` over the matched notices, and merged tenders and their duplicates. The counts are
+    observed in passing while the tenders are merged, so the notices are read once."""
+    watch = Observation()
+    merged = merge(matched.observe(watch, *(c.alias(n) for n, c in seen.items())), preferred=preferred)
+    totals = merged.agg(F.count("*").alias("n_merged"), F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("n_duplicates")).first()
+    found = watch.get | totals.asDict()
+    names = [*seen, "n_merged", "n_duplicates"]
+    return matched.sparkSession.createDataFrame([tuple(int(found[n]) for n in names)], ", ".join(f"{n} long" for n in names))
 
 
 def retrieval_plan(url: Column, manual_hosts: list[str], platform_hosts: list[str]) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import fold_accents, strip_space, table_cell
+from quillframe.operators.planning import sums_before
 
 
 def cartography(docs: DataFrame, category: str, pivots: list[str]) -> DataFrame:
@@ -39,15 +40,41 @@ def frozen_json(rows: DataFrame, group: str, order: list[str], *columns: str) ->
 
 
 def distinct_targets(plan: DataFrame, folder: str, name: str, order: str) -> DataFrame:
-    """Target names made distinct within their folder: the first keeps its name, others get -2, -3, ...; a suffix that
-    would hit a name of its own is skipped over by giving numbers beyond all names of that form in the folder."""
+    """Target names made distinct within their folder: the first keeps its name, others get the next of -2, -3, ... that
+    no name of the folder has already. Equal names, however many, are counted in ranges of their order."""
     stem, ext = F.regexp_replace(name, r"(?<=.)\.[^./]+$", ""), F.regexp_extract(name, r"(?<=.)(\.[^./]+)$", 1)
-    nth = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
-    numbered = plan.withColumn("_nth", nth).withColumn("_stem", stem).withColumn("_ext", ext)
-    base = numbered.select(folder, F.regexp_extract("_stem", r"^(.*)-(\d+)$", 1).alias("_stem"), "_ext", F.expr("try_cast(regexp_extract(_stem, '^(.*)-([0-9]+)$', 2) AS int)").alias("_taken")).where("_taken >= 2").groupBy(folder, "_stem", "_ext").agg(F.array_sort(F.collect_set("_taken")).alias("_used"))
-    joined = numbered.join(base, [folder, "_stem", "_ext"], "left")
-    free = F.filter(F.sequence(F.lit(2), F.col("_nth") + F.coalesce(F.size("_used"), F.lit(0)) + 1), lambda i: ~F.coalesce(F.array_contains("_used", i), F.lit(False)))
-    return joined.withColumn("target", F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat("_stem", F.lit("-"), F.get(free, F.col("_nth") - 2).cast("string"), "_ext"))).drop("_nth", "_stem", "_ext", "_used")
+    numbered = sums_before(plan, [folder, name], order, _nth=F.lit(1)).withColumns({"_stem": stem, "_ext": ext})
+    number = F.expr("try_cast(regexp_extract(_stem, '^(.*)-([1-9][0-9]*)$', 2) AS int)")
+    suffixed = numbered.select(F.col(folder).alias("_folder"), F.regexp_extract("_stem", r"^(.*)-(\d+)$", 1).alias("_base"), F.col("_ext").alias("_kind"), number.alias("_taken"))
+    used = suffixed.where("_taken >= 2").groupBy("_folder", "_base", "_kind").agg(F.array_sort(F.collect_set("_taken")).alias("_used"))
+    same = F.col(folder).eqNullSafe(F.col("_folder")) & (F.col("_stem") == F.col("_base")) & (F.col("_ext") == F.col("_kind"))
+    joined = numbered.join(used, same, "left")
+    free_below = F.transform("_used", lambda u, i: u - 2 - i)  # free suffixes below a taken one
+    passed = F.when(F.col("_used").isNull(), 0).otherwise(F.size(F.filter(free_below, lambda f: f < F.col("_nth"))))
+    suffix = (F.col("_nth") + 1 + passed).cast("string")
+    target = F.when(F.col("_nth") == 0, F.col(name)).otherwise(F.concat("_stem", F.lit("-"), suffix, "_ext"))
+    return joined.withColumn("target", target).drop("_nth", "_stem", "_ext", "_used", "_folder", "_base", "_kind")
+
+
+def composite(files: DataFrame, group: str, path: str, *, indent: str = "  ") -> DataFrame:
+    """(group, body): one markdown report for each group: its folder tree in depth-first order, each folder with the number
+    of files below it at any depth and each file in its place, indented by depth.
+
+    The order is that of the paths as lists of names, files of a folder before its folders. Nodes are counted by partial
+    aggregates, so a hot folder is one row; a group's lines meet in its report, which is its result.
+    """
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    named = files.select(group, parts.alias("_parts")).where(F.size("_parts") > 0)
+    folders = named.where(F.size("_parts") > 1).select(group, F.explode(F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.slice("_parts", F.lit(1), i))).alias("_at"))
+    kept = folders.groupBy(group, "_at").agg(F.count("*").alias("_n")).withColumn("_file", F.lit(False))
+    leaves = named.groupBy(group, F.col("_parts").alias("_at")).agg(F.count("*").alias("_n")).withColumn("_file", F.lit(True))
+    nodes = kept.unionByName(leaves)
+    name, depth = F.element_at("_at", -1), F.size("_at") - 1
+    shown = F.when(F.col("_file"), F.concat(name, F.when(F.col("_n") > 1, F.concat(F.lit(" x"), F.col("_n").cast("string"))).otherwise(""))).otherwise(F.concat(F.lit("**"), name, F.lit("/** ("), F.col("_n").cast("string"), F.lit(")")))
+    line = F.concat(F.repeat(F.lit(indent), depth), F.lit("- "), shown)
+    last = F.size("_at")
+    step = F.transform("_at", lambda p, i: F.struct((~((i == last - 1) & F.col("_file"))).cast("int").alias("folder"), p.alias("name")))
+    return lines_by(nodes.withColumn("_order", step), group, ["_order"], line)
 
 
 #: Fixed forms of narrative reports.

@@ -1,7 +1,12 @@
 """Vector retrieval: a stated query set against all rows in blocks, and additive fusion with keyword candidates.
 
-Queries and rows meet in a grid of blocks: a block of queries and a block of rows are dealt into one cell, whose task
-keeps each query's best only. No vector passes through the driver, and the plan is the same at every size.
+Queries and rows meet in a grid of blocks: a block of queries and a block of rows of one length are dealt into one cell,
+whose task keeps each query's best only. No vector passes through the driver, and the plan is the same at every size.
+Similarity is the cosine: vectors are scaled in their cell. Vectors of different lengths do not meet, and those that are
+null, zero or hold null or non-finite components meet with nothing.
+
+A cell holds its queries (at most 8,192 of them: 64 MB at 1,024 components) and their best, and takes rows in Arrow
+batches against 256 queries at a time: 20 MB of similarities at 10,000 rows, however many queries there are.
 """
 
 from __future__ import annotations
@@ -12,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-QUERY_BLOCK, ROW_BLOCK = 8192, 200_000
+QUERY_BLOCK, ROW_BLOCK, STRIP = 8192, 200_000, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,101 +33,139 @@ def unit(v: Column) -> Column:
 
 
 def _cells(vectors: DataFrame, key: str, every: int, id_col: str, vector: str) -> DataFrame:
-    """(qb, rb, is_row, key, id, v): queries and rows dealt into cells, the queries of a cell first."""
-    base = vectors.where(F.col(vector).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    """(dim, qb, rb, is_row, key, id, v): queries and rows dealt into cells, the queries of a cell first, then the rows by
+    key."""
+    v = F.col(vector).cast("array<double>")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    base = vectors.where(F.col(id_col).isNotNull() & sound).select(F.size(vector).alias("dim"), F.col(id_col).cast("long").alias("id"), F.col(key).cast("long").alias("key"), v.alias("v"))
     n, asked = base.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
     width, height = 1 + asked // QUERY_BLOCK, max(1 + n // ROW_BLOCK, min(64, n // 500))
     block = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    queries = base.where(F.col("id") % every == 0).select(block(width, 1).alias("qb"), each(height).alias("rb"), F.lit(False).alias("is_row"), "key", "id", "v")
-    rows = base.select(each(width).alias("qb"), block(height, 2).alias("rb"), F.lit(True).alias("is_row"), "key", "id", "v")
-    return queries.unionByName(rows).repartition("qb", "rb").sortWithinPartitions("qb", "rb", "is_row", "id")
+    queries = base.where(F.col("id") % every == 0).select("dim", block(width, 1).alias("qb"), each(height).alias("rb"), F.lit(False).alias("is_row"), "key", "id", "v")
+    rows = base.select("dim", each(width).alias("qb"), block(height, 2).alias("rb"), F.lit(True).alias("is_row"), "key", "id", "v")
+    cell = ("dim", "qb", "rb")
+    return queries.unionByName(rows).repartition(*cell).sortWithinPartitions(*cell, "is_row", "key", "id")
 
 
-def _in_cells(batches, compare: Callable[[np.ndarray, np.ndarray, pa.RecordBatch], None], ended: Callable[[np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """Runs each cell: ``compare(query ids, query matrix, batch of rows)`` for its rows, then ``ended(query ids)``."""
-    cell, ids, parts, queries = None, [], [], None
+def _in_cells(batches, opened: Callable[[np.ndarray, np.ndarray], _Cell]) -> Iterator[pa.RecordBatch]:
+    """Runs each cell: ``opened(query ids, query matrix)``, then its ``add(batch of rows)`` and ``end()``."""
+    key, ids, parts, cell = None, [], [], None
     for batch in batches:
-        keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("qb", "rb", "is_row")])
+        keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "qb", "rb", "is_row")])
         cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)] if len(keys) else [0]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            part, now = batch.slice(a, b - a), tuple(keys[a, :2])
-            if now != cell:
-                if queries is not None:
-                    yield from ended(np.concatenate(ids))
-                cell, ids, parts, queries = now, [], [], None
-            if keys[a, 2]:
-                if parts:
-                    queries = np.concatenate(parts) if queries is None else queries
-                    compare(np.concatenate(ids), queries, part)
-            else:
+            part, now = batch.slice(a, b - a), tuple(keys[a, :3])
+            if now != key:
+                if cell is not None:
+                    yield from cell.end()
+                key, ids, parts, cell = now, [], [], None
+            if not keys[a, 3]:
                 ids.append(part.column("id").to_numpy())
-                parts.append(_matrix(part))
-    if queries is not None:
-        yield from ended(np.concatenate(ids))
+                parts.append(_units(part))
+            elif parts:
+                if cell is None:
+                    cell = opened(np.concatenate(ids), np.concatenate(parts))
+                yield from cell.add(part)
+    if cell is not None:
+        yield from cell.end()
+
+
+def _units(batch: pa.RecordBatch) -> np.ndarray:
+    """The vectors of a batch, which have one length, over their norms; scaled first, so that squares stay finite."""
+    m = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
+    m = m / np.abs(m).max(axis=1, keepdims=True)
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+class _Cell:
+    """What a cell keeps of its queries' similarities."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray):
+        self.ids, self.queries = ids, queries
+
+    def strips(self, rows: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+        for i in range(0, len(self.ids), STRIP):
+            yield slice(i, i + STRIP), np.clip(self.queries[i : i + STRIP] @ rows.T, -1.0, 1.0)
+
+
+class _Nearest(_Cell):
+    """Each query's k best rows so far; ties go to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        super().__init__(ids, queries)
+        self.sims = np.full((len(ids), k), -np.inf)
+        self.names = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        own, k = rows.column("id").to_numpy(), self.sims.shape[1]
+        for at, found in self.strips(_units(rows)):
+            found = np.round(found, 6)
+            found[self.ids[at, None] == own[None, :]] = -np.inf
+            sims = np.hstack([self.sims[at], found])
+            names = np.hstack([self.names[at], np.broadcast_to(own, found.shape)])
+            least = np.partition(sims, -k, axis=1)[:, -k]  # all that reach the k-th best stay, so ties are settled by id
+            most = int((sims >= least[:, None]).sum(axis=1).max())
+            some = np.argpartition(-sims, min(most, sims.shape[1] - 1), axis=1)[:, :most]
+            sims, names = np.take_along_axis(sims, some, axis=1), np.take_along_axis(names, some, axis=1)
+            order = np.lexsort((names, -sims), axis=1)[:, :k]
+            self.sims[at], self.names[at] = np.take_along_axis(sims, order, axis=1), np.take_along_axis(names, order, axis=1)
+        yield from ()
 
+    def end(self) -> Iterator[pa.RecordBatch]:
+        rows, columns = np.nonzero(np.isfinite(self.sims))
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[rows]), pa.array(self.names[rows, columns]), pa.array(self.sims[rows, columns])], names=["query_id", "id", "similarity"])
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1)
 
+class _Groups(_Cell):
+    """Each query's best similarity to the group that is open; a group's rows follow each other."""
 
-def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, similarity, rank): the k rows most similar to each row whose id is a multiple of ``every``,
-    itself left out; ties go to the smaller id."""
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(id_col, T.LongType()), T.StructField("similarity", T.DoubleType())])
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, least: float):
+        super().__init__(ids, queries)
+        self.least, self.open, self.best = least, None, np.full(len(ids), -np.inf)
 
-    def run(batches):
-        held: list[np.ndarray] = []  # best similarities and their ids so far, a row for each query
-
-        def compare(ids, queries, rows):
-            own = rows.column("id").to_numpy()
-            sims = np.round(queries @ _matrix(rows).T, 6)
-            sims[ids[:, None] == own[None, :]] = -np.inf
-            names = np.broadcast_to(own, sims.shape)
-            if held:
-                sims, names = np.hstack([held[0], sims]), np.hstack([held[1], names])
-            if sims.shape[1] > k:  # all that reach the k-th best value stay in the race, so ties are settled by id
-                least = np.partition(sims, -k, axis=1)[:, -k]
-                width = int((sims >= least[:, None]).sum(axis=1).max())
-                some = np.argpartition(-sims, min(width, sims.shape[1] - 1), axis=1)[:, :width]
-                sims, names = np.take_along_axis(sims, some, axis=1), np.take_along_axis(names, some, axis=1)
-            order = np.lexsort((names, -sims), axis=1)[:, :k]
-            held[:] = [np.take_along_axis(sims, order, axis=1), np.take_along_axis(names, order, axis=1)]
+    def rows(self, ids: np.ndarray, groups: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+        q, g = np.nonzero(np.round(best, 6) >= self.least)
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(groups[g]), pa.array(best[q, g])], names=["query_id", "key", "similarity"])
 
-        def ended(ids):
-            sims, names = held
-            rows, columns = np.nonzero(np.isfinite(sims))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(names[rows, columns]), pa.array(sims[rows, columns])], names=schema.names)
+    def add(self, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        groups, first = np.unique(rows.column("key").to_numpy(), return_index=True)
+        carried, last = self.best.copy(), np.full(len(self.ids), -np.inf)
+        if self.open is not None and self.open != groups[0]:
+            yield from self.end()
+            carried[:] = -np.inf
+        for at, found in self.strips(_units(rows)):
+            best = np.maximum.reduceat(found, first, axis=1)
+            best[:, 0] = np.maximum(best[:, 0], carried[at])
+            last[at] = best[:, -1]
+            yield from self.rows(self.ids[at], groups[:-1], best[:, :-1])
+        self.open, self.best = int(groups[-1]), last
 
-        yield from _in_cells(batches, compare, ended)
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from self.rows(self.ids, np.array([self.open]), self.best[:, None])
 
-    found = _cells(vectors, id_col, every, id_col, vector).mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-
-def group_similarity(vectors: DataFrame, group: str, *, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, group, similarity): best similarity of any of the group's rows to each query, never their mean."""
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField(group, T.LongType()), T.StructField("similarity", T.DoubleType())])
+def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity, rank): the k rows of greatest cosine to each row whose id is a multiple of ``every``,
+    itself left out; ties (at six places) go to the smaller id."""
 
     def run(batches):
-        found: list[pa.RecordBatch] = []
+        yield from _in_cells(batches, lambda ids, queries: _Nearest(ids, queries, k))
+
+    found = _cells(vectors, id_col, every, id_col, vector).mapInArrow(run, "query_id long, id long, similarity double").withColumnRenamed("id", id_col)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-        def compare(ids, queries, rows):
-            groups, back = np.unique(rows.column("key").to_numpy(), return_inverse=True)
-            order = np.argsort(back, kind="stable")
-            sims = (queries @ _matrix(rows).T)[:, order]
-            best = np.maximum.reduceat(sims, np.searchsorted(back[order], np.arange(len(groups))), axis=1)
-            found.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(groups))), pa.array(np.tile(groups, len(ids))), pa.array(best.ravel())], names=schema.names))
 
-        def ended(ids):
-            yield from found
-            found.clear()
+def group_similarity(vectors: DataFrame, group: str, *, every: int = 50, least: float = -1.0, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, group, similarity): best cosine of any of the group's rows to each query, never their mean; only those
+    of at least ``least``, which tasks leave out already, so with documents as groups name what the cut will be."""
 
-        yield from _in_cells(batches, compare, ended)
+    def run(batches):
+        yield from _in_cells(batches, lambda ids, queries: _Groups(ids, queries, least))
 
-    found = _cells(vectors.where(F.col(group).isNotNull()), group, every, id_col, vector).mapInArrow(run, schema)
+    found = _cells(vectors.where(F.col(group).isNotNull()), group, every, id_col, vector).mapInArrow(run, "query_id long, key long, similarity double").withColumnRenamed("key", group)
     return found.groupBy("query_id", group).agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 

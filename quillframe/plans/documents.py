@@ -10,7 +10,9 @@ from quillframe.operators import planning, reports, state
 from quillframe.plans.book import SIGNALS_SQL, Book, signals
 from quillframe.sources import office
 from quillframe.sources.inventory import classify_extension
+from quillframe.sources.shared import new_folder
 from quillframe.sources.tables import table
+from quillframe.sources.text_cache import TextCache
 
 book = Book()
 
@@ -152,3 +154,40 @@ def doc_type_lookup(spark, sf_dir):
     exts = F.array(*map(F.lit, [".pdf", ".zip", ".xml", ".png", ".dwg", ".foo", ""]))
     found = classify_extension(F.get(exts, (F.col("page_id") % 7).cast("int")))
     return table(spark, sf_dir, "pages").select("page_id", found.alias("c")).select("page_id", "c.kind", "c.analyzable", "c.at_risk")
+
+
+@book.query("""
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, text, source FROM documents),
+c AS (SELECT h, bool_or(source < 'src2') AS early FROM d GROUP BY h)
+SELECT doc_id, h AS digest, length(coalesce(d.text, ''))::INT AS char_count, CASE WHEN length(coalesce(d.text, '')) = 0 THEN 'failed' ELSE 'done' END AS status,
+  CASE WHEN early AND NOT length(coalesce(d.text, '')) BETWEEN 1 AND 999 THEN 1 ELSE 2 END AS pass FROM d JOIN c USING (h)""")
+def text_cache_refresh(spark, sf_dir):
+    """Two refreshes: of some sources, deferring short texts, then of all. ``pass`` tells which one settled a content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.withColumn("content_hash", F.sha2("text", 256))
+    cache = TextCache(new_folder(spark, "text-cache"))
+
+    def extract(number):
+        size = F.length("text")
+        status = F.when(size == 0, "failed").when(F.lit(number == 1) & (size < 1000), "deferred").otherwise("done")
+        return lambda pending: pending.select("content_hash", F.concat(F.lit(f"{number}"), "text").alias("text"), status.alias("status"))
+
+    cache.refresh(named.where("source < 'src2'"), extract(1))
+    cache.refresh(named, extract(2))
+    cache.refresh(named, extract(3))
+    found = cache.texts(named.select("doc_id", F.col("content_hash").alias("digest")), "digest")
+    return found.select("doc_id", "digest", (F.col("char_count") - 1).alias("char_count"), "status", F.left("text", F.lit(1)).cast("int").alias("pass"))
+
+
+@book.query("""
+WITH p AS (SELECT regexp_extract(url, '^https?://([^/]*)', 1) AS host, list_filter(string_split(regexp_replace(url, '^https?://[^/]*', ''), '/'), lambda x: x <> '') AS parts FROM pages),
+q AS (SELECT * FROM p WHERE len(parts) > 0),
+f AS (SELECT host, unnest(list_transform(range(1, len(parts)), lambda i: parts[1:i])) AS loc FROM q WHERE len(parts) > 1),
+n AS (SELECT host, loc, count(*) AS n, 0 AS file FROM f GROUP BY ALL UNION ALL SELECT host, parts, count(*), 1 FROM q GROUP BY ALL),
+l AS (SELECT host, list_transform(loc, lambda x, i: {'folder': CASE WHEN i = len(loc) AND file = 1 THEN 0 ELSE 1 END, 'name': x}) AS o,
+  repeat('  ', len(loc) - 1) || '- ' || CASE WHEN file = 1 THEN loc[-1] || CASE WHEN n > 1 THEN ' x' || n ELSE '' END ELSE '**' || loc[-1] || '/** (' || n || ')' END AS line FROM n)
+SELECT host, sha256(string_agg(line, chr(10) ORDER BY o)) AS report, count(*) AS n_lines FROM l GROUP BY host""")
+def folder_report(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]*)", 1).alias("host"), F.regexp_replace("url", "^https?://[^/]*", "").alias("path"))
+    body = reports.composite(pages, "host", "path")
+    return body.select("host", F.sha2("body", 256).alias("report"), F.size(F.split("body", "\n")).cast("long").alias("n_lines"))

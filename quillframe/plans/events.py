@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import quarantine_seconds
-from quillframe.operators import state
+from quillframe.operators import planning, state
 from quillframe.plans.book import Book
+from quillframe.sources.shared import new_folder
 from quillframe.sources.tables import table
 from quillframe.streaming import folds, streams
+from quillframe.streaming.upsert import UpsertTable
 
 book = Book()
 ORDER = ["signup", "view", "click", "purchase"]
@@ -68,3 +70,43 @@ s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
 SELECT user_id, min(ts)::TIMESTAMP AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def events_session(spark, sf_dir):
     return streams.sessions(streams.read_events(spark, sf_dir), "6 hours")
+
+
+@book.query("SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS earlier FROM events")
+def earlier_event(spark, sf_dir):
+    """The event before of the same user, by time."""
+    return planning.latest_before(table(spark, sf_dir, "events"), "user_id", "ts", "earlier", value="event_id").select("event_id", "earlier")
+
+
+_SLOT_SQL = """(SELECT user_id, event_id, ts, event_type <> 'error' AS ok, CASE event_id % 4 WHEN 0 THEN 401 WHEN 1 THEN 429 ELSE 500 END AS status FROM events)"""
+
+
+@book.query(f"""
+WITH m AS (SELECT *, ok OR coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, false) AS new FROM {_SLOT_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM m),
+f AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS failures FROM r),
+s AS (SELECT *, CASE WHEN NOT ok THEN CASE WHEN status = 401 THEN 300 WHEN status = 429 THEN 30 WHEN failures >= 3 THEN 60 ELSE 0 END * least(failures, 10) ELSE 0 END AS secs FROM f)
+SELECT user_id, event_id, failures::INT AS failures, last_value(CASE WHEN secs > 0 THEN (ts + to_seconds(secs))::TIMESTAMP END IGNORE NULLS) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS blocked_until FROM s""")
+def quarantine_state(spark, sf_dir):
+    """Slots at rest, as a stream with timers; event times are naive."""
+    status = F.when(F.col("event_id") % 4 == 0, 401).when(F.col("event_id") % 4 == 1, 429).otherwise(500)
+    events = streams.read_events(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_type") != "error").alias("ok"), status.alias("status"))
+    found = streams.drained(folds.quarantine_stream(events, "user_id"), "append", timers=True)
+    return found.withColumn("blocked_until", F.col("blocked_until").cast("timestamp_ntz"))
+
+
+@book.query(f"""
+WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS title, o_orderpriority AS status, o_orderkey % 3 AS n FROM orders WHERE o_orderkey % 3 <> 2
+  UNION ALL SELECT o_orderkey, 'late ' || o_orderstatus, 'late', 2 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT k AS source_id, arg_max(title, n) AS title, arg_min(status, n) AS status FROM b GROUP BY k""")
+def upsert_stream(spark, sf_dir):
+    """Three batches into a table, the last of them twice, once after a restart without a checkpoint."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("source_id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("status"))
+    late = orders.where("source_id % 2 = 0").select("source_id", F.concat(F.lit("late "), "title").alias("title"), F.lit("late").alias("status"))
+    feed, checkpoint = new_folder(spark, "feed"), new_folder(spark, "feed-state")
+    stored = UpsertTable(new_folder(spark, "upserts"), ["source_id"], ["title"], ["status"])
+    for batch in (orders.where("source_id % 3 = 0"), orders.where("source_id % 3 = 1"), late):
+        batch.write.mode("append").parquet(feed)
+        stored.sink(spark.readStream.schema(orders.schema).parquet(feed), checkpoint)
+    stored.apply(late.withColumn("title", F.lit("never seen")), 2)
+    return stored.read(spark, orders.schema)

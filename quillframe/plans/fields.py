@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import notice_fields as nf
 from quillframe.functions import text as tx
 from quillframe.functions.parsers import marks_as_files
-from quillframe.operators import citations, logs, reports, resolve
+from quillframe.operators import citations, logs, reports, resolve, retries
 from quillframe.plans.book import Book
 from quillframe.sources.tables import table
 
@@ -143,3 +143,32 @@ def kept_reports(spark, sf_dir):
     bad = F.coalesce(F.col("quality") != 1, F.lit(True))
     parts = labels.select("grp", F.col("doc_id").alias("part"), F.when(~bad, "new").alias("body"), F.when(bad, F.concat(F.lit("e"), F.col("toxic").cast("string"))).alias("error"))
     return logs.kept_report(parts, parts.select("grp", "part", F.lit("old").alias("body")), "grp")
+
+
+@book.query("""
+WITH RECURSIVE t AS (SELECT conv_id, list(length(coalesce(text, '')) ORDER BY turn) AS sizes FROM conversations GROUP BY conv_id),
+r AS (
+  SELECT conv_id, sizes, 0 AS lo, len(sizes) AS hi, 1 AS attempt,
+    CASE WHEN list_sum(sizes) > 1500 THEN 'refused' WHEN (conv_id + len(sizes) + 1) % 3 = 0 OR (len(sizes) = 1 AND conv_id % 10 = 0) THEN 'failed' ELSE 'ok' END AS status FROM t
+  UNION ALL
+  SELECT conv_id, sizes, x.lo, x.hi, x.attempt,
+    CASE WHEN list_sum(sizes[x.lo + 1 : x.hi]) > 1500 THEN 'refused' WHEN (conv_id + x.lo * 7 + x.hi + x.attempt) % 3 = 0 OR (x.hi - x.lo = 1 AND conv_id % 10 = 0) THEN 'failed' ELSE 'ok' END
+  FROM (SELECT conv_id, sizes, unnest(CASE WHEN status = 'refused' AND hi - lo > 1 THEN [{'lo': lo, 'hi': (lo + hi) // 2, 'attempt': 1}, {'lo': (lo + hi) // 2, 'hi': hi, 'attempt': 1}]
+    WHEN status = 'failed' AND attempt < 3 THEN [{'lo': lo, 'hi': hi, 'attempt': attempt + 1}] ELSE [] END) AS x FROM r))
+SELECT conv_id, lo::INT AS lo, hi::INT AS hi, attempt::INT AS attempt, status, CASE WHEN status = 'ok' THEN list_sum(sizes[lo + 1 : hi])::VARCHAR END AS answer FROM r
+WHERE status = 'ok' OR (status = 'refused' AND hi - lo = 1) OR (status = 'failed' AND attempt = 3)""")
+def settled_calls(spark, sf_dir):
+    """Conversations as batches for a provider that refuses more than 1,500 characters and fails now and then."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("turn", size.alias("size"))))
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(ordered, lambda x: x["size"]).alias("sizes"))
+
+    def provider(pending):
+        total = F.aggregate(F.slice("sizes", F.col("lo") + 1, F.col("hi") - F.col("lo")), F.lit(0).cast("long"), lambda a, x: a + x)
+        odd = (F.col("conv_id") + F.col("lo") * 7 + F.col("hi") + F.col("attempt")) % 3 == 0
+        stuck = (F.col("hi") - F.col("lo") == 1) & (F.col("conv_id") % 10 == 0)
+        status = F.when(total > 1500, "refused").when(odd | stuck, "failed").otherwise("ok")
+        told = pending.join(lists, "conv_id").withColumn("status", status)
+        return told.withColumn("answer", F.when(F.col("status") == "ok", total.cast("string")))
+
+    return retries.settled(lists.select("conv_id", F.size("sizes").alias("size")), "conv_id", provider)

@@ -8,7 +8,10 @@ from quillframe.functions.text import fold_terms
 from quillframe.operators import filters
 from quillframe.operators import notices as op
 from quillframe.plans.book import Book
+from quillframe.sources.notice_pages import register
+from quillframe.sources.shared import new_folder
 from quillframe.sources.tables import table
+from quillframe.streaming.upsert import UpsertTable
 
 book = Book()
 REQUIRED, EXCLUDED = ["the", "cookie policy", "des"], ["subscribe", "und der"]
@@ -41,11 +44,15 @@ _NOTICE_SQL = f"""(SELECT page_id AS source_id, CASE WHEN page_id % 3 = 0 THEN '
     ELSE trim(regexp_replace(lower({_HOST}), '[^a-z0-9]+', ' ', 'g')) || '|' || strftime(DATE '2024-01-01' + (page_id % 4)::INT, '%Y-%m-%d') END AS merge_key FROM pages)"""
 
 
-def _notices(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
+def _as_notices(pages):
     day = F.when(F.col("page_id") % 11 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 4).cast("int")))
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    return pages.select(F.col("page_id").alias("source_id"), F.when(F.col("page_id") % 3 == 0, "ted").otherwise("boamp").alias("source"), F.col("url").alias("dce_url"), F.contains("url", F.lit("1")).alias("automatable"), op.fingerprint(host, day).alias("fingerprint"))
+    made = {"source_id": F.col("page_id"), "source": F.when(F.col("page_id") % 3 == 0, "ted").otherwise("boamp"), "dce_url": F.col("url"), "automatable": F.contains("url", F.lit("1"))}
+    return pages.withColumns(made | {"fingerprint": op.fingerprint(host, day)})
+
+
+def _notices(spark, sf_dir):
+    return _as_notices(table(spark, sf_dir, "pages")).select("source_id", "source", "dce_url", "automatable", "fingerprint")
 
 
 _MERGE_SQL = f"""(SELECT merge_key, arg_min(source, (source <> 'ted')::INT * 100000000 + source_id) AS source, arg_min(source_id, (source <> 'ted')::INT * 100000000 + source_id) AS source_id, (count(*) - 1)::INT AS n_duplicates,
@@ -98,9 +105,8 @@ def urgency_order(spark, sf_dir):
 SELECT (SELECT count(*) FROM pages) AS n_seen, (SELECT count(*) FROM {_MATCH_SQL} WHERE excluded_by IS NULL AND terms <> '') AS n_matched, (SELECT count(*) FROM {_MATCH_SQL} WHERE excluded_by IS NOT NULL) AS n_excluded,
   (SELECT count(*) FROM {_MERGE_SQL}) AS n_merged, (SELECT sum(n_duplicates)::BIGINT FROM {_MERGE_SQL}) AS n_duplicates""")
 def scan_report(spark, sf_dir):
-    seen = _matched(spark, sf_dir).agg(F.count("*").alias("n_seen"), F.count_if(F.size("terms") > 0).alias("n_matched"), F.count_if(F.col("excluded_by").isNotNull()).alias("n_excluded"))
-    merged = op.merge(_notices(spark, sf_dir), preferred="ted").agg(F.count("*").alias("n_merged"), F.sum("n_duplicates").alias("n_duplicates"))
-    return seen.withColumn("k", F.lit(1)).join(merged.withColumn("k", F.lit(1)), "k").drop("k")
+    seen = {"n_seen": F.count("*"), "n_matched": F.count_if(F.size("terms") > 0), "n_excluded": F.count_if(F.col("excluded_by").isNotNull())}
+    return op.scan_report(_as_notices(_matched(spark, sf_dir)), preferred="ted", seen=seen)
 
 
 _RECORDS = {"one": ("page_id % 2 = 0", "ref", "name", "day"), "two": ("page_id % 2 = 1", "no", "subject", "date")}
@@ -138,6 +144,25 @@ def notice_scan(spark, sf_dir):
     return op.scan(stored, notices, today=F.lit("2024-02-20").cast("date"), key=["source", "source_id"], editorial=["title"], protected=["status"])
 
 
+@book.query("""
+SELECT page_id::VARCHAR AS source_id, 'P' || page_id AS title, DATE '2024-01-01' + (page_id % 60)::INT AS published_at, sha256(html) AS body FROM pages WHERE page_id % 60 >= 20 AND page_id % 13 <> 0""")
+def notice_poll(spark, sf_dir):
+    """Pages as a service's answers, polled twice into a table: the second poll finds a page published again."""
+    register(spark)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 60).cast("int")), "yyyy-MM-dd")
+    record = F.struct(F.when(F.col("page_id") % 13 != 0, F.col("page_id")).alias("id"), F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("title"), day.alias("published_at"), "html")
+    answers = table(spark, sf_dir, "pages").groupBy(F.floor(F.col("page_id") / 100)).agg(F.to_json(F.struct(F.collect_list(record).alias("records"))).alias("value")).select("value")
+    feed, state = new_folder(spark, "notices"), new_folder(spark, "notices-state")
+    stored = UpsertTable(new_folder(spark, "polled"), ["source", "source_id"], ["title", "published_at", "body"])
+    polled = spark.readStream.format("notice_pages").options(path=feed, source="pages", lookbackDays="30", today="2024-02-20", maxPages="1000000").load()
+    found = polled.where("error IS NULL AND published_at >= DATE '2024-01-21'")
+    for again in (answers, answers.limit(1)):
+        again.write.mode("append").text(feed)
+        stored.sink(found, state)
+    kept = stored.read(spark, found.select("source", "source_id", "title", "published_at", "body").schema)
+    return kept.select("source_id", "title", "published_at", F.sha2(F.get_json_object("body", "$.html"), 256).alias("body"))
+
+
 @book.query("""
 SELECT page_id FROM pages WHERE upper('nature ' || (page_id % 3)) NOT IN ('NATURE 1') AND NOT starts_with('type' || (page_id % 20), 'type1') AND CASE page_id % 4 WHEN 0 THEN 'dismissed' ELSE 'new' END <> 'dismissed'""")
 def notice_filters(spark, sf_dir):

@@ -10,7 +10,7 @@ from quillframe.plans.book import Book
 from quillframe.sources.tables import table
 
 book = Book()
-PAIRS_SQL = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"
+PAIRS_SQL = "(SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"
 
 
 @book.query(f"SELECT query_id, vec_id, similarity, rn::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rn FROM {PAIRS_SQL} WHERE vec_id <> query_id) WHERE rn <= 5")
@@ -36,6 +36,6 @@ def additive_fusion(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i"))
     keyword = queries.select("query_id", ((F.col("query_id") * 7 + F.col("i") * F.col("i")) % 10).alias("label"), F.col("i").alias("rank")).groupBy("query_id", "label").agg(F.min("rank").alias("rank"))
-    similar = group_similarity(vectors, "label").where("similarity >= 0.3")
+    similar = group_similarity(vectors, "label", least=0.3)
     semantic = similar.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "label")))
     return fuse(keyword, semantic, "query_id", "label")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 MOST_BYTES, DEPTH = 2 << 30, 8
+#: What a damaged, encrypted or unsupported archive raises, from its directory or from a member's stream.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError)
 #: Fixed: box-drawing, block and replacement characters never stand in a real file name.
 BROKEN = re.compile("[─-▟�]")
 
@@ -64,7 +67,7 @@ def expand(content: bytes, budget: int = MOST_BYTES, depth: int = DEPTH) -> tupl
                 continue
             try:
                 below = list(walk(inner, f"{full[:-4]}__extrait/", level + 1))
-            except (zipfile.BadZipFile, ValueError, RuntimeError, NotImplementedError) as e:
+            except UNREADABLE as e:
                 yield full, inner, str(e)
                 continue
             yield full, inner, None
@@ -72,7 +75,7 @@ def expand(content: bytes, budget: int = MOST_BYTES, depth: int = DEPTH) -> tupl
 
     try:
         return list(walk(content, "", 0)), None
-    except (zipfile.BadZipFile, ValueError, RuntimeError, NotImplementedError) as e:
+    except UNREADABLE as e:
         return [], str(e)
 
 

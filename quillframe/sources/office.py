@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+csv.field_size_limit(2**31 - 1)  # a cell may be as long as its file
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -55,7 +58,7 @@ def xlsx_text(content: bytes) -> str:
 
 
 def csv_text(content: bytes) -> str:
-    """Rows of a comma or semicolon table in the first encoding that fits."""
+    """Rows of a comma or semicolon table in the first encoding that fits; marks and line ends in quotes are text."""
     for encoding in ("utf-8-sig", "utf-8", "cp1252", "latin-1"):
         try:
             text = content.decode(encoding)
@@ -63,8 +66,8 @@ def csv_text(content: bytes) -> str:
         except UnicodeDecodeError:
             continue
     mark = ";" if text.count(";") > text.count(",") else ","
-    rows = (" | ".join(c.strip().strip('"') for c in line.split(mark) if c.strip()) for line in text.splitlines())
-    return "\n".join(filter(None, rows))
+    rows = csv.reader(io.StringIO(text, newline=""), delimiter=mark)
+    return "\n".join(filter(None, (" | ".join(c.strip() for c in row if c.strip()) for row in rows)))
 
 
 READERS = {"docx": docx_text, "xlsx": xlsx_text, "csv": csv_text}

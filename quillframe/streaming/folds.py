@@ -7,6 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from quillframe.functions.text import quarantine_seconds
+
+#: Fixed, as in quarantine_seconds: answers that refuse a key and that limit its rate.
+REFUSED, LIMITED = (401, 402, 403), 429
 
 
 def lockout(events: DataFrame, key: str, order: list[str], *, threshold: int = 5) -> DataFrame:
@@ -55,3 +61,69 @@ def last_status_stream(events: DataFrame, key: str, order: list[str]) -> DataFra
 
     schema = f"{key} {events.schema[key].dataType.simpleString()}, status string"
     return events.groupBy(key).applyInPandasWithState(step, schema, "status string", "update", "NoTimeout")
+
+
+class _Quarantine(StatefulProcessor):
+    """A slot's failures in a row and the end of its rest. A timer drops the state of a slot that stays idle."""
+
+    def __init__(self, key: str, idle: str):
+        self.key, self.idle = key, pd.Timedelta(idle)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slot = handle.getValueState("slot", "failures int, until timestamp, last timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        failures, until, last = self.slot.get() if self.slot.exists() else (0, None, None)
+        out = []
+        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():  # a slot's rows of one batch
+            if last is not None and row.ts - pd.Timestamp(last) > self.idle:
+                failures, until = 0, None
+            last = row.ts
+            if row.ok:
+                failures, until = 0, None
+            else:
+                failures += 1
+                base = 300 if row.status in REFUSED else 30 if row.status == LIMITED else 60 if failures >= 3 else 0
+                until = row.ts + pd.Timedelta(seconds=base * min(failures, 10)) if base else until
+            out.append((key[0], row.event_id, failures, until))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int((last + self.idle).timestamp() * 1000) + 1)
+        self.slot.update((failures, until if until is None else pd.Timestamp(until).to_pydatetime(), pd.Timestamp(last).to_pydatetime()))
+        found = pd.DataFrame(out, columns=[self.key, "event_id", "failures", "blocked_until"])
+        yield found.astype({"blocked_until": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.slot.clear()
+        yield pd.DataFrame({self.key: pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "failures": pd.Series(dtype="int32"), "blocked_until": pd.Series(dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+def quarantine_stream(events: DataFrame, key: str, *, idle: str = "6 hours", late: str = "10 minutes") -> DataFrame:
+    """(key, event_id, failures, blocked_until) after each event of a slot: failures in a row, and the end of the rest that
+    the last failure with a rest gave. A success clears both, and so does an idle time, whose end a timer waits for to drop
+    the state; an event after it finds none. events: key, event_id, ts, ok, status.
+
+    A slot's events of one batch are put in order together; those of a batch must not be older than the slot's last one.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    timed = events.select(key, "event_id", "ts", "ok", "status").withWatermark("ts", late)
+    schema = f"{key} {kind}, event_id long, failures int, blocked_until timestamp"
+    return timed.groupBy(key).transformWithStateInPandas(_Quarantine(key, idle), schema, "Append", "EventTime")
+
+
+def quarantine(events: DataFrame, key: str, *, idle: str = "6 hours") -> DataFrame:
+    """The same rule over a table, by windows: a run of events starts anew after a success or an idle time."""
+    by_time = Window.partitionBy(key).orderBy("ts", "event_id")
+    gap = F.col("ts") > F.lag("ts").over(by_time) + F.expr(f"INTERVAL '{idle.split()[0]}' HOUR")
+    marked = events.withColumn("_new", F.coalesce(gap, F.lit(False)) | F.col("ok"))
+    runs = marked.withColumn("_run", F.count_if("_new").over(by_time))
+    within = Window.partitionBy(key, "_run").orderBy("ts", "event_id")
+    counted = runs.withColumn("failures", F.count_if(~F.col("ok")).over(within).cast("int"))
+    seconds = quarantine_seconds(F.col("status"), F.col("failures"))
+    end = F.when(~F.col("ok") & (seconds > 0), F.timestamp_add("SECOND", seconds, F.col("ts")))
+    rested = counted.withColumn("blocked_until", F.last(end, ignorenulls=True).over(within))
+    return rested.select(key, "event_id", "failures", "blocked_until")

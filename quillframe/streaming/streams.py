@@ -23,14 +23,30 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+#: The state store that processors with timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(stream: DataFrame, mode: str = "complete", *, timers: bool = False) -> DataFrame:
     """All that the stream yields from the data at hand, as Parquet in the shared folder, so no row passes through the
-    driver. In complete mode each batch's whole result takes the place of the one before; in the other modes rows add up."""
+    driver. In complete mode each batch's whole result takes the place of the one before; in the other modes rows add up,
+    each batch in a folder of its number, so one that is replayed replaces itself."""
     spark = stream.sparkSession
     out, checkpoint = new_folder(spark, "drained"), new_folder(spark, "drained-state")
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)).trigger(availableNow=True).start()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    if timers:
+        spark.conf.set(provider, ROCKS)
+    try:
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(provider, before)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
 def tumbling(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
@@ -52,14 +68,18 @@ def once_each(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def broadcast(events: DataFrame, send: Callable[[list], None], key: str, checkpoint: str):
-    """Sends each batch's events in order per key; a failing receiver does not stop the stream."""
+def broadcast(events: DataFrame, send: Callable[[object], None], key: str, checkpoint: str):
+    """Sends each batch's events in order per key, from the tasks that hold them; no event passes through the driver. A
+    receiver that fails loses that event and does not stop the stream. ``send`` is shipped to the tasks."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        for row in batch.orderBy(key, "ts").toLocalIterator():
+    def deliver(rows) -> None:
+        for row in rows:
             try:
-                send([row])
-            except Exception as error:  # a dead client is dropped, the others go on
-                print(f"dropped a receiver: {error}")
+                send(row)
+            except Exception as error:  # a dead receiver loses its event, the others go on
+                print(f"dropped an event: {error}")
+
+    def each(batch: DataFrame, _: int) -> None:
+        batch.repartition(key).sortWithinPartitions(key, "ts").foreachPartition(deliver)
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -106,11 +106,6 @@ def test_marks_as_files(spark, text, shown):
     assert one(spark, parsers.marks_as_files(F.col("t"), names), t=text) == shown
 
 
-def test_malformed_json_is_null(spark):
-    rows = spark.createDataFrame([('{"fra": "a"}',), ("{broken",), (None,)], "j string").select(parsers.multilingual("j").alias("t")).collect()
-    assert [r.t for r in rows] == ["a", None, ""]
-
-
 def test_certainty_and_quarantine(spark):
     assert one(spark, tx.answer_certainty(F.lit(0.9), F.lit(None).cast("double"))) == "certain"
     assert one(spark, tx.answer_certainty(F.lit(0.9), F.lit(0.5))) == "probable"
@@ -172,14 +167,3 @@ def test_distinct_targets(spark):
 def test_status_order(spark):
     assert one(spark, state.at_or_after(F.lit("classified"), F.lit("uploaded"))) is True
     assert one(spark, state.at_or_after(F.lit("error"), F.lit("uploaded"))) is False
-
-
-def test_markdown_and_audit(spark):
-    text = "# T\n| a | b |\n|---|---|\n| 1 | x\\|y |\n- item\n  goes on\n\nplain\nline"
-    assert [(b["kind"], b["cells"]) for b in parsers.blocks_of(text)] == [("heading", ["T"]), ("row", ["a", "b"]), ("row", ["1", "x|y"]), ("item", ["item goes on"]), ("paragraph", ["plain line"])]
-    report = "# R\n## Analyse détaillée par section\n### Sols\n[STATUT : 🔴] | [Mur] | [Fissure / Eau]\n**Exposé de la situation :** vu\n\n**Recommandation de levée de doute :**\n- voir\n- revoir\n---\n_Aucun risque_\n## Fin\n"
-    assert [(r["section"], r["status"], r["risk"], r["hazard"], r["situation"], r["advice"]) for r in parsers.risks_of(report)] == [("Sols", "🔴", "Fissure", "Eau", "vu", ["voir", "revoir"])]
-    df = spark.createDataFrame([(report, text, '{"a": {"profil": " u "}, "b": ["x", 1]}')], "r string, t string, j string")
-    row = df.select(F.size(parsers.audit_risks("r")).alias("n"), F.size(parsers.markdown_blocks("t")).alias("m"), parsers.json_strings("j").alias("s")).first()
-    assert (row.n, row.m, [(x.k, x.v) for x in row.s]) == (1, 5, [("profil", "u"), ("b", "x")])
-    assert parsers.plain_text({"deu": "d", "fra": ["a", "a", "b &amp; c"]}) == "a\nb & c"

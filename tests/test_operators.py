@@ -88,6 +88,45 @@ def test_status_stream_only_moves_on(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
     assert [r.status for r in streams.drained(folds.last_status_stream(stream, "dossier", state.STATUSES), "update").collect()] == ["reorganized"]
-    sent: list = []
-    streams.broadcast(stream, sent.extend, "dossier", str(tmp_path / "ck")).awaitTermination()
-    assert [r.status for r in sent] == [r[2] for r in rows]
+    log = str(tmp_path / "sent")
+
+    def send(row):
+        if row.status == "unzipping":
+            raise OSError("gone")
+        with open(log, "a") as f:
+            f.write(f"{row.status}\n")
+
+    streams.broadcast(stream, send, "dossier", str(tmp_path / "ck")).awaitTermination()
+    with open(log) as f:
+        assert f.read().split() == [r[2] for r in rows if r[2] != "unzipping"]
+
+
+def test_nearest_is_a_cosine_among_vectors_of_one_length(spark):
+    rows = [(0, 1, [1.0, 0.0]), (1, 1, [3.0, 4.0]), (2, 2, [-2.0, 0.0]), (3, 2, [1.0]), (50, 3, [1e200, 1e200]), (4, 3, [1.0, 0.0, 5.0]), (5, 3, None), (6, 3, [0.0, 0.0]), (7, 3, [float("nan"), 1.0]), (8, 3, [float("inf"), 1.0]), (9, 4, [2.0, None]), (100, 4, [5.0]), (10, 4, [])]
+    df = spark.createDataFrame(rows, "vec_id int, label int, embedding array<double>")
+    found = {(r.query_id, r.vec_id): (r.similarity, r.rank) for r in retrieval.nearest(df, k=2).collect()}
+    assert found == {(0, 50): (0.707107, 1), (0, 1): (0.6, 2), (50, 1): (0.989949, 1), (50, 0): (0.707107, 2), (100, 3): (1.0, 1)}
+    best = {(r.query_id, r.label): r.similarity for r in retrieval.group_similarity(df, "label", least=0.5).collect()}
+    assert best == {(0, 1): 1.0, (0, 3): 0.707107, (50, 1): 0.989949, (50, 3): 1.0, (100, 2): 1.0, (100, 4): 1.0}
+
+
+def test_nearest_in_strips_and_cells(spark, monkeypatch):
+    """More queries than a strip, cells of several query blocks, groups across batches, ties by id."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 100)
+    vectors = np.random.default_rng(5).integers(-2, 3, (700, 4)).astype(float)
+    vectors[~vectors.any(axis=1)] = 1
+    df = spark.createDataFrame([(i, i % 7, v.tolist()) for i, v in enumerate(vectors)], "vec_id int, label int, embedding array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    found: dict = {}
+    for r in retrieval.nearest(df, k=3, every=2).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(r.similarity - sims[r.query_id, r.vec_id]) < 2e-6
+    for q in range(0, 700, 2):
+        best = sorted((j for j in range(700) if j != q), key=lambda j: (-sims[q, j], j))[:3]
+        assert found[q] == best
+    groups = {(r.query_id, r.label): r.similarity for r in retrieval.group_similarity(df, "label", every=2).collect()}
+    assert set(groups) == {(q, g) for q in range(0, 700, 2) for g in range(7)}
+    assert all(abs(s - sims[q, g::7].max()) < 2e-6 for (q, g), s in groups.items())

@@ -30,6 +30,30 @@ def test_archives_nest_and_never_escape(spark, tmp_path):
     assert [(r.path, bool(r.error)) for r in rows if r.archive.endswith("broken.zip")] == [(None, True)]
 
 
+def test_damaged_streams_are_rows(spark, tmp_path):
+    """A flipped deflate stream, in the root and in a nested archive, fails no job."""
+
+    def damaged(name):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(name, b"some text of a member " * 200)
+        data = bytearray(out.getvalue())
+        start = 30 + len(name)
+        data[start : start + 20] = bytes(b ^ 0xFF for b in data[start : start + 20])
+        return bytes(data)
+
+    (tmp_path / "root.zip").write_bytes(damaged("m.txt"))
+    (tmp_path / "outer.zip").write_bytes(zipped({"in.zip": damaged("m.txt"), "ok.txt": b"fine"}))
+    rows = archives.archive_files(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    found = {(r.archive.rsplit("/", 1)[1], r.path): bool(r.error) for r in rows}
+    assert found == {("root.zip", None): True, ("outer.zip", "in.zip"): True, ("outer.zip", "ok.txt"): False}
+
+
+def test_quoted_cells_stay_whole():
+    assert office.csv_text(b'name,"a, b",c\n"x ""y""",,\n,,\n') == 'name | a, b | c\nx "y"'
+    assert office.csv_text('a;"b;\nc"'.encode()) == "a | b;\nc"
+
+
 def test_archive_budget_is_for_the_whole_tree():
     inner = zipped({"big.bin": b"x" * 900})
     files, error = archives.expand(zipped({"in.zip": inner, "a": b"y" * 50}), budget=len(inner) + 100)
@@ -103,6 +127,40 @@ def test_notice_source(spark, tmp_path):
     assert notice_pages.full_text_query(['a "b"'], "2024-01-01", codes=["45"]) == 'published >= 2024-01-01 AND text IN ("a \\"b\\"") AND cpv IN (45)'
 
 
+def test_notices_without_an_id_are_rows(spark, tmp_path):
+    (tmp_path / "p3.json").write_text(json.dumps({"records": [{"id": 1}, {"title": "none"}, "text", {"id": 2, "title": 5}]}))
+    (tmp_path / "p2.json").write_text('{"records": 5}\n')
+    (tmp_path / "p1.json").write_text('{"records": [{"id": 7}]}\n{"records": [{"id": 8}]}\n')
+    notice_pages.register(spark)
+    read = lambda **o: spark.read.format("notice_pages").options(path=str(tmp_path), **o).load()
+    rows = read().collect()
+    assert sorted(r.source_id for r in rows if not r.error) == ["1", "2", "7", "8"] and sum(bool(r.error) for r in rows) == 3
+    assert read(maxPages="1").count() == 4 and read(maxRecords="2", pageSize="2").count() == 2
+    asked = read(terms="mur, sol", countries="FRA").where("published_at IS NULL OR published_at >= DATE '2024-01-02'").first().request
+    assert asked == 'text IN ("mur" OR "sol") AND country IN (FRA)'
+    assert read(source="ted").where("source = 'other'").count() == 0
+    (tmp_path / "p4.json").write_text(json.dumps({"records": [{"id": 9, "published_at": "2024-02-01"}]}))
+    newer = read().where("published_at >= DATE '2024-01-02'")
+    assert [r.request for r in newer.collect()] == ["published >= 2024-01-02"]
+
+
+def test_a_poll_with_nothing_new_asks_nothing(spark, tmp_path):
+    notice_pages.register(spark)
+    feed, state, out = tmp_path / "feed", str(tmp_path / "state"), []
+    feed.mkdir()
+    (feed / "p1.json").write_text(json.dumps({"records": [{"id": 1, "published_at": "2024-01-10"}, {"id": 2, "published_at": "2023-01-10"}]}))
+
+    def poll():
+        stream = spark.readStream.format("notice_pages").options(path=str(feed), today="2024-01-20", lookbackDays="15").load()
+        stream.writeStream.foreachBatch(lambda b, n: out.append(sorted(r.source_id for r in b.collect()))).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    poll()
+    poll()
+    (feed / "p2.json").write_text(json.dumps({"records": [{"id": 3, "published_at": "2024-01-12"}]}))
+    poll()
+    assert [x for x in out if x] == [["1"], ["1", "3"]]
+
+
 def test_table_provider_asks_each_content_once(spark):
     calls = spark.createDataFrame([("h1", 1), ("h1", 2), ("h2", 3)], "digest string, doc int")
     answers = spark.createDataFrame([("h1", "text")], "digest string, answer string")
