@@ -53,17 +53,29 @@ def locate(citations: DataFrame, pages: DataFrame, *, least: int = 25) -> DataFr
     return best.select("cite_id", "b.fragment_no", "b.page", "b.position", "b.length")
 
 
+#: Passages, and bytes of them, up to which they are broadcast to the pages, after they were counted; more meet them by a
+#: shuffle.
+MOST_PASSAGES, MOST_BYTES = 100_000, 64_000_000
+
+
 def anywhere(passages: DataFrame, pages: DataFrame) -> DataFrame:
     """(cite_id, page): pages on which a whole folded passage stands. passages: cite_id, fragment; pages: page, folded.
 
-    A passage's longest word that is whole on both sides of it is its key; pages meet it by their distinct words, so only
-    pages with that word are compared. Passages of fewer than three words share one key, the empty word, with all pages.
+    A passage's longest word that is whole on both sides of it is its key, and pages meet it by their distinct words, so
+    only pages with that word are compared. Counted passages of a bounded number come to the pages, whose words then never
+    leave their row; more of them are joined by a shuffle of the words that are wanted. Passages of fewer than three words
+    have no word that must be whole: they share one key, the empty word, with all pages.
     """
     inner = F.expr("slice(split(fragment, ' '), 2, greatest(size(split(fragment, ' ')) - 2, 0))")
     longest = F.coalesce(F.reduce(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a)), F.lit(""))
     keyed = passages.withColumn("word", longest)
-    words = pages.select("page", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("folded", " ")))).alias("word"))
-    wanted = words.join(keyed.select("word").distinct(), "word", "left_semi")
+    n, size = keyed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("fragment")), F.lit(0))).first()
+    few = n <= MOST_PASSAGES and size <= MOST_BYTES
+    own = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.split("folded", " ")))).alias("word")
+    if few:
+        met = pages.select("page", "folded", own).join(F.broadcast(keyed), "word")
+        return met.where(F.contains("folded", F.col("fragment"))).select("cite_id", "page")
+    wanted = pages.select("page", own).join(keyed.select("word").distinct(), "word", "left_semi")
     pairs = wanted.join(keyed, "word").select("page", "cite_id", "fragment")
     return pairs.join(pages, "page").where(F.contains("folded", F.col("fragment"))).select("cite_id", "page")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,14 +35,41 @@ def classify_extension(ext: Column) -> Column:
     return out.when(ext == "", made("other", False, "unknown extension", True)).otherwise(made("other", False, "unsupported extension", True))
 
 
+def hidden(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, sha256) of the files below root that Spark's reader does not see. The driver lists names; contents are
+    read in tasks, a mebibyte at a time."""
+    remote = "://" in root
+    store, at = fs.FileSystem.from_uri(root) if remote else (fs.LocalFileSystem(), root.rstrip("/"))
+    listed = store.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
+    unseen = lambda path: any(p[:1] == "." or p[:1] == "_" and "=" not in p for p in path[len(at) :].split("/"))
+    names = [(f.path, f.size) for f in listed if f.is_file and unseen(f.path)]
+
+    def read(frames):
+        for frame in frames:
+            out = []
+            for path in frame.path:
+                digest = hashlib.sha256()
+                with (fs.FileSystem.from_uri(root)[0] if remote else fs.LocalFileSystem()).open_input_stream(path) as f:
+                    while part := f.read(1 << 20):
+                        digest.update(part)
+                out.append(digest.hexdigest())
+            yield pd.DataFrame({"path": frame.path, "length": frame.length, "sha256": out})
+
+    found = spark.createDataFrame(names, "path string, length long")
+    prefix = root[: root.index(at)] if remote and at in root else ""
+    return found.mapInPandas(read, "path string, length long, sha256 string").withColumn("path", F.concat(F.lit(prefix), "path"))
+
+
 def inventory(spark: SparkSession, root: str, *, plan_names: str | None = None) -> DataFrame:
     """(relative_path, filename, extension, size_bytes, sha256, kind, analyzable, reason, at_risk, parent_archive).
 
-    Spark's reader leaves out names that start with a dot or an underscore, so system metadata has no row there. A file below <name>__extrait belongs to the archive <name>.zip beside that folder, if it exists; the shallowest one.
+    Names that start with a dot or an underscore, which Spark's reader leaves out, are listed and read beside it. A file
+    below <name>__extrait belongs to the archive <name>.zip beside that folder, if it exists; the shallowest one.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    files = files.unionByName(hidden(spark, root))
     base = F.regexp_replace("path", r"^file:/+", "/")
-    rows = files.select(F.substring(base, F.lit(len(root.rstrip("/")) + 2), F.length(base)).alias("relative_path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select(F.substring(base, F.lit(len(root.rstrip("/")) + 2), F.length(base)).alias("relative_path"), F.col("length").alias("size_bytes"), "sha256")
     name = F.element_at(F.split("relative_path", "/"), -1)
     found = rows.withColumn("filename", name).withColumn("extension", extension(name)).withColumn("c", classify_extension(extension(name)))
     junk = F.startswith("filename", F.lit("._")) | (F.lower("filename") == ".ds_store")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -73,11 +74,21 @@ def test_inventory(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     rows = {r.relative_path: r for r in inventory.inventory(spark, str(tmp_path), plan_names="(?i)plan").collect()}
+    assert rows.pop("in__extrait/._a.pdf").reason == "system metadata"
     assert len(rows) == 6 and rows["in__extrait/a.PDF"].parent_archive == "in.zip" and rows["in__extrait/a.PDF"].analyzable
     assert rows["plan RDC.pdf"].reason == "plan by name"
     assert [rows[n].at_risk for n in ("odd.foo", "noext", "x.db", "in.zip")] == [True, True, False, False]
 
 
+def test_names_that_spark_hides_are_listed(spark, tmp_path):
+    for name in ("_CCTP.pdf", ".hidden/deep.docx", "_x/_y.csv", "plain.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    rows = {r.relative_path: r for r in inventory.inventory(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"_CCTP.pdf", ".hidden/deep.docx", "_x/_y.csv", "plain.pdf"} and rows["_CCTP.pdf"].analyzable
+    assert all(r.size_bytes == len(n) and r.sha256 == hashlib.sha256(n.encode()).hexdigest() for n, r in rows.items())
+
+
 def test_office_files(spark):
     sheet = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     cell = lambda v: f'<c t="inlineStr"><is><t>{v}</t></is></c>' if v else "<c/>"
