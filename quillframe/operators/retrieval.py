@@ -175,6 +175,20 @@ def semantic_only(keyword: DataFrame, semantic: DataFrame, group: str, doc: str)
     return semantic.join(known, [group, doc], "left").withColumn("semantic_only", F.col("_known").isNull()).drop("_known")
 
 
+def mark_semantic_origin(results: DataFrame, note: str) -> DataFrame:
+    """results in which a value owes something to documents that only the semantic search found: those sources get
+    ``selection`` = semantic, and the justification starts with the note. Rows without a value or such a source stay.
+
+    results: value, justification, sources (array of struct with document_id and selection), semantic_only (array of ids)."""
+    known = F.coalesce(F.col("semantic_only"), F.array().cast(results.schema["semantic_only"].dataType))
+    ours = lambda s: F.coalesce(F.array_contains(known, s["document_id"]), F.lit(False))
+    marked = F.transform("sources", lambda s: s.withField("selection", F.when(ours(s), "semantic").otherwise(s["selection"])))
+    owes = F.col("value").isNotNull() & (F.size(known) > 0) & F.exists(marked, lambda s: s["selection"] == "semantic")
+    owes = F.coalesce(owes, F.lit(False))
+    told = F.when(owes, F.concat(F.lit(note), F.coalesce("justification", F.lit("")))).otherwise(F.col("justification"))
+    return results.withColumns({"justification": told, "sources": F.when(owes, marked).otherwise(F.col("sources"))})
+
+
 def fuse(keyword: DataFrame, semantic: DataFrame, group: str, doc: str, *, head: int = 3, extra: int = 2) -> DataFrame:
     """Keyword candidates stay as they are; the best ``extra`` semantic ones that are not among them follow.
 

@@ -48,10 +48,10 @@ def score_rows(docs: DataFrame, catalog: list[Entry], text: Column, *keep: str)
     return _scored(docs, catalog, text, *keep).select(*keep, F.inline_outer(rows)).where("score > 0")
 
 
-def classify(docs: DataFrame, catalog: list[Entry], text: Column, *keep: str, least: int = 2, lead: int = 1) -> DataFrame:
-    """The category of highest score if it is high and leads clearly, else null; ``score`` and ``gap`` tell why."""
+def _decided(scored: DataFrame, catalog: list[Entry], keep: tuple[str, ...], least: int, lead: int) -> DataFrame:
+    """The decision from the scores s0, s1, ... of rows; rows that score nothing are left out."""
     each = [F.col(f"s{i}") for i in range(len(catalog))]
-    best = _scored(docs, catalog, text, *keep).withColumn("score", F.greatest(*each, F.lit(0)) if len(each) > 1 else F.greatest(each[0], F.lit(0))).where("score > 0")
+    best = scored.withColumn("score", F.greatest(*each, F.lit(0))).where("score > 0")
     top = F.coalesce(*(F.when(s == F.col("score"), i) for i, s in enumerate(each)))
     placed = best.withColumn("_top", top)
     gap = F.col("score") - F.greatest(F.lit(0), F.lit(0), *(F.when(F.col("_top") != i, s) for i, s in enumerate(each)))
@@ -59,6 +59,22 @@ def classify(docs: DataFrame, catalog: list[Entry], text: Column, *keep: str, le
     return placed.select(*keep, F.when((F.col("score") >= least) & (gap >= lead), name).alias("category"), "score", gap.alias("gap"))
 
 
+def classify(docs: DataFrame, catalog: list[Entry], text: Column, *keep: str, least: int = 2, lead: int = 1) -> DataFrame:
+    """The category of highest score if it is high and leads clearly, else null; ``score`` and ``gap`` tell why."""
+    return _decided(_scored(docs, catalog, text, *keep), catalog, keep, least, lead)
+
+
+def classify_files(files: DataFrame, catalog: list[Entry], stem: Column, text: Column, *keep: str, least: int = 2, lead: int = 1) -> DataFrame:
+    """As classify, over the scores of a file's name and of its text together; a name that says nothing does not count.
+    stem: the name without its extension. One projection for both, so nothing is joined."""
+    told = F.when(says_nothing(stem), "").otherwise(stem)
+    named = _scored(files.withColumns({"_stem": told, "_body": text}), catalog, F.col("_stem"), *keep, "_body")
+    names = {f"s{i}": f"n{i}" for i in range(len(catalog))}
+    both = _scored(named.withColumnsRenamed(names), catalog, F.col("_body"), *keep, *names.values())
+    summed = {s: F.coalesce(s, F.lit(0)) + F.coalesce(n, F.lit(0)) for s, n in names.items()}
+    return _decided(both.withColumns(summed), catalog, keep, least, lead)
+
+
 def combined(file_scores: DataFrame, text_scores: DataFrame, *key: str) -> DataFrame:
     """Scores of file name and content added per document and category."""
     return file_scores.unionByName(text_scores).groupBy(*key, "name", "ord").agg(F.sum("score").alias("score"))

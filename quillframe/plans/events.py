@@ -110,3 +110,13 @@ def upsert_stream(spark, sf_dir):
         stored.sink(spark.readStream.schema(orders.schema).parquet(feed), checkpoint)
     stored.apply(late.withColumn("title", F.lit("never seen")), 2)
     return stored.read(spark, orders.schema)
+
+
+@book.query("""
+SELECT user_id, list_reduce(list_prepend('', list(event_type ORDER BY ts, event_id)), lambda now, s:
+  CASE WHEN s = 'error' OR now IN ('', 'error') OR list_position(['signup', 'view', 'click', 'purchase'], s) >= list_position(['signup', 'view', 'click', 'purchase'], now) THEN s ELSE now END) AS status
+FROM events GROUP BY user_id""")
+def stage_machine(spark, sf_dir):
+    """The status of each user as a stream: only a later stage moves it, an error always does, and anything leaves an error."""
+    events = streams.read_events(spark, sf_dir).select("user_id", "ts", F.col("event_type").alias("status"))
+    return streams.drained(folds.last_status_stream(events, "user_id", ORDER), "update")

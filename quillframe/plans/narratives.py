@@ -121,3 +121,29 @@ def synthese_parse(spark, sf_dir):
     t = table(spark, sf_dir, "conversations")
     made = F.concat(F.lit("# r\n## Theme "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\n"), F.when(F.col("turn") % 2 == 0, "**Divergence** : a\n").otherwise(""), F.lit("non précisé, Non fourni\n## Other\nx"))
     return t.select("conv_id", "turn", F.inline(reports.narrative_topics(made))).select("conv_id", "turn", "title", F.sha2("body", 256).alias("body"), F.size("divergences").alias("divergences"), "absences")
+
+
+@book.query(f"""SELECT dossier, sha256(to_json(list({{'doc_id': doc_id, 'category': category, 'filename': filename}} ORDER BY category, doc_id))::VARCHAR) AS report FROM {SIGNALS_SQL} GROUP BY dossier""")
+def report_json(spark, sf_dir):
+    """The frozen JSON form of a dossier's report."""
+    frozen = reports.frozen_json(signals(spark, sf_dir), "dossier", ["category", "doc_id"], "doc_id", "category", "filename")
+    return frozen.select("dossier", F.sha2("report", 256).alias("report"))
+
+
+@book.query(f"""
+SELECT dossier, lot AS phase, sha256('## ' || lot || chr(10) || chr(10) || '| File | Category | Confidence |' || chr(10) || '|---|---|---|' || chr(10)
+  || string_agg('| ' || filename || ' | ' || category || ' | ' || (doc_id % 100) || ' % |', chr(10) ORDER BY category, doc_id)) AS body, count(*) AS n_files FROM {SIGNALS_SQL} GROUP BY dossier, lot""")
+def report_markdown(spark, sf_dir):
+    """The markdown form of a dossier's report, a table for each phase."""
+    row = F.struct(F.col("filename").alias("c0"), F.col("category").alias("c1"), F.concat((F.col("doc_id") % 100).cast("string"), F.lit(" %")).alias("c2"))
+    phases = signals(spark, sf_dir).groupBy("dossier", F.col("lot").alias("phase")).agg(F.array_sort(F.collect_list(F.struct("category", "doc_id", row.alias("row")))).alias("rows"), F.count("*").alias("n_files"))
+    body = F.concat(F.lit("## "), "phase", F.lit("\n\n"), reports.markdown_table(["File", "Category", "Confidence"], F.transform("rows", lambda r: r["row"])))
+    return phases.select("dossier", "phase", F.sha2(body, 256).alias("body"), "n_files")
+
+
+@book.query("SELECT conv_id, count(*) FILTER (turn % 2 = 0) AS n_divergences, 2 * count(*) AS n_absences FROM conversations GROUP BY conv_id")
+def topic_totals(spark, sf_dir):
+    """Divergences and absences over the topics of all reports of a conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    told = F.concat(F.lit("# r\n## Theme\n"), "text", F.lit("\n"), F.when(F.col("turn") % 2 == 0, "**Divergence** : a\n").otherwise(""), F.lit("non précisé, Non fourni"))
+    return reports.topic_totals(turns.select("conv_id", F.inline(reports.narrative_topics(told))), "conv_id")

@@ -193,3 +193,31 @@ def sequential_batches(spark, sf_dir):
     """Turns of a conversation packed in order into calls."""
     listed = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("size")))).alias("t"))
     return listed.select("conv_id", F.array_join(planning.sequential_batches(F.transform("t", lambda x: x["size"]), 3, 600), ",").alias("batches"))
+
+
+@book.query("""
+WITH r AS (SELECT conv_id, list(turn ORDER BY turn) AS turns, CASE WHEN conv_id % 7 <> 0 THEN 'v' END AS value, CASE WHEN conv_id % 3 <> 0 THEN 'because' END AS why FROM conversations GROUP BY conv_id),
+m AS (SELECT *, list_filter(turns, lambda t: t % 3 = 1 AND conv_id % 2 = 0) AS found FROM r)
+SELECT conv_id, CASE WHEN value IS NOT NULL AND len(found) > 0 THEN '[semantic] ' || coalesce(why, '') ELSE why END AS justification,
+  array_to_string(list_transform(turns, lambda t: CASE WHEN value IS NOT NULL AND list_contains(found, t) THEN t || ':semantic' ELSE t || ':keyword' END), ',') AS sources FROM m""")
+def semantic_origin(spark, sf_dir):
+    """Turns as a value's sources, some of them found by the semantic search alone."""
+    turn = F.struct(F.col("turn").alias("document_id"), F.lit("keyword").alias("selection"))
+    each = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("sources"))
+    ids = F.transform("sources", lambda s: s["document_id"])
+    results = each.select(
+        "conv_id", "sources", F.when(F.col("conv_id") % 7 != 0, "v").alias("value"), F.when(F.col("conv_id") % 3 != 0, "because").alias("justification"),
+        F.filter(ids, lambda t: (t % 3 == 1) & (F.col("conv_id") % 2 == 0)).alias("semantic_only"),
+    )
+    found = retrieval.mark_semantic_origin(results, "[semantic] ")
+    return found.select("conv_id", "justification", F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["document_id"].cast("string"), s["selection"])), ",").alias("sources"))
+
+
+@book.query("""
+SELECT n_name, n.n_nationkey AS ord, n_suppliers FROM nation n LEFT JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier WHERE s_nationkey % 3 <> 0 GROUP BY 1) s ON s.s_nationkey = n.n_nationkey""")
+def schema_rows(spark, sf_dir):
+    """Every entry of a schema, with its result or none."""
+    schema = table(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("ord"))
+    suppliers = table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
+    named = suppliers.join(schema, F.col("k") == F.col("ord")).select("n_name", "n_suppliers")
+    return reports.with_missing(schema, named, "n_name").select("n_name", "ord", "n_suppliers")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillframe.functions.text import fold_accents
-from quillframe.operators.scoring import Entry, classify, score_rows, top_candidates
+from quillframe.operators.scoring import Entry, classify, classify_files, score_rows, top_candidates
 from quillframe.plans.book import SIGNALS_SQL, Book, signals
 
 book = Book()
@@ -89,3 +89,17 @@ def combined_scores(spark, sf_dir):
 
     docs = signals(spark, sf_dir)
     return combined(score_rows(docs, CATALOG, F.col("filename"), "doc_id"), score_rows(docs, CATALOG, fold_accents(F.col("text")), "doc_id"), "doc_id").select("doc_id", "name", "score")
+
+
+NAMED = [*CATALOG, Entry("ADMIN/SCAN", ("(?i)scan", "(?i)untitled", "(?i)title"))]
+
+
+@book.query(f"""
+WITH f AS (SELECT doc_id, name, ord, score FROM {_scores_sql(NAMED, "CASE WHEN doc_id % 3 = 2 THEN 'scan of the title' ELSE '' END")}), t AS (SELECT doc_id, name, ord, score FROM {_scores_sql(NAMED, "strip_accents(text)")}),
+b AS (SELECT doc_id, name, ord, sum(score) AS score FROM (FROM f UNION ALL FROM t) GROUP BY ALL),
+s AS (SELECT doc_id, name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS rn, score - coalesce(lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, ord), 0) AS gap FROM b)
+SELECT doc_id, CASE WHEN score >= 2 AND gap >= 1 THEN name END AS category, score::INT AS score, gap::INT AS gap FROM s WHERE rn = 1""")
+def classify_named_files(spark, sf_dir):
+    """Names and texts together; two names of three say nothing, though the catalog knows their words."""
+    stem = F.when(F.col("doc_id") % 3 == 0, "scan 4").when(F.col("doc_id") % 3 == 1, "Untitled").otherwise("scan of the title")
+    return classify_files(signals(spark, sf_dir), NAMED, stem, fold_accents(F.col("text")), "doc_id")
