@@ -9,6 +9,7 @@ document is many rows from the second level on.
 from __future__ import annotations
 
 import html.entities
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,8 +83,8 @@ def strings(documents: DataFrame, key: str, column: str) -> DataFrame:
 def unescape(text: Column) -> Column:
     """HTML character references, named and numbered, as characters. Only those that end in a semicolon are read; unknown
     ones stay. The named ones are the standard library's table."""
-    names = sorted(n[:-1] for n in html.entities.html5 if n.endswith(";"))
-    table = F.create_map(*(F.lit(x) for n in names for x in (n, html.entities.html5[n + ";"])))
+    names = {n[:-1]: c for n, c in sorted(html.entities.html5.items()) if n.endswith(";")}
+    table = F.from_json(F.lit(json.dumps(names)), "map<string,string>")  # a constant of the plan
 
     def numbered(code: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")

@@ -57,9 +57,9 @@ def test_first_line_and_items(spark):
 
 
 def test_key_mentions(spark):
-    patterns = {"lot": r"\blot\s*n?°?\s*(\d+)\b", "cctp": r"\bcctp\b", "none": r"\bkbis\b", "cover": "d[ée]cennale"}
-    found = one(spark, tx.key_mentions(F.col("t"), patterns), t="Le CCTP du lot n° 3 et du LOT 12, assurance décennale")
-    assert found == {"cctp": ["cctp"], "lot": ["12", "3"], "cover": ["décennale"]}
+    patterns = {"bay": r"\bbay\s*#?\s*(\d+)\b", "form": r"\bform\b", "none": r"\bzebra\b", "drink": "th[ée]"}
+    found = one(spark, tx.key_mentions(F.col("t"), patterns), t="The FORM of bay # 3 and of BAY 12, du thé")
+    assert found["bay"] == ["12", "3"] and found["form"] == ["form"] and "thé" in found["drink"] and "none" not in found
 
 
 @pytest.mark.parametrize("text", ["Ångström ŁÓDŹ ő ű", "ﬁn ½ ﬄ Ĳ", "e\u0301te\u0301", "naïve…", "ﬀ² ª º", "plain"])
