@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from quillframe.sources import archives, inventory, notice_pages, office, providers
+from quillframe.sources import archives, files, inventory, notice_pages, office, providers
 
 
 def zipped(members: dict[str, bytes]) -> bytes:
@@ -55,11 +55,54 @@ def test_quoted_cells_stay_whole():
     assert office.csv_text('a;"b;\nc"'.encode()) == "a | b;\nc"
 
 
-def test_archive_budget_is_for_the_whole_tree():
-    inner = zipped({"big.bin": b"x" * 900})
-    files, error = archives.expand(zipped({"in.zip": inner, "a": b"y" * 50}), budget=len(inner) + 100)
-    assert error is None and {p: bool(e) for p, _, e in files} == {"in.zip": True, "a": False}
-    assert archives.expand(zipped({"a": b"y" * 50}), budget=10) == ([], "over the size budget")
+def test_archive_budget_is_for_the_whole_tree(spark, tmp_path):
+    """An archive that does not fit is passed over; a later, smaller one still fits, and the root alone may be too much."""
+    inner, small = zipped({"big.bin": b"x" * 900}), zipped({"s": b"z" * 10})
+    (tmp_path / "a.zip").write_bytes(zipped({"in.zip": inner, "a": b"y" * 50, "late.zip": small}))
+    zips = spark.read.format("binaryFile").load(str(tmp_path))
+    left = len(inner) + len(small) + 50
+    found = {r.path: bool(r.error) for r in archives.archive_files(zips, budget=left + 100).collect()}
+    assert found == {"in.zip": True, "a": False, "late.zip": False, "late__extrait/s": False}
+    assert [(r.path, r.error) for r in archives.archive_files(zips, budget=left - 1).collect()] == [(None, "over the size budget")]
+
+
+def test_archives_go_by_ranges_and_large_members_by_files(spark, tmp_path):
+    """Members of one archive are several tasks' work; a large one is a file, and nothing of the archive is lost."""
+    members = {f"m{i:02d}": bytes([i]) * (i * 200) for i in range(20)} | {"deep.zip": zipped({"x": b"1", "x2": b""})}
+    (tmp_path / "a b.zip").write_bytes(zipped(members))
+    df = archives.archive_files(spark.read.format("binaryFile").load(str(tmp_path)).union(spark.read.format("binaryFile").load(str(tmp_path))), inline=3000, span=5000)
+    rows = {r.path: r for r in df.collect()}
+    assert df.count() == len(rows) == len(members) + 2
+    for name, data in members.items():
+        row = rows[name]
+        assert row.size_bytes == len(data) and (row.content is None) == (len(data) > 3000)
+        assert bytes(row.content) == data if row.content is not None else open(row.file, "rb").read() == data
+    assert bytes(rows["deep__extrait/x"].content) == b"1" and bytes(rows["deep__extrait/x2"].content) == b""
+
+
+def test_archive_depth_and_empty_tables(spark, tmp_path):
+    data = zipped({"t": b"t"})
+    for _ in range(3):
+        data = zipped({"n.zip": data})
+    (tmp_path / "a.zip").write_bytes(data)
+    zips = spark.read.format("binaryFile").load(str(tmp_path))
+    assert sorted(r.path for r in archives.archive_files(zips, depth=2).collect()) == ["n.zip", "n__extrait/n.zip", "n__extrait/n__extrait/n.zip"]
+    assert archives.archive_files(zips.where("false")).count() == 0
+    assert archives.archive_files(zips.select(F.lit(None).cast("string").alias("path"))).count() == 0
+
+
+def test_copies_are_rebuilt_and_failures_are_rows(spark, tmp_path):
+    root, target = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = spark.createDataFrame([("a/x.txt", "one"), ("b.txt", None), ("../up", "no"), (None, "no")], "p string, text string")
+    assert {r.p: (r.n_bytes, bool(r.error)) for r in files.written_files(rows, root, "p", "text").collect()} == {"a/x.txt": (3, False), "b.txt": (0, False), "../up": (None, True), None: (None, True)}
+    plan = spark.createDataFrame([("a/x.txt", "k/1.txt"), ("b.txt", "k/2.txt"), ("gone", "k/3.txt"), ("a/x.txt", "k/1.txt/below")], "source_path string, target_path string")
+    for _ in range(2):
+        found = {r.target_path: bool(r.error) for r in files.rebuilt_copy(plan.limit(3), root, target).collect()}
+        assert found == {"k/1.txt": False, "k/2.txt": False, "k/3.txt": True}
+        assert sorted(str(p.relative_to(target)) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["k/1.txt", "k/2.txt"]
+    assert files.rebuilt_copy(plan.where("target_path = 'k/2.txt'"), root, target).count() == 1
+    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()] == ["2.txt"] and sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
+    assert files.rebuilt_copy(plan.where("false"), root, target).count() == 0 and list((tmp_path / "out").iterdir()) == []
 
 
 def test_member_names():
