@@ -6,6 +6,7 @@ whole file or none, and both runs leave the same one. Contents pass in pieces of
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from quillframe.sources.shared import new_folder
 
 PIECE = 1 << 20
+MADE = ["n_bytes", "sha256", "error"]
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -27,23 +29,24 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(quote(path, safe=":/@?=&")) if "://" in local else (fs.LocalFileSystem(), local)
 
 
-def put(path: str, pieces: Iterator[bytes]) -> int:
-    """Writes the pieces as the file ``path``, in place of any file there; the number of bytes."""
+def put(path: str, pieces: Iterator[bytes]) -> tuple[int, str]:
+    """Writes the pieces as the file ``path``, in place of any file there; the number of bytes and their SHA-256."""
     system, at = store(path)
     folder, _, name = at.rpartition("/")
     system.create_dir(folder, recursive=True)
-    part, size = f"{folder}/.part-{uuid.uuid4().hex}", 0
+    part, size, digest = f"{folder}/.part-{uuid.uuid4().hex}", 0, hashlib.sha256()
     try:
         with system.open_output_stream(part) as out:
             for piece in pieces:
                 out.write(piece)
                 size += len(piece)
+                digest.update(piece)
         system.move(part, f"{folder}/{name}")
     except OSError:
         if system.get_file_info(part).type != fs.FileType.NotFound:
             system.delete_file(part)
         raise
-    return size
+    return size, digest.hexdigest()
 
 
 def pieces(file) -> Iterator[bytes]:
@@ -51,28 +54,28 @@ def pieces(file) -> Iterator[bytes]:
         yield piece
 
 
-def _copy(source: str, target: str) -> int:
+def _copy(source: str, target: str) -> tuple[int, str]:
     system, at = store(source)
     with system.open_input_stream(at) as f:
         return put(target, pieces(f))
 
 
 def _outcomes(df: DataFrame, name: str, act) -> DataFrame:
-    """df with n_bytes and error of ``act`` on each of its rows (two strings or binaries), done once and written down."""
+    """df with n_bytes, sha256 and error of ``act`` on each of its rows (two strings or binaries), done once and written down."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             done = []
             for one, two in zip(frame._one, frame._two, strict=True):
                 try:
-                    done.append((act(one, two), None))
+                    done.append((*act(one, two), None))
                 except (OSError, ValueError) as e:  # a row's file, not the job
-                    done.append((None, f"{type(e).__name__}: {e}"[:500]))
-            frame[["n_bytes", "error"]] = pd.DataFrame(done, columns=["n_bytes", "error"], index=frame.index).astype({"n_bytes": "Int64"})
+                    done.append((None, None, f"{type(e).__name__}: {e}"[:500]))
+            frame[MADE] = pd.DataFrame(done, columns=MADE, index=frame.index).astype({"n_bytes": "Int64"})
             yield frame.drop(columns=["_one", "_two"])
 
     kept = [f for f in df.schema if f.name not in ("_one", "_two")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes long", "error string"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes long", "sha256 string", "error string"])
     path = new_folder(df.sparkSession, name)
     df.mapInPandas(run, schema).write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
@@ -80,9 +83,9 @@ def _outcomes(df: DataFrame, name: str, act) -> DataFrame:
 
 def written_files(rows: DataFrame, root: str, path: str, content: str) -> DataFrame:
     """Writes each row's content (string or binary; null: none) as a file below root and returns the other columns with
-    n_bytes and error. A path must stay below root; of rows with one path any one's file stays."""
+    n_bytes, sha256 and error. A path must stay below root; of rows with one path any one's file stays."""
 
-    def act(at: str, data: bytes | None) -> int:
+    def act(at: str, data: bytes | None) -> tuple[int, str]:
         if not at or ".." in at.split("/"):
             raise ValueError("no path below the root")
         return put(f"{root}/{at}", iter([bytes(data or b"")]))
@@ -92,7 +95,8 @@ def written_files(rows: DataFrame, root: str, path: str, content: str) -> DataFr
 
 
 def rebuilt_copy(plan: DataFrame, source_root: str, target_root: str, *, source: str = "source_path", target: str = "target_path") -> DataFrame:
-    """Builds target_root anew from a plan of relative paths and returns the plan with n_bytes and error.
+    """Builds target_root anew from a plan of relative paths and returns the plan with n_bytes, sha256 and error of
+    what was copied.
 
     Tasks copy into a folder beside the target, which then takes the target's place: the earlier copy stays until the new
     one is whole, nothing of it is left afterwards, and a rerun gives the same tree. A source that is missing, or a target
@@ -100,7 +104,7 @@ def rebuilt_copy(plan: DataFrame, source_root: str, target_root: str, *, source:
     """
     fresh = f"{target_root.rstrip('/')}.next-{uuid.uuid4().hex}"
 
-    def act(one: str, two: str) -> int:
+    def act(one: str, two: str) -> tuple[int, str]:
         if not one or not two or ".." in one.split("/") or ".." in two.split("/"):
             raise ValueError("no path below the root")
         return _copy(f"{source_root}/{one}", f"{fresh}/{two}")

@@ -100,8 +100,9 @@ def test_copies_are_rebuilt_and_failures_are_rows(spark, tmp_path):
         found = {r.target_path: bool(r.error) for r in files.rebuilt_copy(plan.limit(3), root, target).collect()}
         assert found == {"k/1.txt": False, "k/2.txt": False, "k/3.txt": True}
         assert sorted(str(p.relative_to(target)) for p in (tmp_path / "out").rglob("*") if p.is_file()) == ["k/1.txt", "k/2.txt"]
+        assert files.rebuilt_copy(plan.limit(1), root, str(tmp_path / "one")).first().sha256 == hashlib.sha256((tmp_path / "one/k/1.txt").read_bytes()).hexdigest()
     assert files.rebuilt_copy(plan.where("target_path = 'k/2.txt'"), root, target).count() == 1
-    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()] == ["2.txt"] and sorted(p.name for p in tmp_path.iterdir()) == ["in", "out"]
+    assert [p.name for p in (tmp_path / "out").rglob("*") if p.is_file()] == ["2.txt"] and sorted(p.name for p in tmp_path.iterdir()) == ["in", "one", "out"]
     assert files.rebuilt_copy(plan.where("false"), root, target).count() == 0 and list((tmp_path / "out").iterdir()) == []
 
 
