@@ -102,9 +102,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_class
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~in_hold_out(F.col(id_col))).groupBy(id_col).agg(F.max(label).alias("_label"))
     parts = [known.where(F.col("_label") == v).withColumn("_hash", F.xxhash64(id_col)).orderBy("_hash", id_col).limit(3 * per_class) for v in (0, 1)]
     picked = parts[0].unionByName(parts[1]).withColumnRenamed(id_col, "_id")
-    rows = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), F.col("_own") == F.col("_id"))  # at most 6 * per_class ids
     order = Window.partitionBy("_label").orderBy("_hash", "_id")
-    sample = written(rows.groupBy("_id", "_label", "_hash").agg(F.min("_text").alias("_text")).withColumn("_nth", F.row_number().over(order) - 1), "sample")
+    met = F.col("_own") == F.col("_id")
+    ids = docs.select(F.col(id_col).alias("_own")).join(F.broadcast(picked), met).select("_id", "_label", "_hash").distinct()  # at most 6 * per_class
+    numbered = written(ids.withColumn("_nth", F.row_number().over(order) - 1), "numbered")  # ids alone, without their texts
+    rows = docs.select(F.col(id_col).alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(numbered), met)
+    sample = written(rows.groupBy("_id", "_label", "_hash", "_nth").agg(F.min("_text").alias("_text")), "sample")
     taught = sample.where("_nth % 3 = 0").select("_label", "_nth", F.posexplode(_pieces(pieces)).alias("_at", "_piece")).toPandas().sort_values(["_label", "_nth", "_at"])
     parts = [[bytes(p) for p in taught[taught._label == v]._piece] for v in (0, 1)]
     if not parts[0] or not parts[1]:
