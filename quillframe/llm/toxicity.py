@@ -310,8 +310,12 @@ def features(texts: DataFrame, model: Model) -> DataFrame:
     The blocks are a table bucketed by block, so the texts in them are written once and never shuffled: only the evidences
     travel to them.
     """
+    with bucketed(_blocks(texts, model.lists), "blocks", "block") as blocks:
+        return _measured(blocks, model)
+
+
+def _measured(blocks: DataFrame, model: Model) -> DataFrame:
     lists = model.lists
-    blocks = bucketed(_blocks(texts, lists), "blocks", "block")
     answers = _answers(blocks, model, _fours(blocks, model)).groupBy("block").agg(F.collect_list(F.struct("list", "data")).alias("answers"))
     schema = _parse_datatype_string("_content binary, evidence double, length double")
     target = to_arrow_schema(schema)

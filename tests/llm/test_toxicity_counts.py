@@ -118,3 +118,11 @@ def test_rows_that_the_calibration_leaves_are_counted(spark):
     ends = model.grams.where(f"k = {toxicity.ORDER - 1}").collect()
     begun = sum(r.ordinary + r.toxic for r in ends if spelt(r.k, r.hi, r.lo) == PAD + "o")
     assert begun == known - 10
+
+
+def test_no_table_is_left(spark):
+    """The bucketed blocks are dropped once the evidences are written."""
+    from quillframe.llm import queries
+
+    found = queries.QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and not [t for t in spark.catalog.listTables() if t.name.startswith("blocks_")]
