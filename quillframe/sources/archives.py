@@ -2,9 +2,10 @@
 
 Archives are opened where they lie; the binary reader's content is not read. A round opens the archives of one level: their
 directories are read, charged to the root's budget, and the members dealt to tasks by ranges of their bytes, so a large
-archive is the work of many tasks. A task holds one member of at most INLINE bytes and a batch of as many; a larger member
-is streamed into a file of the shared folder and named in ``file``, and so is a nested archive, which the next round opens.
-Members wait in a written table until their archive is known to be whole.
+archive is the work of many tasks. The number of tasks follows the archives and the members' bytes, not the bytes of the
+rows that name them. A task holds one member of at most INLINE bytes and a batch of as many; a larger member is streamed
+into a file of the shared folder and named in ``file``, and so is a nested archive, which the next round opens. Members wait
+in a written table until their archive is known to be whole.
 
 An unreadable or over-budget archive stays a plain file with an error and has no members. Directory entries and members
 that would leave their folder are skipped; of members with one name the last one stays. A root's budget is charged level by
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.sources.files import pieces, put, store
-from quillframe.sources.shared import new_folder
+from quillframe.sources.shared import new_folder, tasks
 
 MOST_BYTES, DEPTH = 2 << 30, 8
 #: Bytes of a member up to which it travels as a value, bytes of members in a task's range, and directory rows in a batch.
 INLINE, RANGE, ROWS = 32 << 20, 64 << 20, 10_000
+#: Directories that a task reads, and bytes that it unpacks, about; a member counts as so many bytes besides its own.
+DIRECTORIES, UNPACKED, OPENING = 100, 16 << 20, 4 << 10
 #: What a damaged, encrypted or unsupported archive raises, from its directory or from a member's stream.
 UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError, NotImplementedError)
 #: Fixed: box-drawing, block and replacement characters never stand in a real file name.
@@ -67,6 +70,7 @@ def _directory(span: int):
     """The members of each archive, with the range they fall into; one row without a member for the archive itself."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for frame in frames:
             for row in frame.itertuples(index=False):
                 try:
@@ -74,18 +78,19 @@ def _directory(span: int):
                     with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
                         infos = z.infolist()
                 except UNREADABLE as e:
-                    yield pd.DataFrame([(*row, None, f"{type(e).__name__}: {e}"[:500], None, None, None, None)], columns=_names(LISTED))
+                    rows.append((*row, None, f"{type(e).__name__}: {e}"[:500], None, None, None, None))
                     continue
                 last = {p: i for i, m in enumerate(infos) if not m.is_dir() and (p := _safe(member_name(m)))}
-                rows, ahead = [(*row, sum(m.file_size for m in infos), None, None, None, None, None)], 0
+                rows.append((*row, sum(m.file_size for m in infos), None, None, None, None, None))
+                ahead = 0
                 for path, i in sorted(last.items(), key=lambda x: x[1]):
                     rows.append((*row, None, None, i, path, infos[i].file_size, ahead // span))
                     ahead += infos[i].file_size
                     if len(rows) >= ROWS:
                         yield pd.DataFrame(rows, columns=_names(LISTED))
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=_names(LISTED))
+        if rows:
+            yield pd.DataFrame(rows, columns=_names(LISTED))
 
     return run
 
@@ -167,14 +172,19 @@ def archive_files(archives: DataFrame, budget: int = MOST_BYTES, depth: int = DE
     opened = archives.select(F.col("path").alias("archive"), F.lit("").alias("owner"), F.col("path").alias("at")).where("path IS NOT NULL").distinct()
     spent, whole, refused = None, [], []
     for level in range(depth + 1):  # at most nine rounds
-        listed = written(opened.repartition("at").mapInPandas(_directory(span), LISTED), "listed", level)
+        opened = written(opened, "opened", level)
+        n = opened.count()
+        if level and not n:
+            break
+        listed = written(opened.repartition(tasks(spark, n, n, DIRECTORIES), "at").mapInPandas(_directory(span), LISTED), "listed", level)
         tops = listed.where("place IS NULL")
         asked = tops.where("error IS NULL").select("archive", "owner", "total")
         asked = asked.withColumn("spent", F.lit(0).cast("long")) if spent is None else asked.join(spent, "archive", "left").na.fill(0, ["spent"])
         charged = asked.repartition("archive").sortWithinPartitions("archive", "owner")
         charged = written(charged.mapInPandas(_charge(budget), "archive string, owner string, charged long, error string"), "charged", level)
         members = listed.where("place IS NOT NULL").join(charged.where("error IS NULL").select("archive", "owner"), ["archive", "owner"])
-        dealt = members.repartition("at", "part").sortWithinPartitions("at", "place").select(*_names(LISTED))
+        n, held = members.agg(F.count("*"), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+        dealt = members.repartition(tasks(spark, n, held + n * OPENING, UNPACKED), "at", "part").sortWithinPartitions("at", "place").select(*_names(LISTED))
         found = written(dealt.mapInPandas(_extract(f"{folder}/files", level < depth, inline), FOUND), "found", level)
         damaged = found.where("error IS NOT NULL").groupBy("archive", "owner").agg(F.min_by("error", "path").alias("error"))
         bad = tops.where("error IS NOT NULL").select("archive", "owner", "error").unionByName(charged.where("error IS NOT NULL").drop("charged")).unionByName(damaged)
@@ -183,8 +193,6 @@ def archive_files(archives: DataFrame, budget: int = MOST_BYTES, depth: int = DE
         opened = whole[-1].where(F.lit(level < depth) & F.lower("path").endswith(".zip")).select("archive", F.col("path").alias("owner"), F.col("file").alias("at"))
         costs = charged.groupBy("archive").agg(F.sum("charged").alias("spent"))
         spent = costs if spent is None else spent.unionByName(costs).groupBy("archive").agg(F.sum("spent").alias("spent"))
-        if opened.isEmpty():
-            break
     rows, failed = whole[0], refused[0]
     for more, bad in zip(whole[1:], refused[1:], strict=True):
         rows, failed = rows.unionByName(more), failed.unionByName(bad)

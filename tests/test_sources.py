@@ -7,9 +7,10 @@ import io
 import json
 import zipfile
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from quillframe.sources import archives, files, inventory, notice_pages, office, providers
+from quillframe.sources import archives, files, inventory, notice_pages, office, providers, shared
 
 
 def zipped(members: dict[str, bytes]) -> bytes:
@@ -91,6 +92,34 @@ def test_archive_depth_and_empty_tables(spark, tmp_path):
     assert archives.archive_files(zips.select(F.lit(None).cast("string").alias("path"))).count() == 0
 
 
+def writers(folder):
+    """Tasks that wrote rows of each table below the folder; a table's name goes up to its last dash."""
+    tasks = {}
+    for p in folder.rglob("part-*.parquet"):
+        tasks.setdefault(p.parent.name.rpartition("-")[0], []).append(pq.ParquetFile(p).metadata.num_rows)
+    return {name: sum(n > 0 for n in rows) for name, rows in tasks.items()}
+
+
+def test_archives_are_dealt_by_what_lies_in_them(spark, tmp_path, monkeypatch):
+    """Rows that name archives are few bytes, which adaptive execution puts into one task, however many archives they name."""
+    (tmp_path / "zips").mkdir()
+    for i in range(60):
+        (tmp_path / f"zips/{i}.zip").write_bytes(zipped({f"{m}.txt": bytes([i, m]) for m in range(5)} | {"in.zip": zipped({"x": bytes([i])})}))
+    monkeypatch.setattr(archives, "new_folder", lambda spark, name: str(tmp_path / "shared"))
+    monkeypatch.setattr(archives, "DIRECTORIES", 6)
+    monkeypatch.setattr(archives, "UNPACKED", 20 * archives.OPENING)
+    found = archives.archive_files(spark.read.format("binaryFile").load(str(tmp_path / "zips")))
+    assert found.count() == 60 * 7
+    split = writers(tmp_path / "shared")
+    assert min(split["listed"], split["found"]) >= 6
+    assert {(r.archive.rsplit("/", 1)[1], r.path, bytes(r.content)) for r in found.where("path NOT LIKE '%.zip'").collect()} == {(f"{i}.zip", *m) for i in range(60) for m in (*((f"{m}.txt", bytes([i, m])) for m in range(5)), ("in__extrait/x", bytes([i])))}
+
+
+def test_tasks_follow_the_work(spark):
+    assert [shared.tasks(spark, n, n, 100) for n in (0, 1, 3, 400, 3_000, 10**9)] == [1, 1, 3, 4, 30, shared.MOST_TASKS]
+    assert shared.tasks(spark, 2, 1000, 100) == 10
+
+
 def test_copies_are_rebuilt_and_failures_are_rows(spark, tmp_path):
     root, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.createDataFrame([("a/x.txt", "one"), ("b.txt", None), ("../up", "no"), (None, "no")], "p string, text string")
